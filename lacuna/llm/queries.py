@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe_automaton
+from lacuna.llm import bpe_automaton, decontamination, line_dedup, quality, secrets, simhash, token_counts, token_files, warc
 from lacuna.llm.common import table
 
 
@@ -16,12 +16,98 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept", "n_removed_chars")
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_warc": op2_warc,
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op5_token_files": op5_token_files,
+    "op6_secrets": op6_secrets,
+    "op7_token_counts": op7_token_counts,
+    "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+_WHITE = "[\\x20\\x09-\\x0D]+"
+_NORMAL = "regexp_replace(lower(coalesce(text, '')), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g')"
+
+#: Lines with a number, and how many documents of the host hold each normalised line.
+_LINES = f"""
+  base AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
+  split AS (SELECT rid, source, text, string_split({_NORMAL}, chr(10)) AS norm, string_split(coalesce(text, ''), chr(10)) AS raw FROM base),
+  lines AS (SELECT rid, source, unnest(generate_series(1, len(raw))) AS i, unnest(raw) AS line, trim(unnest(norm), ' ') AS norm FROM split),
+  counts AS (SELECT source, norm, count(DISTINCT rid) AS n_docs FROM lines WHERE norm <> '' GROUP BY source, norm),
+  totals AS (SELECT source, count(*) AS host_docs FROM base GROUP BY source)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": f"""
+      WITH {_LINES},
+      bad AS (SELECT c.source, norm FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_docs >= 5 AND n_docs > host_docs * 0.1),
+      marked AS (SELECT rid, i, line, b.norm IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON b.norm = l.norm AND b.source IS NOT DISTINCT FROM l.source),
+      joined AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS rest, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM marked GROUP BY rid)
+      SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE rest END AS text, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped
+      FROM base JOIN joined USING (rid)""",
+    "op2_warc": """
+      WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+      d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+      f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+      SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+      FROM d JOIN f USING (payload_digest)""",
+    "op3_quality_rules": f"""
+      WITH {_LINES},
+      bad AS (SELECT c.source, norm FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_docs > 10 AND n_docs > host_docs * 0.05),
+      removed AS (SELECT rid, sum(length(regexp_replace(line, '{_WHITE}', '', 'g'))) AS n FROM lines l JOIN bad b ON b.norm = l.norm AND b.source IS NOT DISTINCT FROM l.source GROUP BY rid),
+      dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE norm <> '' GROUP BY rid),
+      w AS (SELECT rid, list_filter(string_split_regex(coalesce(text, ''), '{_WHITE}'), x -> x <> '') AS words FROM base),
+      windows AS (SELECT rid, unnest(generate_series(1, len(words) - 2)) AS i, words FROM w WHERE len(words) > 2),
+      keyed AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM windows),
+      twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM keyed) WHERE n > 1),
+      rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+      s AS (
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g')) AS BIGINT) AS word_chars,
+          CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+          CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_chars
+        FROM base JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN removed USING (rid))
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed_chars <= word_chars * 0.5 AS kept
+      FROM s""",
+}
