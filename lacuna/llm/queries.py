@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe_automaton, decontamination, line_dedup, quality, secrets, simhash, token_counts, token_files, warc
+from lacuna.llm import bpe_automaton, decontamination, line_dedup, pii, quality, secrets, simhash, token_counts, token_files, warc
 from lacuna.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), b"lacuna").select("doc_id", "text", "n_entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
@@ -97,7 +102,7 @@ ORACLES: dict[str, str] = {
       bad AS (SELECT c.source, norm FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_docs > 10 AND n_docs > host_docs * 0.05),
       removed AS (SELECT rid, sum(length(regexp_replace(line, '{_WHITE}', '', 'g'))) AS n FROM lines l JOIN bad b ON b.norm = l.norm AND b.source IS NOT DISTINCT FROM l.source GROUP BY rid),
       dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE norm <> '' GROUP BY rid),
-      w AS (SELECT rid, list_filter(string_split_regex(coalesce(text, ''), '{_WHITE}'), x -> x <> '') AS words FROM base),
+      w AS (SELECT rid, list_filter(string_split_regex(coalesce(text, ''), '{_WHITE}'), lambda x: x <> '') AS words FROM base),
       windows AS (SELECT rid, unnest(generate_series(1, len(words) - 2)) AS i, words FROM w WHERE len(words) > 2),
       keyed AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM windows),
       twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM keyed) WHERE n > 1),
