@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import BROADCAST_ROWS, ship, staged
+from lacuna.llm.common import BROADCAST_ROWS, content_key, ship, staged
 from lacuna.llm.graph import components
 
 BITS, TILE, STEP = 64, 1024, 256
@@ -158,5 +158,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """One row of docs, with all columns, for each component of near_duplicates: the one of the smallest id.
+
+    Only ids are grouped; whole rows are shuffled once, by id, to meet the ids kept. Where several rows have
+    that id, the first of them by a hash of all columns stays. Of a component without ids one such
+    row stays.
+    """
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    kept = staged(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.col("fingerprint")).alias("_fp")).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    hashes = content_key(*docs.columns)
+    if kept.where("_id is null or _n > 1").isEmpty():
+        return docs.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
+    keyed = docs.withColumns({"_k1": hashes[0], "_k2": hashes[1]})
+    named = fingerprints(docs.select(id_col, text_col, *hashes).withColumn("_name", F.struct("_k1", "_k2", F.col(id_col).cast("string").alias("_id"))), "_name", text_col)
+    roots = groups.select(F.col("fingerprint"), F.col("component_id")).distinct()
+    named = named.select("id._k1", "id._k2", F.col("id._id").alias("_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(roots, "fingerprint")
+    first = named.where(F.col("_id").eqNullSafe(F.col("component_id").cast("string"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).agg(F.min(F.struct("_k1", "_k2")).alias("k"))
+    chosen = staged(first.select("k._k1", "k._k2").distinct(), "chosen")
+    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
+    return rows.dropDuplicates(["_k1", "_k2"]).select(docs.columns)
+
+
 def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")

@@ -140,7 +140,7 @@ class Encoder:
     """Encodes with the tokenizers library. Texts are cut at spaces where its pre-tokenizer cuts too, and
     only chunks not met before are given to it."""
 
-    KEEP = 300_000
+    KEEP = 400_000
 
     def __init__(self, path: str):
         import os
@@ -152,37 +152,51 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = pretokens.Special({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
-        self.known: dict[str, np.ndarray] = {}
+        self.known = _Known()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts: list[list[str | int]] = []
-        fresh: set[str] = set()
+        """Each text's ids. Chunks that were not met before are kept for later texts until KEEP are."""
+        parts, heads = [], []
         for text in texts:
-            own: list[str | int] = []
-            for plain, special in self.special.split(text):
-                if plain:
-                    head, *rest = pretokens.chunks(plain)
-                    own.append(head)
-                    own += [" " + c for c in rest]
-                if special is not None:
-                    own.append(special)
-            fresh.update(x for x in own if x not in self.known)
+            own = [(pretokens.chunks(plain) if plain else None, special) for plain, special in self.special.split(text)]
+            heads += [c[0] for c, _ in own if c]
             parts.append(own)
-        new = [x for x in fresh if isinstance(x, str)]
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.known |= {x: np.array(e.ids, np.uint32) for x, e in zip(new, found)}
-        self.known |= {x: np.array([x], np.uint32) for x in fresh if isinstance(x, int)}
-        none = np.zeros(0, np.uint32)
-        out = [np.concatenate([none, *map(self.known.__getitem__, own)]) for own in parts]
-        if len(self.known) > self.KEEP:
-            self.known = {}
+        fresh = list(set().union(*(c[1:] for own in parts for c, _ in own if c)) - self.known.keys())
+        new = dict(zip(fresh, self._ids([" " + c for c in fresh])))
+        self.known.now = new
+        first, get = iter(self._ids(heads)), self.known.__getitem__
+        out = []
+        for own in parts:
+            found: list[bytes] = []
+            for chunks, special in own:
+                if chunks:
+                    found.append(next(first))
+                    found += map(get, chunks[1:])
+                if special is not None:
+                    found.append(special.to_bytes(4, "little"))
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        if len(self.known) < self.KEEP:
+            self.known |= {c: x for c, x in new.items() if len(c) <= 64}
+        self.known.now = {}
         return out
 
 
+class _Known(dict):
+    """Ids of chunks; `now` has those that only the texts at hand need."""
+
+    now: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.now[chunk]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 4_000_000) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 1_000_000) -> None:
     """Writes the ids of every row's whole text, followed by end_id, in ascending order of id_col (an
     integer; nulls first; rows of equal id in any order next to each other).
 

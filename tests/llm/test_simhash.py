@@ -92,3 +92,13 @@ def test_empty_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (None, "q r s t u v")], schema)
     got = sorted((str(x.doc_id), str(x.component_id)) for x in simhash.near_duplicates(df).collect())
     assert got == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
+
+
+def test_keep_first(spark):
+    schema = "doc_id bigint, text string, _id string"
+    rows = [(3, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "y"), (9, "totally other words stand here", "z"), (None, "quite some more other things", "n"), (None, "quite some more other things", "n"), (None, "a b c d e", "n")]
+    got = sorted((str(x.doc_id), x.text) for x in simhash.keep_first(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("1", "a b c d e"), ("9", "totally other words stand here"), ("None", "quite some more other things")]
+    unique = spark.createDataFrame([rows[0], rows[1], rows[4]], schema)
+    assert sorted(x.doc_id for x in simhash.keep_first(unique).collect()) == [1, 9]
+    assert simhash.keep_first(unique.limit(0)).count() == 0
