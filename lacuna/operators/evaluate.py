@@ -111,7 +111,7 @@ def blend_grid(rows: DataFrame, fold: str, truth: str, first: str, second: str)
     e, d = F.col(first) - F.col(truth), F.col(second) - F.col(first)
     per = rows.groupBy(F.col(fold).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("ee"), F.sum(e * d).alias("ed"), F.sum(d * d).alias("dd"))
     total = per.agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "ee", "ed", "dd")])
-    grid = per.crossJoin(F.broadcast(total)).withColumn("weight", F.explode(F.sequence(F.lit(0), F.lit(100))) / 100)
+    grid = per.crossJoin(F.broadcast(total)).withColumn("weight", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("weight", F.col("weight") / 100)
 
     def mse(n: Column, ee: Column, ed: Column, dd: Column) -> Column:
         return (ee + 2 * F.col("weight") * ed + F.col("weight") * F.col("weight") * dd) / n

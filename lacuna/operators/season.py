@@ -92,6 +92,10 @@ def previous_years(queries: DataFrame, reference: DataFrame, value: str, spec: P
     return out.withColumn("n_reference_years", F.coalesce("n_reference_years", F.lit(0)).cast("bigint"))
 
 
+def _pooled(w: Column, narrow: str, wide: str) -> Column:
+    return F.zip_with(narrow, wide, lambda a, b: w * a + (1 - w) * b)
+
+
 def leave_one_year_out(queries: DataFrame, reference: DataFrame, value: str, spec: PanelSpec = SPEC, radius: int = 10, least_years: int = 3, floor: float = 0.04, pooling: float = 3.0) -> DataFrame:
     """queries with expected, climatology_scale, q10..q90, reference_years and reference_level.
 
@@ -118,10 +122,7 @@ def leave_one_year_out(queries: DataFrame, reference: DataFrame, value: str, spe
     for i, name in enumerate(("crop", "polygon")):
         w = F.col(f"{name}.n") / (F.col(f"{name}.n") + pooling)
         has = F.col(name).isNotNull()
-        q = q.withColumns({
-            f"_v{i + 1}": F.when(has, F.zip_with(f"{name}._q", f"_v{i}", lambda a, b, w=w: w * a + (1 - w) * b)).otherwise(F.col(f"_v{i}")),
-            f"_s{i + 1}": F.when(has, w * F.col(f"{name}.s") + (1 - w) * F.col(f"_s{i}")).otherwise(F.col(f"_s{i}")),
-        })
+        q = q.withColumns({f"_v{i + 1}": F.when(has, _pooled(w, f"{name}._q", f"_v{i}")).otherwise(F.col(f"_v{i}")), f"_s{i + 1}": F.when(has, w * F.col(f"{name}.s") + (1 - w) * F.col(f"_s{i}")).otherwise(F.col(f"_s{i}"))})
         years, level = F.when(has, F.col(f"{name}.n")).otherwise(years), F.when(has, F.lit(name)).otherwise(level)
     ok = F.col("global").isNotNull()
     found = q.select(spec.entity, spec.category, "_y", "_d", F.when(ok, F.get("_v2", 2)).alias("expected"), F.when(ok, F.col("_s2")).alias("climatology_scale"), F.when(ok, years).otherwise(0).cast("bigint").alias("reference_years"), F.when(ok, level).otherwise("insufficient").alias("reference_level"), *[F.when(ok, F.get("_v2", i)).alias(f"q{p}") for i, p in enumerate((10, 25, 50, 75, 90))])

@@ -375,3 +375,444 @@ def rec_midpoint_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = season.gaussian(panel.where("hidden"), panel, "target", "clim_primary")
     rows = rows.withColumn("primary_midpoint", F.coalesce((F.col("left_value") + F.col("right_value")) / 2, "left_value", "right_value"))
     return rounded(rows.select("entity", "date", reconstruct.midpoint_chain(rows).alias("prediction")), "prediction")
+
+
+# --- climatology and anomalies -----------------------------------------------------------------------------
+
+_BASE_SQL = """r AS (SELECT entity, category, y AS ry, doy AS rdoy, target AS v FROM panel WHERE target IS NOT NULL),
+  pairs AS (SELECT q.entity, q.date, r.ry, r.v FROM panel q JOIN r ON r.entity = q.entity AND r.category = q.category AND r.ry < q.y AND least(abs(r.rdoy - q.doy), 366 - abs(r.rdoy - q.doy)) <= 15),
+  med AS (SELECT entity, date, count(DISTINCT ry) AS years, CASE WHEN count(DISTINCT ry) >= 3 THEN quantile_cont(v, 0.5) END AS m FROM pairs GROUP BY entity, date),
+  mads AS (SELECT entity, date, quantile_cont(abs(v - m), 0.5) AS mad FROM pairs JOIN med USING (entity, date) WHERE m IS NOT NULL GROUP BY entity, date),
+  pts AS (SELECT p.entity, p.date, p.target, coalesce(years, 0) AS years, m, mad, target - m AS residual, (target - m) / greatest(1.4826 * mad, 0.01) AS z FROM panel p LEFT JOIN med USING (entity, date) LEFT JOIN mads USING (entity, date)),
+  cand AS (SELECT *, coalesce(z <= {threshold} AND residual < 0, false) AS c FROM pts),
+  brk AS (SELECT *, CASE WHEN NOT c OR NOT coalesce(lag(c) OVER w, false) OR date - lag(date) OVER w > 16 THEN 1 ELSE 0 END AS b FROM cand WINDOW w AS (PARTITION BY entity ORDER BY date)),
+  isl AS (SELECT *, sum(b) OVER (PARTITION BY entity ORDER BY date) AS i FROM brk)"""
+
+
+@query(f"WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-2)} SELECT entity, date, years AS n_reference_years, {r6('m AS climatology_median', 'mad AS climatology_mad', 'residual', 'z AS robust_z')}, c AS candidate FROM cand")
+def anomaly_points_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomaly.baseline_points(P.nation_day(spark, sf_dir), "target")
+    names = ["climatology_median", "climatology_mad", "residual", "robust_z"]
+    return rounded(out.select("entity", "date", "n_reference_years", *names, "candidate"), *names)
+
+
+@query(f"""WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-1)}, e AS (SELECT entity, i, min(date) AS s, max(date) AS e, count(*) AS n, avg(-residual) AS mag, min(z) AS mz FROM isl WHERE c GROUP BY entity, i HAVING count(*) >= 2)
+  SELECT concat_ws(':', entity, CAST(s AS VARCHAR), CAST(e AS VARCHAR)) AS event_id, entity, s AS start_date, e AS end_date, n AS n_points, CAST(e - s + 1 AS BIGINT) AS duration_days, {r6("mag AS magnitude", "mz AS min_z", "mag * (e - s + 1) AS severity")} FROM e""")
+def events_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0))
+    return rounded(out.select("event_id", "entity", "start_date", "end_date", "n_points", "duration_days", "magnitude", "min_z", "severity"), "magnitude", "min_z", "severity")
+
+
+_DELIVERED_SQL = """obs AS (SELECT *, CASE WHEN s2 IS NOT NULL THEN 's2' WHEN landsat IS NOT NULL THEN 'landsat' ELSE 'modis' END AS source FROM panel WHERE target IS NOT NULL),
+  ref AS (SELECT entity, y, doy, 's2' AS source, s2 AS v FROM panel UNION ALL SELECT entity, y, doy, 'landsat', landsat FROM panel UNION ALL SELECT entity, y, doy, 'modis', modis FROM panel),
+  yr AS (SELECT q.entity, q.date, r.y, sum(exp(-0.5 * ((r.doy - q.doy) / 12.0) ** 2) * v) / sum(exp(-0.5 * ((r.doy - q.doy) / 12.0) ** 2)) AS m
+    FROM obs q JOIN ref r ON r.entity = q.entity AND r.source = q.source AND r.y <> q.y AND abs(r.doy - q.doy) <= 30 AND v BETWEEN -1 AND 1 GROUP BY q.entity, q.date, r.y),
+  cl AS (SELECT entity, date, avg(m) AS mu, stddev_pop(m) AS sd, count(m) AS n FROM yr GROUP BY entity, date),
+  zs AS (SELECT o.entity, o.date, o.source, mu, sd, coalesce(n, 0) AS n, CASE WHEN target BETWEEN -1 AND 1 AND n >= 3 THEN (target - mu) / greatest(sd, 0.03) END AS z FROM obs o LEFT JOIN cl USING (entity, date))"""
+
+
+@query(f"""WITH {PANEL_SQL}, {_DELIVERED_SQL} SELECT entity, date, source, {r6("mu AS reference_mean", "sd AS reference_std", "z AS z_score")}, CAST(n AS BIGINT) AS reference_years,
+  CASE WHEN z IS NULL THEN 'insufficient_or_invalid' WHEN z < -2 THEN 'strong_negative_candidate' WHEN z < -1 THEN 'negative_candidate' ELSE 'usual' END AS status FROM zs""")
+def anomaly_points_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomaly.delivered_points(P.nation_day(spark, sf_dir)).where("target is not null")
+    return rounded(out.select("entity", "date", "source", "reference_mean", "reference_std", "z_score", F.col("reference_years").cast("bigint").alias("reference_years"), "status"), "reference_mean", "reference_std", "z_score")
+
+
+@query(f"""WITH {PANEL_SQL}, {_DELIVERED_SQL}, c AS (SELECT *, coalesce(z < -1, false) AS c FROM zs),
+  b AS (SELECT *, CASE WHEN NOT c OR NOT coalesce(lag(c) OVER w, false) OR coalesce(date - lag(date) OVER w, 999) > 16 THEN 1 ELSE 0 END AS b FROM c WINDOW w AS (PARTITION BY entity ORDER BY date)),
+  i AS (SELECT *, sum(b) OVER (PARTITION BY entity ORDER BY date) AS i FROM b)
+  SELECT entity, min(date) AS start_date, max(date) AS end_date, count(*) AS observed_points, CAST(max(date) - min(date) AS BIGINT) AS duration_days, {r6("min(z) AS min_z")} FROM i WHERE c GROUP BY entity, i HAVING count(*) >= 2 AND max(date) - min(date) >= 8""")
+def events_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomaly.delivered_events(anomaly.delivered_points(P.nation_day(spark, sf_dir)))
+    return rounded(out.select("entity", "start_date", "end_date", "observed_points", "duration_days", "min_z"), "min_z")
+
+
+_SEASON_DAY = "dayofyear(make_date(2000, month(date), day(date)))"
+
+
+def _levels(name: str, keys: str) -> str:
+    """Annual medians of a level, and its quantiles over other years for each season day asked."""
+    k, on = (f"{keys}, " if keys else ""), " AND ".join([f"a.{x} = q.{x}" for x in keys.split(", ") if x] or ["true"])
+    own = f"entity, {'category, ' if 'category' in keys else ''}"
+    return f"""{name}_own AS (SELECT {own}ry, d, quantile_cont(v, 0.5) AS m FROM spread GROUP BY {own}ry, d),
+  {name}_year AS (SELECT {k}ry, d, quantile_cont(m, 0.5) AS m FROM {name}_own GROUP BY {k}ry, d),
+  {name}_pair AS (SELECT q.entity, q.date, a.m FROM asked q JOIN {name}_year a ON a.d = q.d AND a.ry <> q.y AND {on}),
+  {name}_q AS (SELECT entity, date, count(*) AS n, quantile_cont(m, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM {name}_pair GROUP BY entity, date HAVING count(*) >= 3),
+  {name} AS (SELECT entity, date, n, q, greatest(1.4826 * quantile_cont(abs(m - q[3]), 0.5), 0.04) AS s FROM {name}_pair JOIN {name}_q USING (entity, date) GROUP BY entity, date, n, q)"""
+
+
+_LOYO_SQL = f"""asked AS (SELECT entity, category, date, y, {_SEASON_DAY} AS d, target FROM panel),
+  spread AS (SELECT entity, category, y AS ry, (sd - 1 + delta + 366) % 366 + 1 AS d, v FROM (SELECT entity, category, y, {_SEASON_DAY} AS sd, target AS v FROM panel WHERE target IS NOT NULL), (SELECT unnest(generate_series(-10, 10)) AS delta)),
+  {_levels("g", "")}, {_levels("c", "category")}, {_levels("p", "entity, category")},
+  l1 AS (SELECT a.*, g.n AS n0, g.q AS q0, g.s AS s0, CASE WHEN c.n IS NULL THEN g.q[3] ELSE c.n / (c.n + 3) * c.q[3] + (1 - c.n / (c.n + 3)) * g.q[3] END AS e1, CASE WHEN c.n IS NULL THEN g.q[1] ELSE c.n / (c.n + 3) * c.q[1] + (1 - c.n / (c.n + 3)) * g.q[1] END AS t1,
+      CASE WHEN c.n IS NULL THEN g.s ELSE c.n / (c.n + 3) * c.s + (1 - c.n / (c.n + 3)) * g.s END AS s1, c.n AS n1, p.n AS n2, p.q AS q2, p.s AS s2_ FROM asked a LEFT JOIN g USING (entity, date) LEFT JOIN c USING (entity, date) LEFT JOIN p USING (entity, date)),
+  loyo AS (SELECT entity, date, target, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN e1 ELSE n2 / (n2 + 3) * q2[3] + (1 - n2 / (n2 + 3)) * e1 END AS expected, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t1 ELSE n2 / (n2 + 3) * q2[1] + (1 - n2 / (n2 + 3)) * t1 END AS q10,
+      CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN s1 ELSE n2 / (n2 + 3) * s2_ + (1 - n2 / (n2 + 3)) * s1 END AS scale, CASE WHEN n0 IS NULL THEN 0 ELSE coalesce(n2, n1, n0) END AS years,
+      CASE WHEN n0 IS NULL THEN 'insufficient' WHEN n2 IS NOT NULL THEN 'polygon' WHEN n1 IS NOT NULL THEN 'crop' ELSE 'global' END AS level FROM l1)"""
+
+
+@query(f"WITH {PANEL_SQL}, {_LOYO_SQL} SELECT entity, date, {r6('expected', 'scale AS climatology_scale', 'q10')}, years AS reference_years, level AS reference_level FROM loyo")
+def climatology_loyo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.nation_day(spark, sf_dir)
+    out = season.leave_one_year_out(panel, panel, "target")
+    return rounded(out.select("entity", "date", "expected", "climatology_scale", "q10", "reference_years", "reference_level"), "expected", "climatology_scale", "q10")
+
+
+_SCORE_SQL = f"""{_LOYO_SQL}, src AS (SELECT entity, date, CASE WHEN s2 IS NOT NULL THEN 's2' WHEN landsat IS NOT NULL THEN 'landsat' ELSE 'modis' END AS source, CASE WHEN (CASE WHEN s2 < 0.2 THEN 1 ELSE 0 END) + (CASE WHEN landsat < 0.2 THEN 1 ELSE 0 END) + (CASE WHEN modis < 0.2 THEN 1 ELSE 0 END) >= 2 THEN true ELSE false END AS multi FROM panel),
+  sc AS (SELECT l.*, source, multi, target - expected AS r, (target - expected) / scale AS z, coalesce(source <> lag(source) OVER (PARTITION BY entity ORDER BY date), false) AS sw FROM loyo l JOIN src USING (entity, date)),
+  scored AS (SELECT *, CASE level WHEN 'polygon' THEN 1.0 WHEN 'crop' THEN 0.85 WHEN 'global' THEN 0.5 ELSE 0.0 END * CASE WHEN sw AND NOT multi THEN 0.6 ELSE 1.0 END * CASE WHEN scale IS NULL THEN 0 ELSE 1 END AS conf, coalesce(z < -1, false) AS c FROM sc)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row counts as observed; sensors below 0.2 count as negative."""
+    panel = P.nation_day(spark, sf_dir)
+    low = sum((F.when(F.col(s) < 0.2, 1).otherwise(0) for s in P.SPEC.sensors), F.lit(0))
+    source = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
+    rows = season.leave_one_year_out(panel, panel, "target").withColumns({"is_observed": F.lit(True), "sensor_negative_count": low, "selected_source": source})
+    return anomaly.score_points(rows, "target")
+
+
+@query(f"WITH {PANEL_SQL}, {_SCORE_SQL} SELECT entity, date, {r6('r AS residual', 'z AS robust_z', 'conf AS confidence')}, sw AS source_switch_risk, multi AS multisensor_confirmation, c AS candidate FROM scored")
+def anomaly_points_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _scored(spark, sf_dir).select("entity", "date", "residual", "robust_z", "confidence", "source_switch_risk", "multisensor_confirmation", "candidate")
+    return rounded(out, "residual", "robust_z", "confidence")
+
+
+_EVENTS_SQL = f"""{_SCORE_SQL}, kept AS (SELECT * FROM scored WHERE c OR z IS NOT NULL),
+  br AS (SELECT *, CASE WHEN c AND (NOT coalesce(lag(c) OVER w, false) OR date - lag(date) OVER w > 10 OR year(date) <> year(lag(date) OVER w)) THEN 1 ELSE 0 END AS b FROM kept WINDOW w AS (PARTITION BY entity ORDER BY date)),
+  il AS (SELECT * FROM (SELECT *, sum(b) OVER (PARTITION BY entity ORDER BY date) AS i FROM br) WHERE c),
+  dd AS (SELECT *, greatest(-r, 0) AS depth, date - lag(date) OVER w AS days, lag(greatest(-r, 0)) OVER w AS pd, (r - lag(r) OVER w) / greatest(date - lag(date) OVER w, 1) AS slope FROM il WINDOW w AS (PARTITION BY entity, i ORDER BY date)),
+  ev0 AS (SELECT entity, i, min(date) AS s, max(date) AS e, count(*) AS n, avg(conf) * least(1.0, count(*) / 3) AS conf, quantile_cont(z, 0.5) AS zm, min(z) AS mz, coalesce(sum((depth + pd) * days / 2), 0) AS area, min(slope) AS slope, count(*) FILTER (multi) AS multi, bool_or(sw) AS sw FROM dd GROUP BY entity, i),
+  ev AS (SELECT *, CAST(e - s + 1 AS BIGINT) AS dur FROM ev0 WHERE n >= 2 AND e - s + 1 >= 3)"""
+_CODES_SQL = """list_filter([CASE WHEN multi >= 2 THEN 'MULTISENSOR_CONFIRMATION' END, CASE WHEN sw THEN 'SOURCE_SWITCH_RISK' END, CASE WHEN conf < 0.55 THEN 'LOW_DATA_COVERAGE' END, CASE WHEN dur >= 14 THEN 'PROLONGED_SUPPRESSION' END, CASE WHEN slope < -0.025 THEN 'RAPID_NEGATIVE_CHANGE' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"""WITH {PANEL_SQL}, {_EVENTS_SQL} SELECT entity, s AS start_date, e AS end_date, n AS observed_points, CAST(0 AS BIGINT) AS reconstructed_points, dur AS duration_days, {r6("conf AS confidence", "mz AS min_z", "area AS negative_area", "area * conf AS score")},
+  CASE WHEN zm < -2 AND n >= 2 AND dur >= 7 AND conf >= 0.55 THEN 'critical' ELSE 'biomass_suppression' END AS severity, array_to_string({_CODES_SQL}, ',') AS reason_codes FROM ev""")
+def events_advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomaly.advanced_events(_scored(spark, sf_dir)).withColumn("reason_codes", F.array_join("reason_codes", ","))
+    return rounded(out, "confidence", "min_z", "negative_area", "score")
+
+
+@query(f"""WITH {PANEL_SQL}, {_EVENTS_SQL}, t AS (SELECT *, {_CODES_SQL} AS codes FROM ev)
+  SELECT entity, s AS start_date, 'Sustained negative deviation' || CASE WHEN len(codes) > 0 THEN ': ' || array_to_string(list_transform(codes, lambda x: CASE x WHEN 'MULTISENSOR_CONFIRMATION' THEN 'several sensors agree' WHEN 'SOURCE_SWITCH_RISK' THEN 'the sensor changed, so part of the deviation may be its own'
+    WHEN 'LOW_DATA_COVERAGE' THEN 'few direct observations support it' WHEN 'PROLONGED_SUPPRESSION' THEN 'it lasted two weeks or longer' ELSE 'the value fell rapidly' END), '; ') ELSE '' END || '. No cause is established.' AS explanation FROM t""")
+def event_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.explained(anomaly.advanced_events(_scored(spark, sf_dir))).select("entity", "start_date", "explanation")
+
+
+@query(f"""WITH {PANEL_SQL}, {_EVENTS_SQL}, s AS (SELECT entity, count(*) AS rows FROM panel GROUP BY entity), x AS (SELECT entity, count(*) AS events, count(*) FILTER (zm < -2 AND dur >= 7 AND conf >= 0.55) AS critical, max(area * conf) AS max_score, max(conf) AS max_confidence FROM ev GROUP BY entity)
+  SELECT entity, rows, rows AS observed, coalesce(events, 0) AS events, coalesce(critical, 0) AS critical, {r6("max_score", "max_confidence")} FROM s LEFT JOIN x USING (entity)""")
+def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _scored(spark, sf_dir)
+    return rounded(anomaly.summary(points, anomaly.advanced_events(points)), "max_score", "max_confidence")
+
+
+@query(f"WITH {PANEL_SQL}, {_SCORE_SQL} SELECT entity, CASE WHEN bool_or(years < 3) THEN 'INSUFFICIENT_REFERENCE_YEARS' ELSE '' END AS warnings FROM scored GROUP BY entity")
+def anomaly_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.warnings(_scored(spark, sf_dir), "target").select("entity", F.array_join("warnings", ",").alias("warnings"))
+
+
+# --- harmonization -----------------------------------------------------------------------------------------
+
+_IQR_SQL = """prs AS (SELECT 's2' AS source, s2 AS a, s2 AS b FROM panel UNION ALL SELECT 'landsat', landsat, s2 FROM panel UNION ALL SELECT 'modis', modis, s2 FROM panel),
+  st AS (SELECT source, count(*) AS n, quantile_cont(a, 0.75) - quantile_cont(a, 0.25) AS da, quantile_cont(b, 0.75) - quantile_cont(b, 0.25) AS db, quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM prs WHERE a BETWEEN -1 AND 1 AND b BETWEEN -1 AND 1 GROUP BY source),
+  maps AS (SELECT source, CASE WHEN source = 's2' THEN 1.0 ELSE db / da END AS slope, CASE WHEN source = 's2' THEN 0.0 ELSE mb - db / da * ma END AS "offset", n AS n_pairs, CASE WHEN source = 's2' THEN 'reference' ELSE 'robust_affine' END AS status FROM st)"""
+
+
+@query(f"WITH {PANEL_SQL}, {_IQR_SQL} SELECT source, {r6('slope')}, round(\"offset\" + 1e-9, 6) + 0.0 AS \"offset\", n_pairs, status FROM maps")
+def iqr_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(harmonize.iqr_affine(P.nation_day(spark, sf_dir)), "slope", "offset")
+
+
+@query(f"""WITH {PANEL_SQL}, {_IQR_SQL}, e AS (SELECT source, a, b, slope * a + "offset" AS m FROM prs JOIN maps USING (source) WHERE source <> 's2' AND a IS NOT NULL AND b IS NOT NULL)
+  SELECT source, count(*) AS n, {r6("avg(abs(a - b)) AS mae_raw", "sqrt(avg((a - b) ** 2)) AS rmse_raw", "quantile_cont(a - b, 0.5) AS median_bias_raw", "avg(abs(m - b)) AS mae_harmonized", "sqrt(avg((m - b) ** 2)) AS rmse_harmonized", "quantile_cont(m - b, 0.5) AS median_bias_harmonized")} FROM e GROUP BY source""")
+def sensor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.nation_day(spark, sf_dir)
+    out = harmonize.alignment(panel, harmonize.iqr_affine(panel))
+    return rounded(out, *[c for c in out.columns if c not in ("source", "n")])
+
+
+@query(f"""WITH {PANEL_SQL}, {_IQR_SQL}, w AS (SELECT max(slope) FILTER (source = 'landsat') AS sl, max("offset") FILTER (source = 'landsat') AS ol, max(slope) FILTER (source = 'modis') AS sm, max("offset") FILTER (source = 'modis') AS om FROM maps)
+  SELECT entity, date, {r6("0.5 * target + 0.25 * (target * sl + ol) + 0.125 * (target * sm + om) + 0.125 * target AS harmonized")}, 'partial_or_identity' AS harmonization_status FROM panel, w""")
+def harmonize_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.nation_day(spark, sf_dir)
+    rows = panel.select("entity", "date", "target", F.lit(0.5).alias("p_s2"), F.lit(0.25).alias("p_landsat"), F.lit(0.125).alias("p_modis"))
+    out = harmonize.mixture(rows, "target", harmonize.iqr_affine(panel))
+    return rounded(out.select("entity", "date", "harmonized", "harmonization_status"), "harmonized")
+
+
+@query()
+def irls_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robust lines have no closed form in SQL; tests hold them against known lines."""
+    return harmonize.fit_robust(P.nation_day(spark, sf_dir))
+
+
+@query()
+def harmonize_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.nation_day(spark, sf_dir)
+    source = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
+    return harmonize.apply_robust(panel.withColumn("source", source), harmonize.fit_robust(panel), "target", "source")
+
+
+# --- evaluation --------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {CONTEXT_SQL}, u AS (SELECT 'overall' AS dimension, 'all' AS subgroup, pred_linear AS p, truth FROM preds UNION ALL SELECT 'category', category, pred_linear, truth FROM preds UNION ALL SELECT 'source', source, pred_linear, truth FROM preds
+    UNION ALL SELECT 'year', CAST(y AS VARCHAR), pred_linear, truth FROM preds UNION ALL SELECT 'left_bin', left_bin, pred_linear, truth FROM preds),
+  m AS (SELECT dimension, subgroup, count(*) AS n, sqrt(avg((p - truth) ** 2)) AS rmse FROM u GROUP BY 1, 2)
+  SELECT dimension, subgroup, n, {r6("rmse", "30 * greatest(0.0, 1 - rmse / 0.10) AS gap_score")} FROM m UNION ALL SELECT 'confidence_bin', 'unavailable', count(*), NULL, NULL FROM preds""")
+def metric_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predicted(spark, sf_dir)
+    return rounded(evaluate.metric_table(rows, "truth", "pred_linear", ["category", "source", "year", "left_bin", "confidence_bin"]), "rmse", "gap_score")
+
+
+_ROLE = "CASE WHEN substr(md5(entity), 1, 1) < '8' THEN 'development' ELSE 'audit' END"
+
+
+def _role(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("role", F.when(F.substring(F.md5("entity"), 1, 1) < "8", "development").otherwise("audit"))
+
+
+@query(f"""WITH {CONTEXT_SQL}, r AS (SELECT *, {_ROLE} AS role FROM preds), u AS (SELECT role, 'year' AS slice, CAST(y AS VARCHAR) AS value, pred_linear - truth AS e FROM r UNION ALL SELECT role, 'source', source, pred_linear - truth FROM r
+    UNION ALL SELECT role, 'category', category, pred_linear - truth FROM r UNION ALL SELECT role, 'entity', entity, pred_linear - truth FROM r)
+  SELECT role, slice, value, count(*) AS n, {r6("sqrt(avg(e * e)) AS rmse", "avg(abs(e)) AS mae", "30 * greatest(0.0, 1 - sqrt(avg(e * e)) / 0.10) AS gap_score")} FROM u GROUP BY 1, 2, 3""")
+def error_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _role(_predicted(spark, sf_dir))
+    return rounded(evaluate.error_slices(rows, "truth", "pred_linear", "role", ["year", "source", "category", "entity"]), "rmse", "mae", "gap_score")
+
+
+_MODE = "substr('ABCD', CAST(y % 4 AS INT) + 1, 1)"
+
+
+@query(f"WITH {CONTEXT_SQL}, m AS (SELECT {_MODE} AS mode, sqrt(avg((pred_linear - truth) ** 2)) AS r FROM preds GROUP BY 1) SELECT {r6('''sum(r * CASE mode WHEN 'A' THEN 0.5 WHEN 'B' THEN 0.25 WHEN 'C' THEN 0.15 ELSE 0.1 END) AS composite''')} FROM m")
+def composite_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predicted(spark, sf_dir).withColumn("mode", F.substring(F.lit("ABCD"), F.year("date") % 4 + 1, F.lit(1)))
+    return rounded(evaluate.composite(rows, "mode", "truth", "pred_linear"), "composite")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible rows with fixed pseudo-probabilities of their source from a hash, for the calibration tables."""
+    rows = P.nation_day(spark, sf_dir).where("target is not null")
+    a, b = (F.conv(F.substring(F.md5(F.concat_ws("|", "entity", F.col("date").cast("string"))), k, 2), 16, 10).cast("double") + 1 for k in (1, 3))
+    label = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
+    rows = rows.select("entity", "date", label.alias("label"), a.alias("a"), b.alias("b"), F.substring(F.lit("ABCD"), F.year("date") % 4 + 1, F.lit(1)).alias("mode"))
+    total = F.col("a") + F.col("b") + 64
+    return rows.withColumns({"p_s2": F.col("a") / total, "p_landsat": F.col("b") / total, "p_modis": 64 / total})
+
+
+_CLASS_SQL = f"""h AS (SELECT entity, date, y, CASE WHEN s2 IS NOT NULL THEN 's2' WHEN landsat IS NOT NULL THEN 'landsat' ELSE 'modis' END AS label,
+    CAST(CAST('0x' || substr(md5(concat_ws('|', entity, CAST(date AS VARCHAR))), 1, 2) AS INT) AS DOUBLE) + 1 AS a, CAST(CAST('0x' || substr(md5(concat_ws('|', entity, CAST(date AS VARCHAR))), 3, 2) AS INT) AS DOUBLE) + 1 AS b FROM panel WHERE target IS NOT NULL),
+  cl AS (SELECT {_MODE} AS mode, label, a / (a + b + 64) AS p_s2, b / (a + b + 64) AS p_landsat, 64 / (a + b + 64) AS p_modis FROM h)"""
+
+
+@query(f"""WITH {PANEL_SQL}, {_CLASS_SQL}, u AS (SELECT mode, label, 's2' AS source, p_s2 AS p FROM cl UNION ALL SELECT mode, label, 'landsat', p_landsat FROM cl UNION ALL SELECT mode, label, 'modis', p_modis FROM cl)
+  SELECT mode, source, CAST(greatest(1, ceil(p * 5)) AS INT) AS bin, count(*) AS n, {r6("avg(p) AS mean_probability", "avg(CASE WHEN label = source THEN 1.0 ELSE 0.0 END) AS observed_frequency")} FROM u GROUP BY 1, 2, 3""")
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.reliability(_classified(spark, sf_dir), "mode", "label", list(P.SPEC.sensors)), "mean_probability", "observed_frequency")
+
+
+@query(f"""WITH {PANEL_SQL}, {_CLASS_SQL} SELECT count(*) AS n, {r6("avg(CASE WHEN label = CASE WHEN p_s2 >= p_landsat AND p_s2 >= p_modis THEN 's2' WHEN p_landsat >= p_modis THEN 'landsat' ELSE 'modis' END THEN 1.0 ELSE 0.0 END) AS accuracy",
+  "avg((p_s2 - CASE WHEN label = 's2' THEN 1 ELSE 0 END) ** 2 + (p_landsat - CASE WHEN label = 'landsat' THEN 1 ELSE 0 END) ** 2 + (p_modis - CASE WHEN label = 'modis' THEN 1 ELSE 0 END) ** 2) AS brier")} FROM cl""")
+def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.brier(_classified(spark, sf_dir), "label", list(P.SPEC.sensors)), "accuracy", "brier")
+
+
+_RADII_SQL = """er AS (SELECT source, abs(pred_linear - truth) AS e FROM preds), lab AS (SELECT source AS label, e FROM er UNION ALL SELECT 'global', e FROM er),
+  rk AS (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY e) AS k, count(*) OVER (PARTITION BY label) AS n FROM lab),
+  radii AS (SELECT label, level, min(e) AS radius, any_value(n) AS n FROM rk, (SELECT unnest([0.8, 0.95]) AS level) WHERE k >= ceil(least(1.0, ceil((n + 1) * CAST(level AS DOUBLE)) / n) * (n - 1)) + 1 GROUP BY label, level)"""
+
+
+@query(f"WITH {CONTEXT_SQL}, {_RADII_SQL} SELECT label, CAST(level AS DOUBLE) AS level, {r6('radius')}, n FROM radii")
+def residual_quantile_higher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predicted(spark, sf_dir)
+    return rounded(reconstruct.residual_radii(rows, F.col("pred_linear") - F.col("truth"), F.col("source")), "radius")
+
+
+@query(f"""WITH {CONTEXT_SQL}, {_RADII_SQL}, j AS (SELECT p.source, p.truth, p.pred_linear - radius AS lo, p.pred_linear + radius AS hi FROM preds p JOIN radii r ON r.label = p.source AND r.level = 0.8)
+  SELECT source, count(*) AS n, {r6("avg(CASE WHEN truth BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) AS coverage", "avg(hi - lo) AS mean_width")} FROM j GROUP BY source""")
+def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predicted(spark, sf_dir)
+    radii = reconstruct.residual_radii(rows, F.col("pred_linear") - F.col("truth"), F.col("source"))
+    return rounded(evaluate.coverage(reconstruct.intervals(rows, "pred_linear", F.col("source"), radii, 0.8), "truth", ["source"]), "coverage", "mean_width")
+
+
+def _boot(sums: str, draws: int, seed: int) -> str:
+    return f"""tot AS (SELECT entity, count(*) AS n, {sums}, row_number() OVER (ORDER BY entity) - 1 AS i FROM preds GROUP BY entity), sz AS (SELECT count(*) AS k FROM tot),
+  sl AS (SELECT draw, slot, k FROM sz, (SELECT unnest(generate_series(0, {draws - 1})) AS draw), LATERAL (SELECT unnest(generate_series(0, k - 1)) AS slot)),
+  pk AS (SELECT draw, CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(draw AS VARCHAR), CAST(slot AS VARCHAR))), 1, 8) AS BIGINT) % k AS i FROM sl)"""
+
+
+@query(f"""WITH {CONTEXT_SQL}, {_boot("sum((pred_linear - truth) ** 2) AS sse", 1500, 1981)}, b AS (SELECT draw, sqrt(sum(sse) / sum(n)) AS r FROM pk JOIN tot USING (i) GROUP BY draw)
+  SELECT {r6("(SELECT sqrt(avg((pred_linear - truth) ** 2)) FROM preds) AS rmse", "quantile_cont(r, 0.025) AS low", "quantile_cont(r, 0.975) AS high")} FROM b""")
+def bootstrap_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.bootstrap_rmse(_predicted(spark, sf_dir), "entity", "truth", "pred_linear"), "rmse", "low", "high")
+
+
+@query(f"""WITH {CONTEXT_SQL}, {_boot("sum((pred_linear - truth) ** 2) AS a, sum((pred_mean_neighbors - truth) ** 2) AS b", 2000, 7)}, g AS (SELECT draw, sqrt(sum(a) / sum(n)) - sqrt(sum(b) / sum(n)) AS g FROM pk JOIN tot USING (i) GROUP BY draw)
+  SELECT {r6("(SELECT sqrt(avg((pred_linear - truth) ** 2)) - sqrt(avg((pred_mean_neighbors - truth) ** 2)) FROM preds) AS gain", "quantile_cont(g, 0.025) AS low", "quantile_cont(g, 0.975) AS high", "avg(CASE WHEN g > 0 THEN 1.0 ELSE 0.0 END) AS share")} FROM g""")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.paired_bootstrap(_predicted(spark, sf_dir), "entity", "truth", "pred_linear", "pred_mean_neighbors"), "gain", "low", "high", "share")
+
+
+@query(f"""WITH {CONTEXT_SQL}, f AS (SELECT category AS fold, pred_linear - truth AS e, pred_mean_neighbors - pred_linear AS d FROM preds), s AS (SELECT fold, count(*) AS n, sum(e * e) AS ee, sum(e * d) AS ed, sum(d * d) AS dd FROM f GROUP BY fold),
+  t AS (SELECT sum(n) AS n, sum(ee) AS ee, sum(ed) AS ed, sum(dd) AS dd FROM s), g AS (SELECT s.fold, w / 100 AS weight, round((t.ee - s.ee + 2 * (w / 100) * (t.ed - s.ed) + (w / 100) * (w / 100) * (t.dd - s.dd)) / (t.n - s.n), 12) AS o,
+    sqrt((s.ee + 2 * (w / 100) * s.ed + (w / 100) * (w / 100) * s.dd) / s.n) AS rmse FROM s, t, (SELECT unnest(generate_series(0, 100)) AS w))
+  SELECT fold, weight, {r6("rmse")} FROM g QUALIFY row_number() OVER (PARTITION BY fold ORDER BY o, weight) = 1""")
+def blend_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.blend_grid(_predicted(spark, sf_dir), "category", "truth", "pred_linear", "pred_mean_neighbors"), "rmse")
+
+
+@query(f"""WITH {CONTEXT_SQL} SELECT entity, date, {r6("0.7 * pred_linear + 0.3 * pred_seasonal_crop AS blended", "abs(pred_linear - pred_seasonal_crop) / 2 AS disagreement", "CASE WHEN left_days IS NULL OR right_days IS NULL OR least(left_days, right_days) > 15 THEN 0.5 * (0.7 * pred_linear + 0.3 * pred_seasonal_crop) + 0.5 * pred_mean_neighbors ELSE 0.7 * pred_linear + 0.3 * pred_seasonal_crop END AS gated")} FROM preds""")
+def blend_and_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconstruct.blend(_predicted(spark, sf_dir), {"pred_linear": 0.7, "pred_seasonal_crop": 0.3})
+    gate = reconstruct.gate_mask("long_one_sided", F.col("left_days"), F.col("right_days"))
+    out = reconstruct.apply_gate(rows, "blended", "pred_mean_neighbors", gate)
+    return rounded(out.select("entity", "date", "blended", "disagreement", "gated"), "blended", "disagreement", "gated")
+
+
+@query()
+def splines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pchip and akima through the eight nearest observations; tests hold them against known curves."""
+    rows = asof.neighbors(_masked(spark, sf_dir), "target").where("hidden")
+    return reconstruct.splines(rows).select("entity", "date", "pchip", "akima")
+
+
+# --- donors ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT entity, date, s2 - 0.5 AS v FROM masked WHERE s2 BETWEEN -1 AND 1),
+  p AS (SELECT a.entity, b.entity AS donor, count(*) AS n, sum(b.v) AS sx, sum(a.v) AS sy, sum(b.v * b.v) AS sxx, sum(a.v * a.v) AS syy, sum(a.v * b.v) AS sxy FROM s a JOIN s b ON a.date = b.date AND a.entity <> b.entity GROUP BY 1, 2 HAVING count(*) >= 12),
+  c AS (SELECT entity, donor, n, sx / n + 0.5 AS mx, sy / n + 0.5 AS my, sxx - sx * sx / n AS xx, syy - sy * sy / n AS yy, sxy - sx * sy / n AS xy FROM p),
+  f AS (SELECT *, xy / sqrt(greatest(xx * yy, 1e-10)) AS r, greatest(0.2, least(1.8, (xy + 0.15) / (xx + 0.15))) AS slope FROM c)
+  SELECT entity, donor, {r6("slope", "my - slope * mx AS intercept", "r ** 4 * n / (n + 30) AS weight")} FROM f WHERE r >= 0.02""")
+def donor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are barely correlated, so the least correlation is lower here."""
+    return rounded(donors.pair_fits(_masked(spark, sf_dir), "s2", least_corr=0.02), "slope", "intercept", "weight")
+
+
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT entity, date, s2 - 0.5 AS v FROM masked WHERE s2 BETWEEN -1 AND 1),
+  p AS (SELECT a.entity, b.entity AS donor, count(*) AS n, sum(b.v) AS sx, sum(a.v) AS sy, sum(b.v * b.v) AS sxx, sum(a.v * a.v) AS syy, sum(a.v * b.v) AS sxy FROM s a JOIN s b ON a.date = b.date AND a.entity <> b.entity WHERE a.entity < 'NATION_2' GROUP BY 1, 2 HAVING count(*) >= 12),
+  c AS (SELECT entity, donor, n, sxx - sx * sx / n AS xx, syy - sy * sy / n AS yy, sxy - sx * sy / n AS xy FROM p) SELECT count(*) AS n, {r6("max((xy / sqrt(greatest(xx * yy, 1e-10))) ** 4 * n / (n + 30)) AS most")} FROM c WHERE xy / sqrt(greatest(xx * yy, 1e-10)) >= 0.2""")
+def donor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = donors.pair_fits(_masked(spark, sf_dir), "s2").where("entity < 'NATION_2'")
+    return rounded(fits.agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")), "most")
+
+
+@query()
+def donor_top3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' days; the fit and choice of donors are tested against a direct computation."""
+    panel = P.masked(P.hash_gaps(P.user_day(spark, sf_dir)))
+    return donors.donors(panel.where("hidden"), panel, "target")
+
+
+# --- folds -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, date, y FROM panel WHERE target IS NOT NULL), s AS (SELECT entity, count(*) AS n FROM v GROUP BY entity), o AS (SELECT entity, (row_number() OVER (ORDER BY n DESC, entity) - 1) % 10 AS lap FROM s)
+  SELECT entity, CAST(CASE WHEN lap < 5 THEN lap ELSE 9 - lap END AS INT) AS fold FROM o""")
+def fold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.entity_groups(P.nation_day(spark, sf_dir))
+
+
+@query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, date, y FROM panel WHERE target IS NOT NULL),
+  h AS (SELECT seed, entity, date, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), CAST(seed AS VARCHAR))), entity, date) AS k FROM v, (SELECT unnest([11, 29, 47, 71, 97]) AS seed)),
+  l AS (SELECT entity, date, row_number() OVER (ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '2011')), entity, date) AS k FROM v WHERE y = (SELECT max(y) FROM v))
+  SELECT 'A' AS mode, CASE seed WHEN 11 THEN 0 WHEN 29 THEN 1 WHEN 47 THEN 2 WHEN 71 THEN 3 ELSE 4 END AS repeat, entity, date, substr(md5(concat_ws('|', entity, CAST(seed AS VARCHAR))), 1, 2) >= '80' AS seen FROM h WHERE k <= 1200
+  UNION ALL SELECT 'C', 0, entity, date, true FROM l WHERE k <= 1200""")
+def fold_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.folds(P.nation_day(spark, sf_dir)).where("mode in ('A', 'C')").select("mode", "repeat", "entity", "date", "seen")
+
+
+@query()
+def fold_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.folds(P.nation_day(spark, sf_dir))
+
+
+@query(f"""WITH {PANEL_SQL}, n AS (SELECT entity, y, date, row_number() OVER (PARTITION BY entity, y ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '5'))) - 1 + CAST('0x' || substr(md5(concat_ws('|', entity, CAST(y AS VARCHAR), '5')), 1, 8) AS BIGINT) AS k FROM panel)
+  SELECT entity, y AS year, CAST(k % 7 AS INT) AS part, count(*) AS n FROM n GROUP BY ALL""")
+def mask_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mask.partitions(P.nation_day(spark, sf_dir), 5)
+    return rows.groupBy("entity", F.year("date").cast("bigint").alias("year"), "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, date, y FROM panel WHERE target IS NOT NULL), l AS (SELECT entity, date, row_number() OVER (ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '2011')), entity, date) AS k FROM v WHERE y = (SELECT max(y) FROM v))
+  SELECT p.y AS year, count(*) FILTER (p.y >= (SELECT max(y) FROM v)) AS hidden, count(l.entity) AS scored, count(*) AS n FROM panel p LEFT JOIN (SELECT * FROM l WHERE k <= 1200) l ON l.entity = p.entity AND l.date = p.date GROUP BY p.y""")
+def context_past_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.nation_day(spark, sf_dir)
+    rows = mask.context_of(panel, mask.folds(panel).where("mode = 'C'"))
+    return rows.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.when(F.col("hidden"), 1)).alias("hidden"), F.count(F.when(F.col("scored"), 1)).alias("scored"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def context_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode D, fold 0: one visible observation per entity of the fold."""
+    panel = P.nation_day(spark, sf_dir)
+    fold = mask.folds(panel).where("mode = 'D' and fold = 0")
+    return mask.context_of(panel, fold).join(fold.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count(F.when(~F.col("hidden") & F.col("target").isNotNull(), 1)).alias("visible"), F.count(F.when(F.col("scored"), 1)).alias("scored"))
+
+
+# --- calendar windows --------------------------------------------------------------------------------------
+
+_USER_SQL = """ud AS (SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS date, CAST(user_id % 4 AS VARCHAR) AS category,
+    CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'view') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'view'), 0) AS s2, CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'click') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'click'), 0) AS landsat,
+    CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'purchase') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'purchase'), 0) AS modis FROM events GROUP BY 1, 2, 3),
+  up AS (SELECT *, coalesce(s2, landsat, modis) AS target FROM ud), ends AS (SELECT entity, year(date) AS y, min(date) AS a, max(date) AS b FROM up GROUP BY 1, 2),
+  grid AS (SELECT entity, y, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM ends),
+  sp AS (SELECT g.entity, g.y, g.date, CAST(g.date - DATE '1970-01-01' AS BIGINT) AS day, CAST(CAST(g.entity AS BIGINT) % 4 AS VARCHAR) AS category, s2, target FROM grid g LEFT JOIN up USING (entity, date)),
+  fl AS (SELECT *, last_value(CASE WHEN s2 IS NOT NULL THEN day END IGNORE NULLS) OVER b AS ld, last_value(s2 IGNORE NULLS) OVER b AS lv, first_value(CASE WHEN s2 IS NOT NULL THEN day END IGNORE NULLS) OVER a AS rd, first_value(s2 IGNORE NULLS) OVER a AS rv
+    FROM sp WINDOW b AS (PARTITION BY entity, y ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity, y ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"WITH {_USER_SQL} SELECT entity, date, category, target IS NOT NULL AS has_row, {r6('target')} FROM sp")
+def calendar_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.spine(P.user_day(spark, sf_dir)).select("entity", "date", "category", "has_row", "target"), "target")
+
+
+@query(f"WITH {_USER_SQL} SELECT entity, date, CAST(least(366, coalesce(day - ld, 366)) AS INT) AS s2_since, CAST(least(366, coalesce(rd - day, 366)) AS INT) AS s2_until, {r6('CASE WHEN rd = ld THEN lv ELSE coalesce((lv * (rd - day) + rv * (day - ld)) / (rd - ld), lv, rv) END AS s2_filled')} FROM fl")
+def deltas_since_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = windows.filled(windows.deltas(windows.spine(P.user_day(spark, sf_dir)), "s2"), "s2")
+    return rounded(grid.select("entity", "date", "s2_since", "s2_until", "s2_filled"), "s2_filled")
+
+
+@query(f"""WITH {PANEL_SQL}, s AS (SELECT category, (doy - 1 + delta + 366) % 366 + 1 AS doy, target AS v FROM panel, (SELECT unnest(generate_series(-12, 12)) AS delta) WHERE target IS NOT NULL)
+  SELECT category, CAST(doy AS INT) AS doy, {r6("CASE WHEN count(*) >= 3 THEN quantile_cont(v, 0.5) END AS median")}, count(*) AS support FROM s GROUP BY category, doy""")
+def doy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(season.doy_profile(P.nation_day(spark, sf_dir), "target", ["category"]), "median")
+
+
+@query(f"""WITH {_USER_SQL}, w AS (SELECT q.entity, q.date, sum(v.target) AS total, count(v.target) AS seen, count(*) AS valid FROM sp q JOIN sp v ON v.entity = q.entity AND v.y = q.y AND abs(v.day - q.day) <= 30 GROUP BY q.entity, q.date)
+  SELECT entity, date, CAST(61 AS INT) AS size, {r6("coalesce(total, 0) AS total")}, CAST(seen AS DOUBLE) AS seen, CAST(valid AS DOUBLE) AS valid FROM w""")
+def centred_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.centred(windows.spine(P.user_day(spark, sf_dir)), ["target"])
+
+    def total(k: int):
+        return F.aggregate("window", F.lit(0.0), lambda s, x: s + F.get(x, k))
+
+    return rounded(out.select("entity", "date", F.size("window").alias("size"), total(0).alias("total"), total(1).alias("seen"), total(2).alias("valid")), "total")
+
+
+@query(f"""WITH {PANEL_SQL}, u AS (SELECT unnest(['s2', 'landsat', 'modis']) AS channel, unnest([s2, landsat, modis]) AS v FROM panel) SELECT channel, {r6("quantile_cont(v, 0.5) AS centre", "greatest(stddev_pop(v), 0.01) AS scale")} FROM u WHERE v IS NOT NULL GROUP BY channel""")
+def robust_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.scaler(P.nation_day(spark, sf_dir), list(P.SPEC.sensors)), "centre", "scale")
+
+
+# --- submissions -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PANEL_SQL}, g AS (SELECT entity, date FROM drawn WHERE hidden), k AS (SELECT *, substr(md5(concat_ws('|', entity, CAST(date AS VARCHAR), '3')), 1, 2) AS h FROM g)
+  SELECT type, n FROM (SELECT 'missing_key' AS type, count(*) AS n FROM k WHERE h < '04' OR h >= 'fc' UNION ALL SELECT 'nan_prediction', count(*) FROM k WHERE h >= '04' AND h < '08' UNION ALL SELECT 'string_prediction', count(*) FROM k WHERE h >= '08' AND h < '0c'
+    UNION ALL SELECT 'inf_prediction', count(*) FROM k WHERE h >= '0c' AND h < '10' UNION ALL SELECT 'invalid_date', count(*) FROM k WHERE h >= 'fc' UNION ALL SELECT 'row_count_mismatch', 1) WHERE n > 0""")
+def submission_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission with some rows left out, some dates broken and some predictions that are no numbers."""
+    gaps = P.hash_gaps(P.nation_day(spark, sf_dir)).where("hidden").select(F.col("entity").alias("anon_polygon_id"), "date")
+    h = P.hash_byte("anon_polygon_id", "date", 3)
+    rows = gaps.where(h >= "04")
+    p = F.when(h < "08", "nan").when(h < "0c", "abc").when(h < "10", "-inf").otherwise("0.5")
+    day = F.when(h >= "fc", F.concat(F.lit("x"), F.col("date").cast("string"))).otherwise(F.col("date").cast("string"))
+    return hygiene.submission_violations(rows.select("anon_polygon_id", day.alias("date"), p.alias("primary_ndvi_pred")), gaps).select("type", "n")
+
+
+@query()
+def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hygiene.row_digest(P.read(spark, sf_dir, "nation"))
