@@ -12,7 +12,8 @@ A file is a list of segments, each ended by END; a segment is
     firsts   uint64 per block: where its exceptions begin
     places   uint16 per exception: place in its block
     values   uint32 per exception: what to add to the minimum
-    payload  per block its ids less the minimum, packed in `width` bits each, low bits first
+    payload  per block its ids less the minimum, packed in `width` bits each, low bits first: a width of up to
+             16 is even and one above a multiple of 4, so that four ids, or two, fill whole bytes
 
 Blocks hold BLOCK ids (the last one fewer). The width of a block is that of the PERCENTILE-th of its
 differences; larger ones are exceptions, packed as zero. Ids stand in ascending order of documents. The
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ from pyspark.sql.types import DataType
 
 from lacuna.llm import pretokens
 from lacuna.llm.common import BROADCAST_ROWS, new_path, ship, text_slices
+from lacuna.llm.vocabulary import byte_letters
 
 MAGIC, END = b"IDBLOCK1", "END1KDI\n"
 BLOCK, PERCENTILE = 128, 90
@@ -43,13 +46,19 @@ HEAD = struct.Struct("<8s8Q")
 
 
 def _widths(blocks: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Per row the bits of the PERCENTILE-th of its differences; rows are padded at the end."""
+    """Per row the bits of the PERCENTILE-th of its differences, rounded up; rows are padded at the end."""
     if not len(blocks):
         return np.zeros(0, np.uint8)
     place = np.maximum(0, -(-full * PERCENTILE // 100) - 1)
     ordered = np.sort(np.where(np.arange(BLOCK) < full[:, None], blocks, np.uint32(2**32 - 1)), axis=1)
     at = ordered[np.arange(len(blocks)), place].astype(np.float64)
-    return np.where(at > 0, np.floor(np.log2(np.maximum(at, 1))) + 1, 0).astype(np.uint8)
+    bits = np.where(at > 0, np.floor(np.log2(np.maximum(at, 1))) + 1, 0).astype(np.int64)
+    return np.where(bits <= 16, bits + bits % 2, bits + -bits % 4).astype(np.uint8)
+
+
+def _shifts(width: int) -> np.ndarray:
+    """Where the four ids, or two, of a word of whole bytes begin in it."""
+    return np.arange(4 if width <= 16 else 2, dtype=np.uint64) * np.uint64(width)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -73,8 +82,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     for width in np.unique(widths).tolist():
         if width:
             which = np.flatnonzero(widths == width)
-            bits = np.unpackbits(small[which].view(np.uint8).reshape(len(which), BLOCK, 4), axis=2, count=width, bitorder="little")
-            packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+            shifts = _shifts(width)
+            words = np.bitwise_or.reduce(small[which].reshape(-1, len(shifts)).astype(np.uint64) << shifts, axis=1)
+            packed = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width * len(shifts) // 8].reshape(len(which), -1)
             payload[starts[which, None] + np.arange(packed.shape[1])] = packed
     return minima, widths, starts.astype(np.uint64), firsts, places.astype(np.uint16), values, payload.tobytes()
 
@@ -87,9 +97,12 @@ def unpack(n_ids: int, minima: np.ndarray, widths: np.ndarray, starts: np.ndarra
         if width:
             which = np.flatnonzero(widths == width)
             packed = payload[starts[which, None].astype(np.int64) + np.arange(width * BLOCK // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, width)
-            four = np.packbits(np.concatenate([bits, np.zeros((len(which), BLOCK, 32 - width), np.uint8)], axis=2), axis=2, bitorder="little")
-            out[which] = four.reshape(len(which), -1).view("<u4")
+            shifts = _shifts(width)
+            size = width * len(shifts) // 8
+            words = np.zeros((packed.size // size, 8), np.uint8)
+            words[:, :size] = packed.reshape(-1, size)
+            ids = words.view("<u8") >> shifts & np.uint64((1 << width) - 1)
+            out[which] = ids.reshape(len(which), BLOCK)
     counts = np.diff(np.append(firsts.astype(np.int64), len(places) + (firsts[0] if n else 0)).astype(np.int64))
     out[np.repeat(np.arange(n), counts), places] = values
     return (out + minima[:, None]).reshape(-1)[:n_ids]
@@ -140,7 +153,7 @@ class Encoder:
     """Encodes with the tokenizers library. Texts are cut at spaces where its pre-tokenizer cuts too, and
     only chunks not met before are given to it."""
 
-    KEEP = 400_000
+    KEEP = 600_000
 
     def __init__(self, path: str):
         import os
@@ -152,11 +165,34 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = pretokens.Special({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.known = _Known()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, with the space before them: one pre-token each, so that the
+        library's model can take them as they are, in the letters that stand for their bytes."""
+        merge, space = self.library.model.tokenize, self.letters[32]
+        spelt = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in spelt]
+
+    def _fresh(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks, each with a space before it. A word and the full stop or comma after it are two
+        pre-tokens."""
+        plain = {c for c in chunks if c.isalpha()}
+        ended = {c for c in chunks if c[-1:] in (".", ",") and c[:-1].isalpha()}
+        words = list(plain | {w for c in ended if (w := c[:-1]) not in self.known})
+        found = dict(zip(words, self._words(words)))
+        rest = list(chunks - plain - ended)
+        found |= zip(rest, self._ids([" " + c for c in rest]))
+        ends = dict(zip(".,", self._ids([".", ","])))
+        for c in ended:
+            word = c[:-1]
+            found[c] = (found[word] if word in found else self.known[word]) + ends[c[-1]]
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids. Chunks that were not met before are kept for later texts until KEEP are."""
         parts, heads = [], []
@@ -164,9 +200,11 @@ class Encoder:
             own = [(pretokens.chunks(plain) if plain else None, special) for plain, special in self.special.split(text)]
             heads += [c[0] for c, _ in own if c]
             parts.append(own)
-        fresh = list(set().union(*(c[1:] for own in parts for c, _ in own if c)) - self.known.keys())
-        new = dict(zip(fresh, self._ids([" " + c for c in fresh])))
-        self.known.now = new
+        new = self._fresh(set().union(*(c[1:] for own in parts for c, _ in own if c)) - self.known.keys())
+        keep = len(self.known) < self.KEEP
+        if keep:
+            self.known |= new
+        self.known.now = {} if keep else new
         first, get = iter(self._ids(heads)), self.known.__getitem__
         out = []
         for own in parts:
@@ -178,8 +216,8 @@ class Encoder:
                 if special is not None:
                     found.append(special.to_bytes(4, "little"))
             out.append(np.frombuffer(b"".join(found), "<u4"))
-        if len(self.known) < self.KEEP:
-            self.known |= {c: x for c, x in new.items() if len(c) <= 64}
+        for c in [c for c in new if len(c) > 64] if keep else ():
+            del self.known[c]
         self.known.now = {}
         return out
 

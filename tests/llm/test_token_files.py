@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ def test_outliers_are_exceptions():
     ids[::2] = 1007
     ids[5] = 50_000
     minima, widths, *_, places, values, payload = T.pack(ids)
-    assert minima.tolist() == [1000, 1000] and widths.tolist() == [3, 3] and places.tolist() == [5] and values.tolist() == [49_000] and len(payload) == 96
+    assert minima.tolist() == [1000, 1000] and widths.tolist() == [4, 4] and places.tolist() == [5] and values.tolist() == [49_000] and len(payload) == 128
 
 
 def test_round_trip(spark):
@@ -43,6 +44,16 @@ def test_round_trip(spark):
     assert len(got) == len(texts)
 
 
+def test_encoder_equals_library():
+    r, library = random.Random(2), Tokenizer.from_file(PATH)
+    parts = ["The", "cat", "é", "déjà", "漢字", "²", ",", ".", "'s", " ", "  ", "\n", "<|endoftext|>", "ª", "12", "x.", "Ⅷ", "ǅ", "_"]
+    texts = [" ".join("".join(r.choice(parts) for _ in range(r.randrange(4))) for _ in range(r.randrange(9))) for _ in range(3000)]
+    enc = T.Encoder(PATH)
+    for k in range(0, 3000, 500):
+        for text, ids in zip(texts[k : k + 500], enc.encode(texts[k : k + 500])):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_edges(spark):
     assert T.round_trip(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
     df = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id bigint, text string")
