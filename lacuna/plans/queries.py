@@ -816,3 +816,100 @@ def submission_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hygiene.row_digest(P.read(spark, sf_dir, "nation"))
+
+
+# --- geometry, learners, streams ---------------------------------------------------------------------------
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square field for each customer, placed by its key; every tenth crosses itself."""
+    k = F.col("c_custkey")
+    lon, lat, side = F.pmod(k * 37, F.lit(340)) - 170.0, F.pmod(k * 17, F.lit(120)) - 60.0, 0.001 + F.pmod(k, F.lit(50)) / 1000
+    text = F.when(k % 10 == 0, "%1$s,%2$s],[%3$s,%4$s],[%3$s,%2$s],[%1$s,%4$s],[%1$s,%2$s").otherwise("%1$s,%2$s],[%3$s,%2$s],[%3$s,%4$s],[%1$s,%4$s],[%1$s,%2$s")
+    corners = [c.cast("string") for c in (lon, lat, lon + side, lat + side)]
+    body = text
+    for i, c in enumerate(corners, 1):
+        body = F.replace(body, F.lit(f"%{i}$s"), c)
+    return P.read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit('{"type":"Polygon","coordinates":[[['), body, F.lit("]]]}")).alias("geojson"))
+
+
+@query()
+def geometry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected areas have no SQL; tests hold them against known fields."""
+    from lacuna.operators import geo
+
+    return rounded(geo.checked(_fields(spark, sf_dir), "geojson").select("c_custkey", "code", "vertices", "area_ha", "geometry_hash"), "area_ha")
+
+
+@query("""WITH c AS (SELECT c_custkey, (c_custkey * 37) % 340 - 170.0 AS lon, (c_custkey * 17) % 120 - 60.0 AS lat, 0.001 + (c_custkey % 50) / 1000 AS side FROM customer)
+  SELECT c_custkey FROM c WHERE lon <= 40 AND lon + side >= -30 AND lat <= 50 AND lat + side >= 10""")
+def geometry_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.operators import geo
+
+    rows = _fields(spark, sf_dir).withColumn("g", geo.from_geojson(F.col("geojson"))["coordinates"])
+    return geo.in_box(rows, "g", (-30.0, 10.0, 40.0, 50.0)).select("c_custkey")
+
+
+@query()
+def gbt_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned member; its results depend on Spark's trees, so tests only hold it against the baselines."""
+    from lacuna.operators import learn
+
+    panel = _masked(spark, sf_dir)
+    return learn.gbt_member(panel, reconstruct.context(panel)).select("entity", "date", "truth", "pred_gbt")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.streaming import events
+
+    rows = events.tumbling(P.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 600 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 600 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, i""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.streaming import events
+
+    rows = events.sessions(P.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "600 minutes")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("""SELECT o_custkey AS job_id, CASE WHEN count(*) >= 4 THEN 'COMPLETED' WHEN count(*) = 3 THEN 'ANALYZING' WHEN count(*) = 2 THEN 'RECONSTRUCTING' ELSE 'PREPROCESSING' END AS state, CAST(greatest(0, count(*) - 4) AS BIGINT) AS n_illegal FROM orders GROUP BY o_custkey""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order moves its customer's job one state on; a completed one stays."""
+    from pyspark.sql import Window
+
+    from lacuna.streaming import events
+
+    rows = P.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).alias("seq"))
+    names = F.array(*[F.lit(s) for s in ("PREPROCESSING", "RECONSTRUCTING", "ANALYZING", "COMPLETED")])
+    changes = rows.select("job_id", "seq", F.get(names, F.least(F.col("seq"), F.lit(4)) - 1).alias("state"))
+    first = rows.select("job_id").distinct().select("job_id", F.lit(0).alias("seq"), F.lit("FETCHING").alias("state"))
+    return events.job_states(changes.unionAll(first))
+
+
+@query(f"""WITH {PANEL_SQL} SELECT CAST(date AS VARCHAR) AS date, CASE WHEN target IS NULL THEN '' ELSE 'x' END AS seen, CASE WHEN s2 IS NULL THEN '1' ELSE '0' END AS gap FROM panel WHERE entity = 'NATION_3'""")
+def export_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.sources import files
+
+    rows = P.nation_day(spark, sf_dir).where("entity = 'NATION_3'")
+    return files.export_series(rows.select("date", F.when(F.col("target").isNotNull(), "x").alias("seen"), F.col("s2").isNull().alias("gap")))
+
+
+@query(f"""WITH {CONTEXT_SQL} SELECT entity, p.date, p.hidden AS is_reconstructed, {r6("coalesce(q.pred_linear, p.target) AS reconstructed")} FROM drawn p LEFT JOIN preds q USING (entity, date)""")
+def product_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed values as they are, predictions at hidden keys."""
+    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    pred = _predicted(spark, sf_dir).select("entity", "date", "pred_linear")
+    joined = panel.join(pred, ["entity", "date"], "left").select("entity", "date", F.col("hidden").alias("is_reconstructed"), F.coalesce("pred_linear", "target").alias("reconstructed"))
+    return rounded(joined, "reconstructed")
+
+
+@query(f"""WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-1)}, e AS (SELECT entity, i, min(date) AS s, max(date) AS e FROM isl WHERE c GROUP BY entity, i HAVING count(*) >= 2)
+  SELECT concat_ws(':', e.entity, CAST(s AS VARCHAR), CAST(e AS VARCHAR)) AS event_id, count(p.date) FILTER (NOT p.hidden) AS observed, count(p.date) FILTER (p.hidden) AS reconstructed FROM e JOIN drawn p ON p.entity = e.entity AND p.date BETWEEN s AND e GROUP BY 1""")
+def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    events = anomaly.baseline_events(anomaly.baseline_points(panel, "target", threshold=-1.0))
+    return anomaly.event_points(events, panel.withColumn("is_observed", ~F.col("hidden"))).select("event_id", "observed", "reconstructed")
