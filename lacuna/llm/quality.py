@@ -64,4 +64,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     removed = F.aggregate(H.FLAGGED, F.lit(0).cast("bigint"), lambda s, i: s + F.get(F.col("_chars"), i))
     df = _with_stats(marked.withColumn("n_removed_chars", removed), "_text").withColumn("base_failed", _failed())
     kept = ~F.col("base_failed") & (F.col("n_removed_chars") <= F.col("word_chars") * F.lit(most_removed))
-    return df.select(*[(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
+    result = F.struct(*[(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
+    # Filters on the result stop at the generator. Pushed below the steps of _with_stats they would repeat each step in
+    # the next one's lambda, for every element.
+    return df.select(F.explode(F.array(result)).alias("_result")).select("_result.*")
