@@ -18,7 +18,7 @@ HOST, LINES, FLAGGED = "_host", "_lines", "_flagged"
 def normal_lines(text: Column) -> Column:
     """The \\n-split lines, lower-cased, with runs of white space made one space, and trimmed."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09\\x0B-\\x0D]+", " ")
-    return F.transform(F.split(flat, "\n"), F.btrim)
+    return F.transform(F.split(flat, "\n"), lambda x: F.btrim(x))
 
 
 def hashed(lines: Column) -> Column:
