@@ -202,8 +202,8 @@ def key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, day, target FROM masked WHERE target IS NOT NULL),
   q AS (SELECT entity, date, day FROM masked WHERE hidden),
-  b AS (SELECT q.entity, q.date, q.day - v.day AS d, v.target AS t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day DESC) AS k FROM q JOIN v ON v.entity = q.entity AND v.day < q.day AND v.day > q.day - 60),
-  a AS (SELECT q.entity, q.date, v.day - q.day AS d, v.target AS t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day) AS k FROM q JOIN v ON v.entity = q.entity AND v.day > q.day AND v.day < q.day + 60)
+  b AS (SELECT q.entity, q.date, q.day - v.day AS d, v.target AS t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day DESC) AS k FROM q JOIN v ON v.entity = q.entity AND v.day < q.day),
+  a AS (SELECT q.entity, q.date, v.day - q.day AS d, v.target AS t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day) AS k FROM q JOIN v ON v.entity = q.entity AND v.day > q.day)
   SELECT 'left' AS side, CAST(k AS INT) AS k, count(*) AS n, CAST(sum(d) AS BIGINT) AS days, {r6("sum(t) AS total")} FROM b WHERE k <= 4 GROUP BY k UNION ALL
   SELECT 'right', CAST(k AS INT), count(*), CAST(sum(d) AS BIGINT), {r6("sum(t) AS total")} FROM a WHERE k <= 4 GROUP BY k""")
 def asof_neighbors_k4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +240,8 @@ def gap_run_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, day, target AS t FROM masked WHERE target IS NOT NULL),
   q AS (SELECT entity, date, day FROM masked WHERE hidden AND entity < 'NATION_13'),
-  l AS (SELECT q.entity, q.date, q.day, v.day AS d, v.t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day DESC) AS k FROM q JOIN v ON v.entity = q.entity AND v.day < q.day AND v.day > q.day - 60),
-  r AS (SELECT q.entity, q.date, q.day, v.day AS d, v.t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day) AS k FROM q JOIN v ON v.entity = q.entity AND v.day > q.day AND v.day < q.day + 60),
+  l AS (SELECT q.entity, q.date, q.day, v.day AS d, v.t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day DESC) AS k FROM q JOIN v ON v.entity = q.entity AND v.day < q.day),
+  r AS (SELECT q.entity, q.date, q.day, v.day AS d, v.t, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day) AS k FROM q JOIN v ON v.entity = q.entity AND v.day > q.day),
   b AS (SELECT *, 1 AS s FROM l WHERE k <= 4 UNION ALL SELECT *, 2 FROM r WHERE k <= 4),
   g AS (SELECT entity, date, quantile_cont(t, 0.5) AS local_level, quantile_cont(t, 0.75) - quantile_cont(t, 0.25) AS local_iqr,
     max(t) FILTER (s = 1 AND k = 1) AS l1, max(d) FILTER (s = 1 AND k = 1) AS e1, max(t) FILTER (s = 1 AND k = 2) AS l2, max(d) FILTER (s = 1 AND k = 2) AS e2,
@@ -913,3 +913,25 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = P.hash_gaps(P.nation_day(spark, sf_dir))
     events = anomaly.baseline_events(anomaly.baseline_points(panel, "target", threshold=-1.0))
     return anomaly.event_points(events, panel.withColumn("is_observed", ~F.col("hidden"))).select("event_id", "observed", "reconstructed")
+
+
+@query()
+def features_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole core feature table; its blocks are queries of their own with SQL."""
+    from lacuna.plans import features
+
+    return features.core(_masked(spark, sf_dir, True))
+
+
+@query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, y, day, s2 FROM masked WHERE s2 IS NOT NULL), q AS (SELECT entity, y, date, day FROM masked WHERE hidden),
+  p AS (SELECT q.entity, q.date, v.s2, q.day - v.day AS d, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day DESC) AS k FROM q JOIN v ON v.entity = q.entity AND v.y = q.y AND v.day < q.day),
+  n AS (SELECT q.entity, q.date, v.s2, v.day - q.day AS d, row_number() OVER (PARTITION BY q.entity, q.date ORDER BY v.day) AS k FROM q JOIN v ON v.entity = q.entity AND v.y = q.y AND v.day > q.day),
+  b AS (SELECT *, 1 AS s FROM p WHERE k <= 4 UNION ALL SELECT *, 2 FROM n WHERE k <= 4),
+  a AS (SELECT entity, date, avg(s2) FILTER (d <= 21) AS m21, stddev_pop(s2) FILTER (d <= 21) AS s21, avg(s2) FILTER (d <= 45) AS m45, max(s2) FILTER (s = 1 AND k = 3) AS p3, max(d) FILTER (s = 2 AND k = 2) AS n2 FROM b GROUP BY entity, date),
+  c AS (SELECT entity, y, count(*) AS n FROM v GROUP BY entity, y)
+  SELECT entity, date, {r6("m21 AS s2_mean21", "s21 AS s2_std21", "m45 AS s2_mean45", "p3 AS s2_prev3")}, CAST(n2 AS INT) AS s2_next2_days, coalesce(c.n, 0) AS s2_count FROM q LEFT JOIN a USING (entity, date) LEFT JOIN c USING (entity, y)""")
+def temporal_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lacuna.plans import features
+
+    rows = features.temporal(_masked(spark, sf_dir), "s2", "s2").where("hidden")
+    return rounded(rows.select("entity", "date", "s2_mean21", "s2_std21", "s2_mean45", "s2_prev3", "s2_next2_days", "s2_count"), "s2_mean21", "s2_std21", "s2_mean45", "s2_prev3")

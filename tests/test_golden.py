@@ -142,7 +142,7 @@ def test_geometry(spark):
 def test_files(spark, tmp_path):
     names = files.KINDS["test"]
     row = ["a", "2022-06-01", *["0.5"] * len(files.VALUES), "wheat", "false"]
-    row[2], row[3] = "inf", ""
+    row[2], row[3] = "Inf", ""
     (tmp_path / "t.csv").write_text(",".join(names) + "\n" + ",".join(row) + "\n")
     got = files.read_panel(spark, str(tmp_path / "t.csv"), "test").first()
     assert got.s2_ndvi is None and got.s2_evi is None and got.primary_ndvi == 0.5 and got.is_synthetic_gap is False
@@ -156,7 +156,7 @@ def test_files(spark, tmp_path):
 def test_streams_equal_batches(spark, tmp_path):
     rows = P.read(spark, "/root/testdata/sf0.001", "events")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
-    live = events.tumbling(events.deduplicated(events.stream(spark, str(tmp_path / "in"), rows), late="60 days"), late="60 days")
+    live = events.tumbling(events.stream(spark, str(tmp_path / "in"), rows), late="60 days")
     q = live.writeStream.outputMode("complete").format("memory").queryName("tumbling").start()
     q.processAllAvailable()
     q.stop()

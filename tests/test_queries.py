@@ -8,7 +8,7 @@ from lacuna.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["panel_profile", "asof_neighbors_k4", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations"]
+CHOSEN = ["panel_profile", "temporal_block", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations"]
 
 
 def plain(v):
