@@ -133,3 +133,29 @@ def coverage(rows: DataFrame, truth: str, keys: list[str]) -> DataFrame:
     """(keys, n, coverage, mean_width) of lower and upper."""
     inside = F.col(truth).between(F.col("lower"), F.col("upper")).cast("double")
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("mean_width"))
+
+
+def complete(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """Rows of the groups that have every member that occurs at all (relational division)."""
+    total = rows.agg(F.countDistinct(member).alias("_all"))
+    whole = rows.groupBy(group).agg(F.countDistinct(member).alias("_n")).join(F.broadcast(total), F.col("_n") == F.col("_all"))
+    return rows.join(whole.select(group), group, "left_semi")
+
+
+def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """The number-th page (from 1) of rows in order; the order must be total for pages to be stable."""
+    if number < 1 or not 1 <= size <= 1000:
+        raise ValueError("no such page")
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def overlap(found: DataFrame, known: DataFrame, entity: str = "entity") -> DataFrame:
+    """(entity, start, end, iou, delay_days) for each known interval (start_date, end_date): its best intersection over union with a
+    found one of the entity in days, and how late that one starts; 0 and null where none meets it."""
+    f = found.select(entity, F.col("start_date").alias("_s"), F.col("end_date").alias("_e"))
+    pairs = known.join(f, entity, "left")
+    both = F.greatest(F.lit(0), F.datediff(F.least("end_date", "_e"), F.greatest("start_date", "_s")) + 1)
+    either = F.datediff("end_date", "start_date") + 1 + F.datediff("_e", "_s") + 1 - both
+    iou = F.coalesce(both / either, F.lit(0.0))
+    best = pairs.groupBy(entity, "start_date", "end_date").agg(F.max(F.struct(iou.alias("iou"), (-F.datediff("_s", "start_date")).alias("d"))).alias("b"))
+    return best.select(entity, "start_date", "end_date", "b.iou", F.when(F.col("b.iou") > 0, -F.col("b.d")).alias("delay_days"))

@@ -935,3 +935,36 @@ def temporal_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = features.temporal(_masked(spark, sf_dir), "s2", "s2").where("hidden")
     return rounded(rows.select("entity", "date", "s2_mean21", "s2_std21", "s2_mean45", "s2_prev3", "s2_next2_days", "s2_count"), "s2_mean21", "s2_std21", "s2_mean45", "s2_prev3")
+
+
+# --- selections --------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)) GROUP BY 1")
+def complete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders of every priority."""
+    return evaluate.complete(P.read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def newest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = P.read(spark, sf_dir, "orders")
+    return evaluate.page(orders, [F.desc("o_orderdate"), F.col("o_orderkey")], 3, 20).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
+@query(f"""WITH {PANEL_SQL}, {_EVENTS_SQL}, x AS (SELECT entity, max(area * conf) AS score FROM ev GROUP BY entity), t AS (SELECT entity, score FROM x ORDER BY round(score, 9) DESC, entity LIMIT 3) SELECT entity, {r6("score")} FROM t""")
+def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three entities with the strongest events: a top-k report."""
+    best = anomaly.advanced_events(_scored(spark, sf_dir)).groupBy("entity").agg(F.max("score").alias("score"))
+    return rounded(best.orderBy(F.desc(F.round("score", 9)), "entity").limit(3), "score")
+
+
+@query(f"""WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-1)}, k AS (SELECT entity, i, min(date) AS s, max(date) AS e FROM isl WHERE c GROUP BY entity, i HAVING count(*) >= 2), f AS (SELECT entity, s + 1 AS s, e + 2 AS e FROM k WHERE month(s) <> 6),
+  pp AS (SELECT k.entity, k.s, k.e, greatest(0, least(k.e, f.e) - greatest(k.s, f.s) + 1) AS b, (k.e - k.s + 1) + (f.e - f.s + 1) AS t, f.s - k.s AS d FROM k LEFT JOIN f ON f.entity = k.entity),
+  rr AS (SELECT *, coalesce(b / (t - b), 0) AS iou FROM pp), m AS (SELECT entity, s, e, max(iou) AS iou, min(d) FILTER (iou = mx) AS d FROM (SELECT *, max(iou) OVER (PARTITION BY entity, s, e) AS mx FROM rr) GROUP BY entity, s, e)
+  SELECT entity, s AS start_date, e AS end_date, {r6("iou")}, CASE WHEN iou > 0 THEN CAST(d AS INT) END AS delay_days FROM m""")
+def event_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known events against shifted ones, some of them missing."""
+    known = anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0)).select("entity", "start_date", "end_date")
+    found = known.where(F.month("start_date") != 6).select("entity", F.date_add("start_date", 1).alias("start_date"), F.date_add("end_date", 2).alias("end_date"))
+    return rounded(evaluate.overlap(found, known), "iou")

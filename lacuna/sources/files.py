@@ -27,10 +27,11 @@ def read_panel(spark: SparkSession, path: str, kind: str) -> DataFrame:
         raise ValueError("repeated column names")
     if set(names) != set(KINDS[kind]):
         raise ValueError(f"missing {sorted(set(KINDS[kind]) - set(names))}, extra {sorted(set(names) - set(KINDS[kind]))}")
-    by_name = {f.name: f for f in schema_of(kind)}
-    df = spark.read.schema(StructType([by_name[n] for n in names])).csv(path, header=True, mode="FAILFAST", nanValue="nan", dateFormat="yyyy-MM-dd")
+    types = {f.name: f.dataType for f in schema_of(kind)}
+    df = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).csv(path, header=True, mode="FAILFAST")
+    df = df.select(*[F.col(c).cast(types[c]).alias(c) for c in KINDS[kind]])  # in ANSI mode what does not parse is an error
     inf = float("inf")
-    return df.select(*[(F.when(~F.isnan(c) & (F.abs(c) != inf), F.col(c)).alias(c) if isinstance(by_name[c].dataType, DoubleType) else F.col(c)) for c in KINDS[kind]])
+    return df.select(*[(F.when(~F.isnan(c) & (F.abs(c) != inf), F.col(c)).alias(c) if isinstance(types[c], DoubleType) else F.col(c)) for c in KINDS[kind]])
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
