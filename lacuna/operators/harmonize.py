@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.shipping import ship
 from lacuna.sources.panel import SPEC, PanelSpec
 
 
@@ -77,6 +78,7 @@ def fit_robust(rows: DataFrame, least: int = 20, least_std: float = 0.02, spec:
     The sums of a group's lines need its pairs together; a group of more than per_group pairs is
     refused rather than gathered in one task.
     """
+    ship(rows.sparkSession)
     ref, *others = spec.sensors
     pairs = reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("source"), F.col(spec.category).alias("c"), F.col(spec.entity).alias("e"), F.col(s).alias("x"), F.col(ref).alias("y")) for s in others])
     pairs = pairs.where("x between -1 and 1 and y between -1 and 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import quantile_higher
 from lacuna.operators import asof, season
+from lacuna.shipping import ship
 from lacuna.sources.panel import SPEC, PanelSpec
 
 METHODS = ("nearest_left", "nearest_right", "mean_neighbors", "linear", "seasonal_crop", "pchip", "akima")
@@ -96,6 +97,7 @@ def _hermite(x: np.ndarray, y: np.ndarray, m: np.ndarray, q: float) -> float:
 
 def splines(rows: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """rows (from asof.neighbors with k = 4) with pchip (at least three points, both sides) and akima (five)."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for left, right, day in batches:
