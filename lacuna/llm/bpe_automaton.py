@@ -17,9 +17,11 @@ however it was reached. Decoding emits the labels of the path.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -194,18 +196,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         decimal, decode, sha = enc.decimal.__getitem__, enc.automaton.decode, hashlib.sha256
         for batch in batches:
             for start, texts in text_slices(batch, 1):
-                n, a, b, kept = [], [], [], []
+                n, a, b, kept, ends = [], [], [], array("i"), array("i", [0])
                 for text in texts:
                     got = enc.encode(text)
                     n.append(len(got))
                     a.append(sha(",".join(map(decimal, got)).encode()).hexdigest())
                     b.append(sha(decode(got).encode("utf-8", "surrogatepass")).hexdigest())
                     if ids:
-                        kept.append(pa.array(got, pa.int32()))
+                        kept.extend(got)
+                        ends.append(len(kept))
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.array(ends)), pa.array(np.array(kept))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

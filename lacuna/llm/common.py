@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.shipping import ship  # noqa: F401  the operators take it from here
+
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = "[\\x20\\x09-\\x0D]+"
@@ -20,7 +19,7 @@ WHITE_RE = "[\\x20\\x09-\\x0D]+"
 #: A table of at most this many narrow rows may be broadcast; beyond it operators shuffle.
 BROADCAST_ROWS = 200_000
 
-_shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     (tests in one process), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own_folders.get(app) or _own_folders.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lacuna-')}")
     return found.rstrip("/")
 
 
@@ -54,20 +53,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    target = os.path.join(tempfile.mkdtemp(prefix="lacuna-"), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(target)
-    _shipped.add(sc.applicationId)
-
-
 def content_key(*columns: str) -> list[Column]:
     """Two 64-bit hashes of the given columns, never null: rows with equal values share them, so
     they identify a row's content where ids may be null or repeated."""
