@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lacuna.llm import simhash
+from lacuna.llm import graph, simhash
 
 
 def plain_fingerprint(text):
@@ -45,8 +45,10 @@ def test_fingerprint():
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
 
 
-@pytest.mark.parametrize("tile", [3, 1024])
-def test_near_duplicates(spark, tile):
+@pytest.mark.parametrize("tile, broadcast_rows", [(3, 200_000), (1024, 200_000), (3, 0)])
+def test_near_duplicates(spark, monkeypatch, tile, broadcast_rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast_rows)
     r = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
     texts = [None, "", " \t\n", "one", "One"]
@@ -82,8 +84,14 @@ def test_link_tiles_is_exact():
     r = np.random.default_rng(1)
     base = r.integers(0, 2**63, 300, dtype=np.uint64)
     near = base[:100] ^ (np.uint64(1) << r.integers(0, 64, 100).astype(np.uint64))
-    a, b = simhash.link_tiles(np.concatenate([base, near]), None, 3)
-    assert len(a) >= 100 and all(bin(int(x) ^ int(y)).count("1") <= 64 for x, y in zip(a, b))
+    fps = np.concatenate([base, near])
+    a, b = simhash.link_tiles(fps, None, 3)
+    root = dict(zip(a.tolist(), b.tolist()))
+    plain = plain_components(fps.tolist())
+    groups = {}
+    for f, k in zip(fps.tolist(), plain):
+        groups.setdefault(k, set()).add(root.get(f, f))
+    assert len(a) >= 100 and all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
 def test_empty_repeated_and_null_ids(spark):
