@@ -10,7 +10,7 @@ the first of its local component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. Empty tables give none.
     """
     docs_fp = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    roots = staged(components(links(staged(docs_fp.select("fp").distinct(), "fingerprints-once"), radius, tile)), "fingerprint-roots")
+    return labelled(docs_fp, roots, id_col)
+
+
+def labelled(docs_fp: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, fingerprint, component_id) per row of docs_fp (id, fp). roots: components() of fingerprints."""
     distinct = staged(docs_fp.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = staged(components(links(distinct.select("fp"), radius, tile)), "fingerprint-roots")
     n = roots.count()
     joined = distinct.join(_few(roots.select(F.col("node").alias("fp"), "root"), n), "fp", "left")
     grouped = staged(joined.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "components")
@@ -158,20 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """One row of docs, with all columns, for each component of near_duplicates: the one of the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = near_duplicates, named_by: Callable[..., DataFrame] = fingerprints, **options: int) -> DataFrame:
+    """One row of docs, with all columns, for each component of `grouped`: the one of the smallest id. named_by gives
+    the fingerprint of each row as (id, fp).
 
     Only ids are grouped; whole rows are shuffled once, by id, to meet the ids kept. Where several rows have
     that id, the first of them by a hash of all columns stays. Of a component without ids one such
     row stays.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    groups = grouped(docs, id_col, text_col, **options)
     kept = staged(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.col("fingerprint")).alias("_fp")).agg(F.count(F.lit(1)).alias("_n")), "kept")
     hashes = content_key(*docs.columns)
     if kept.where("_id is null or _n > 1").isEmpty():
         return docs.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
     keyed = docs.withColumns({"_k1": hashes[0], "_k2": hashes[1]})
-    named = fingerprints(docs.select(id_col, text_col, *hashes).withColumn("_name", F.struct("_k1", "_k2", F.col(id_col).cast("string").alias("_id"))), "_name", text_col)
+    named = named_by(docs.select(id_col, text_col, *hashes).withColumn("_name", F.struct("_k1", "_k2", F.col(id_col).cast("string").alias("_id"))), "_name", text_col)
     roots = groups.select(F.col("fingerprint"), F.col("component_id")).distinct()
     named = named.select("id._k1", "id._k2", F.col("id._id").alias("_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(roots, "fingerprint")
     first = named.where(F.col("_id").eqNullSafe(F.col("component_id").cast("string"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).agg(F.min(F.struct("_k1", "_k2")).alias("k"))
