@@ -65,6 +65,13 @@ def flag(lined: DataFrame, frequent: DataFrame, key: list[str], broadcast_rows:
     return joined.withColumn(FLAGGED, F.coalesce(FLAGGED, F.expr("array()").cast("array<int>")))
 
 
+def without_flagged(text: str) -> Column:
+    """The text without the lines that FLAGGED names; one without such lines stays as it is."""
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(FLAGGED))
+    return F.when(F.size(FLAGGED) == 0, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+
 def words_only(text: Column) -> Column:
     """The text without its white space."""
     return F.translate(text, WHITE, "")

@@ -25,9 +25,7 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = H.line_counts(lined, max(1, least_pages))
     frequent = counts.join(H.host_totals(lined), H.HOST).where(F.col("n_docs") > F.col("host_docs") * F.lit(ratio))
     marked = H.flag(lined, frequent, ["_id", "_site", "_text"], broadcast_rows)
-    lines = F.split("_text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(H.FLAGGED))
-    rest = F.when(F.size(H.FLAGGED) == 0, F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    rest = H.without_flagged("_text")
     return marked.select(
         *[(F.when(F.col("_text").isNotNull(), rest) if c == text_col else F.col("_row").getField(c)).alias(c) for c in own if c.lower() not in ("n_lines", "n_dropped")],
         F.when(F.col("_text").isNull(), 0).otherwise(F.size(H.LINES)).cast("bigint").alias("n_lines"),

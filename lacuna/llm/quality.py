@@ -44,10 +44,11 @@ def _failed() -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", least_docs: int = 10, share: float = 0.05, most_removed: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with STATS, n_removed_chars, base_failed and kept.
+    """docs, without the too frequent lines in text_col, with STATS, n_removed_chars, base_failed and kept.
 
     A line is too frequent if more than least_docs rows of its host, and more than `share` of them, hold it
-    (lines compared lower-cased, white space made single). Its word characters count as removed. A document
+    (lines compared lower-cased, white space made single). It is removed from the text, and its word characters
+    count as removed; STATS and base_failed are those of the text as it was. A document
     is rejected if base_failed (under 50 words, or over half of them in repeated 3-word windows) or if over
     most_removed of its word characters are removed.
 
@@ -64,7 +65,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     removed = F.aggregate(H.FLAGGED, F.lit(0).cast("bigint"), lambda s, i: s + F.get(F.col("_chars"), i))
     df = _with_stats(marked.withColumn("n_removed_chars", removed), "_text").withColumn("base_failed", _failed())
     kept = ~F.col("base_failed") & (F.col("n_removed_chars") <= F.col("word_chars") * F.lit(most_removed))
-    result = F.struct(*[(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
+    result = F.struct(*[(H.without_flagged("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
     # Filters on the result stop at the generator. Pushed below the steps of _with_stats they would repeat each step in
     # the next one's lambda, for every element.
     return df.select(F.explode(F.array(result)).alias("_result")).select("_result.*")
