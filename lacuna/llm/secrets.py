@@ -27,9 +27,14 @@ _WORD = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.A
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_KEY64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P]|b3Bl)[A-Za-z0-9+/]{38,}={0,2}(?![A-Za-z0-9+/=])")
-_KEYHEX = re.compile(r"(?<![0-9A-Za-z])(?:30[0-9a-f]{62,}|30[0-9A-F]{62,})(?![0-9A-Za-z])")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
+#: Line ends as string literals write them.
+_ESCAPED = re.compile(r"\\+[nrt]")
+_HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):[\x20\t]*(.*)")
+_DEK = re.compile(r"([A-Z0-9-]+),([0-9A-Fa-f]+)")
+_BEFORE = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3Bl)"
+_KEY64 = (re.compile(_BEFORE + r"[A-Za-z0-9+/]{38,}={0,2}(?![A-Za-z0-9+/=])"), re.compile(_BEFORE + r"[A-Za-z0-9_-]{38,}={0,2}(?![A-Za-z0-9_=-])"))
+_KEYHEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30(?:[0-9a-f]{62,}|[0-9A-F]{62,}))(?![0-9A-Za-z])")
 
 
 def der(data: bytes, at: int = 0, depth: int = 0) -> tuple[int, int, int] | None:
@@ -125,6 +130,24 @@ def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_private_key(data) or is_openssh_key(data))
 
 
+def is_pem_key(body: str) -> bool:
+    """Whether what stands between the lines of a PEM block is a key. Line ends may be escaped, and headers may
+    stand first. A body that its headers say is encrypted must be whole blocks of the cipher that they name."""
+    lines = _ESCAPED.sub("\n", body).replace("\\/", "/").strip().splitlines()
+    headers: dict[str, str] = {}
+    while lines and (m := _HEADER.fullmatch(lines[0].strip())):
+        headers[m[1].lower()] = m[2].strip()
+        lines.pop(0)
+    data = from_base64("".join("".join(lines).split()))
+    if _is_key(data):
+        return True
+    dek = _DEK.fullmatch(headers.get("dek-info", ""))
+    if not data or not dek or not headers.get("proc-type", "").replace(" ", "").endswith(",ENCRYPTED"):
+        return False
+    block = 16 if dek[1].startswith(("AES", "CAMELLIA", "ARIA", "SEED")) else 8
+    return len(data) >= 32 and len(data) % block == 0 and len(dek[2]) == 2 * block
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) of all spans, in order; code points, end exclusive."""
     out: list[tuple[int, int, int]] = []
@@ -136,10 +159,10 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     if "eyJ" in text:
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
-        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _is_key(from_base64("".join(m[2].split())))]
-    out += [(m.start(), 5, m.end()) for m in _KEY64.finditer(text) if _is_key(from_base64(m[0]))]
+        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2])]
+    out += {(m.start(), 5, m.end()) for pattern in _KEY64 for m in pattern.finditer(text) if _is_key(from_base64(m[0]))}
     if "30" in text:
-        out += [(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0]))]
+        out += [(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if len(m[1]) % 2 == 0 and _is_key(bytes.fromhex(m[1]))]
     return sorted(out)
 
 

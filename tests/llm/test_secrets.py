@@ -72,3 +72,26 @@ def test_base_against_plain(spark):
         assert x.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert set(listed.split(",")) - {""} <= set(x.spans.split(","))
     assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def test_usual_forms():
+    body = base64.b64encode(pkcs8()).decode()
+    assert ("key64", body) in kinds(f"private_key={body}")
+    assert ("key64", body) in kinds(f'"a\\n{body}\\n"')
+    block = "\n".join(body[i : i + 40] for i in range(0, len(body), 40))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{block}\n-----END PRIVATE KEY-----\n"
+    for written in (json.dumps(pem), json.dumps(pem.replace("\n", "\r\n")), json.dumps(json.dumps(pem)), json.dumps(pem).replace("/", "\\/")):
+        assert [k for k, x in kinds(f'{{"private_key": {written}}}') if x.startswith("-----BEGIN")] == ["pem"], written
+    assert ("keyhex", "0x" + pkcs8().hex().upper()) in kinds(f"k=0x{pkcs8().hex().upper()};")
+    key = next(x for x in (tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, random.Random(s).randbytes(32)))) for s in range(99)) if {*"-_"} & {*base64.urlsafe_b64encode(x).decode()})
+    safe = base64.urlsafe_b64encode(key).decode()
+    assert ("key64", safe) in kinds(f'"{safe}"')
+    sealed = base64.b64encode(random.Random(2).randbytes(640)).decode()
+
+    def headed(data, cipher):
+        return f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: {cipher}\n\n{data}\n-----END RSA PRIVATE KEY-----"
+
+    assert [k for k, _ in kinds(headed(sealed, "AES-128-CBC," + "A1" * 16)) if k == "pem"] == ["pem"]
+    assert [k for k, _ in kinds(headed(base64.b64encode(rsa_key()).decode(), "x")) if k == "pem"] == ["pem"]
+    for refused in (headed(sealed, "AES-128-CBC,A1"), headed(base64.b64encode(bytes(641)).decode(), "DES-EDE3-CBC," + "A1" * 8), pem.replace(body[:8], "AAAAAAAA")):
+        assert not [k for k, _ in kinds(refused) if k == "pem"]
