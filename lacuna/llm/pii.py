@@ -4,7 +4,7 @@ A surrogate is drawn from a keyed hash of (kind, normal form, attempt) in the en
 become letters of the same script and case, digits digits, a card number that passes its check keeps
 passing it, an address stays an address, and a given name that a title shows to be a man's or a woman's keeps its
 gender. Equal
-entities get equal surrogates everywhere (coreference).
+entities get equal surrogates everywhere (coreference); the gender of a given name is settled once, over all its titles.
 
 Distinctness is checked over the whole corpus: no two entities may share a surrogate, and none may be an
 entity that the corpus has. Those that clash draw again with the next attempt, in rounds, as joins and
@@ -40,7 +40,10 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])|(?<![\w+])\+\d{9,14}(?!\w)", re.ASCII)
 _TITLES = tuple(sorted({*MALE, *FEMALE, *EITHER}, key=len, reverse=True))
 _TITLE = re.compile(rf"(?<!\w)({'|'.join(_TITLES)})\.? (?=\w)")
-_NAME = re.compile(r"[^\W\d_][\w'’-]*")
+_NAME = re.compile(r"[^\W\d_](?:(?!['’]s\b)[\w'’-])*")
+
+
+_BARE = re.compile(rf"(?<!\w){_NAME.pattern}")
 
 
 def luhn(digits: str) -> bool:
@@ -57,7 +60,9 @@ def iban_ok(text: str) -> bool:
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the entities, in order, without overlaps; the earlier kind wins."""
+    """(start, end, kind) of the entities, in order, without overlaps; the earlier kind wins.
+
+    Names are all capitalised words after a title, and the same words wherever else the text has them capitalised."""
     out: list[tuple[int, int, str]] = []
 
     def add(pattern: re.Pattern[str], kind: str, ok=lambda m: True) -> None:
@@ -74,9 +79,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         add(_CARD, "card", lambda m: (d := re.sub("[ -]", "", m[0]))[0] != "0" and (luhn(d) or len(d) == 16))
         add(_PHONE, "phone", lambda m: 7 <= sum(c.isdigit() for c in m[0]) <= 15 and ("+" in m[0] or "(" in m[0] or len(re.findall("[ .-]", m[0])) >= 2))
     if any(t in text for t in _TITLES):
+        named: dict[str, str] = {}
         for m in _TITLE.finditer(text):
             words, at = [], m.end()
-            while len(words) < 3 and (w := _NAME.match(text, at)) and w[0][0].isupper() and w[0] not in _TITLES:
+            while (w := _NAME.match(text, at)) and w[0][0].isupper() and w[0] not in _TITLES:
                 words.append(w)
                 at = w.end() + 1
                 if text[w.end() : at] != " ":
@@ -85,6 +91,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for k, w in enumerate(words):
                 if not any(a < w.end() and w.start() < b for a, b, _ in out):
                     out.append((w.start(), w.end(), given if k < len(words) - 1 else "surname"))
+                    named.setdefault(normal("name", w[0]), out[-1][2])
+        if named:  # mentions without a title
+            taken = sorted(out)
+            at = 0
+            for w in _BARE.finditer(text):
+                while at < len(taken) and taken[at][1] <= w.start():
+                    at += 1
+                if w[0][0].isupper() and (at == len(taken) or w.end() <= taken[at][0]) and (kind := named.get(normal("name", w[0]))):
+                    out.append((w.start(), w.end(), kind))
     return sorted(out)
 
 
@@ -238,7 +253,17 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
     return out
 
 
-def _replaced(text: str, key: bytes, tries: dict[tuple[str, str], int], known: dict[tuple[str, str], str]) -> tuple[str, int]:
+def settled(found: DataFrame) -> DataFrame:
+    """(kind, norm, as_kind) of found: a given name that titles show to be of one gender only is of that gender
+    everywhere, one that they show to be of both, or of none, of no gender."""
+    shown = [F.max(F.col("kind") == k) for k in ("name_m", "name_f")]
+    given = found.where(F.col("kind").isin("name", "name_m", "name_f")).groupBy("norm").agg(*[x.alias(c) for x, c in zip(shown, ("m", "f"))])
+    one = given.select("norm", F.when(F.col("m") & ~F.col("f"), "name_m").when(F.col("f") & ~F.col("m"), "name_f").otherwise("name").alias("one"))
+    joined = found.join(one, "norm", "left")
+    return joined.select("kind", "norm", F.when(F.col("kind").isin("name", "name_m", "name_f"), F.col("one")).otherwise(F.col("kind")).alias("as_kind"))
+
+
+def _replaced(text: str, key: bytes, tries: dict[tuple[str, str], tuple[str, int]], known: dict[tuple[str, str], str]) -> tuple[str, int]:
     out, at = [], 0
     spans = find(text)
     for a, b, kind in spans:
@@ -246,7 +271,8 @@ def _replaced(text: str, key: bytes, tries: dict[tuple[str, str], int], known: d
         if name not in known:
             if len(known) > 200_000:
                 known.clear()
-            known[name] = surrogate(key, *name, tries.get(name, 0))
+            drawn_as, attempt = tries.get(name, (kind, 0))
+            known[name] = surrogate(key, drawn_as, name[1], attempt)
         out += [text[at:a], dressed(kind, text[a:b], known[name])]
         at = b
     return "".join([*out, text[at:]]), len(spans)
@@ -260,11 +286,14 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows:
     """
     spark = docs.sparkSession
     ship(spark)
-    late = staged(attempts(staged(entities(docs, text_col), "entities"), key), "later-attempts")
+    found = staged(settled(entities(docs, text_col)), "entities")
+    again = attempts(found.select(F.col("as_kind").alias("kind"), "norm").distinct(), key).withColumnRenamed("kind", "as_kind")
+    late = found.join(again, ["as_kind", "norm"], "left").where("as_kind <> kind or attempt is not null")
+    late = staged(late.select("kind", "norm", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt")), "later-attempts")
     own = [c for c in docs.columns if c.lower() != "n_entities"]
     if late.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        few = spark.sparkContext.broadcast({(r.kind, r.norm): r.attempt for r in late.collect()})
-        rows = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in own if c != text_col]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>").alias("tries"))
+        few = spark.sparkContext.broadcast({(r.kind, r.norm): (r.as_kind, r.attempt) for r in late.collect()})
+        rows = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in own if c != text_col]).alias("row"), docs[text_col].alias("text"), F.lit(None).cast("array<struct<kind:string,norm:string,as_kind:string,attempt:int>>").alias("tries"))
     else:
         few = None
         k1, k2 = content_key(text_col)
@@ -279,7 +308,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows:
 
         named = staged(keyed.select("_k1", "_k2", text_col).mapInArrow(mentions, "_k1 bigint, _k2 bigint, kind string, norm string").distinct(), "mentions")
         met = staged(named.join(late.hint("merge"), ["kind", "norm"]), "mentions-later")
-        by_text = met.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("_tries"))
+        by_text = met.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "norm", "as_kind", "attempt")).alias("_tries"))
         joined = keyed.join(by_text, ["_k1", "_k2"], "left")
         rows = joined.select(F.struct(F.lit(0).alias("_"), *[joined[c] for c in own if c != text_col]).alias("row"), joined[text_col].alias("text"), F.col("_tries").alias("tries"))
 
@@ -290,7 +319,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows:
                 part = batch.slice(start, len(texts))
                 made = []
                 for i, t in enumerate(texts):
-                    tries = few.value if few is not None else {(x["kind"], x["norm"]): x["attempt"] for x in part.column(2)[i].as_py() or ()}
+                    tries = few.value if few is not None else {(x["kind"], x["norm"]): (x["as_kind"], x["attempt"]) for x in part.column(2)[i].as_py() or ()}
                     made.append(_replaced(t, key, tries, known if few is not None else {}))
                 new = pa.array([m[0] if part.column(1)[i].is_valid else None for i, m in enumerate(made)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), new, pa.array([m[1] for m in made], pa.int64())], names=["row", "text", "n_entities"])

@@ -50,3 +50,18 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a@b.com"), (None, "a@b.com")], "doc_id bigint, text string")
     a, b = pii.replace(df, KEY).collect()
     assert a == b and a.text != "a@b.com" and a.n_entities == 1
+
+
+def test_whole_names_and_bare_mentions():
+    text = "Smith came. Mr Juan Carlos Garcia Lopez met Dr John Smith's aunt; Lopez spoke, Smith's aunt and John left, smith stayed"
+    got = [(k, text[a:b]) for a, b, k in pii.find(text)]
+    assert got == [("surname", "Smith"), ("name_m", "Juan"), ("name_m", "Carlos"), ("name_m", "Garcia"), ("surname", "Lopez"), ("name", "John"), ("surname", "Smith"), ("surname", "Lopez"), ("surname", "Smith"), ("name", "John")]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 10_000])
+def test_one_surrogate_of_a_given_name(spark, broadcast_rows):
+    texts = ["Mr John Smith", "Dr John Smith", "Prof Kim Lee", "Mr Kim Lee", "Mrs Kim Lee", "Dr Ann Poe", "Miss Ann Poe"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = [r.text.split()[1:] for r in sorted(pii.replace(df, KEY, broadcast_rows=broadcast_rows).collect())]
+    assert got[0] == got[1] and got[2] == got[3] == got[4] and got[5] == got[6]
+    assert got[0][0][-1] in "nrs" and got[5][0][-1] == "a" and len({tuple(x) for x in got}) == 3
