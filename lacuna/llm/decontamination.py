@@ -56,14 +56,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 class Items:
-    """A block of test items: their words, and where each seed stands in which item."""
+    """A block of test items: their words, and where each seed stands in which item. Items are numbered by
+    their place in the block; ids, which may be null or repeated, are labels."""
 
-    def __init__(self, items: list[tuple[int, str]], counts: dict[bytes, int]):
+    def __init__(self, items: list[tuple[int | None, str]], counts: dict[bytes, int]):
+        self.label = [i for i, _ in items]
         self.number: dict[bytes, int] = {}
         self.words: dict[int, np.ndarray] = {}
         self.bag: dict[int, Counter[int]] = {}
         self.seeds: dict[bytes, list[tuple[int, int]]] = {}
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
@@ -98,8 +100,8 @@ class Items:
             out.append((item, a, b))
         return out
 
-    def matches(self, text: str, least: float) -> list[tuple[int, float, int]]:
-        """(item, similarity, number of the word after the match) of each item that some passage reaches
+    def matches(self, text: str, least: float) -> list[tuple[int | None, float, int]]:
+        """(item's id, similarity, number of the word after the match) of each item that some passage reaches
         `least` with; the best passage of each."""
         words = words_of(text)
         best: dict[int, tuple[float, int]] = {}
@@ -113,12 +115,12 @@ class Items:
             score, end = align(own, passage)
             if score >= least * len(own) and score / len(own) > best.get(item, (0.0, 0))[0]:
                 best[item] = (score / len(own), a + end)
-        return [(i, s, e) for i, (s, e) in sorted(best.items())]
+        return [(self.label[i], s, e) for i, (s, e) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
     held, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("bigint"), text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item_col).cast("bigint"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         if held and (size + len(row[1]) > BLOCK_CHARS or len(held) >= BLOCK_ITEMS):
             yield held
             held, size = [], 0
@@ -128,7 +130,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield held
 
 
-def _gram_counts(docs: DataFrame, text_col: str, items: list[tuple[int, str]]) -> dict[bytes, int]:
+def _gram_counts(docs: DataFrame, text_col: str, items: list[tuple[int | None, str]]) -> dict[bytes, int]:
     """In how many documents each n-gram of the items stands."""
     sc = docs.sparkSession.sparkContext
     wanted = sc.broadcast(frozenset(g for _, t in items for g in grams_of(words_of(t))))
@@ -150,8 +152,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and each item with an alignment of at least `least`; the best passage of the two. Rows that match
     nothing give no row.
 
-    Null texts and texts without a word match nothing; neither do items whose id or text is null or without a
-    word. Repeated rows are each reported. Items of equal text are each reported. Empty tables give none.
+    Null texts and texts without a word match nothing; neither do items whose text is null or without a
+    word. Each row of benchmark is an item, also where ids are null or repeated, and is reported with its id.
+    Repeated rows are each reported. Items of equal text are each reported. Empty tables give none.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -163,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def _matcher(docs: DataFrame, text_col: str, items: list[tuple[int, str]], least: float, column: int):
+def _matcher(docs: DataFrame, text_col: str, items: list[tuple[int | None, str]], least: float, column: int):
     block = docs.sparkSession.sparkContext.broadcast(Items(items, _gram_counts(docs, text_col, items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
