@@ -174,7 +174,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = grouped(docs, id_col, text_col, **options)
     kept = staged(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.col("fingerprint")).alias("_fp")).agg(F.count(F.lit(1)).alias("_n")), "kept")
     hashes = content_key(*docs.columns)
-    if kept.where("_id is null or _n > 1").isEmpty():
+    # an id that stands in several components does not tell which of its rows stays
+    parted = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
+    if kept.where("_id is null or _n > 1").isEmpty() and parted.isEmpty():
         return docs.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
     keyed = docs.withColumns({"_k1": hashes[0], "_k2": hashes[1]})
     named = named_by(docs.select(id_col, text_col, *hashes).withColumn("_name", F.struct("_k1", "_k2", F.col(id_col).cast("string").alias("_id"))), "_name", text_col)

@@ -110,3 +110,9 @@ def test_keep_first(spark):
     unique = spark.createDataFrame([rows[0], rows[1], rows[4]], schema)
     assert sorted(x.doc_id for x in simhash.keep_first(unique).collect()) == [1, 9]
     assert simhash.keep_first(unique.limit(0)).count() == 0
+
+
+def test_keep_first_of_an_id_in_two_components(spark):
+    rows = [(3, "a b c d e"), (7, "totally other words stand here"), (7, "a b c d e")]
+    got = {(x.doc_id, x.text) for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == set(rows[:2])
