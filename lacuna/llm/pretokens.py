@@ -1,68 +1,77 @@
 """Pre-splitting of texts for the byte-level BPE vocabulary, as its pre-tokenizer does it.
 
 The pattern's pieces never cross a space that stands between two other characters: such a space
-always begins a piece. Texts are therefore cut there first (`chunks`), cheaply, and only chunks
-that were not met before go through the pattern (`pieces`).
+always begins a piece. Texts are therefore cut there first (`Splitter.chunks`), cheaply, and only chunks
+that were not met before go through the pattern (`Splitter.pieces`).
+
+Which characters are letters and numbers is asked of the library itself (`classes`), on the driver, and goes to
+the tasks with the job: results depend neither on Python's Unicode tables nor on where a task runs.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 #: White space of the pattern's \s. Fixed values.
 SPACE = "\t-\r \x85\xa0  -     　"
+#: Planes that have assigned characters other than private ones; in all others nothing is a letter or a number.
+PLANES = (range(0x0, 0xD800), range(0xE000, 0x40000), range(0xE0000, 0xF0000))
 
 
-def _ranges(kind: str) -> str:
-    """The code points of a general category (its first letter), as the inside of a character class."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
+class Classes(NamedTuple):
+    """Letters and numbers, each as the inside of a character class, and special strings with their ids."""
 
-@lru_cache(1)
-def pattern() -> re.Pattern[str]:
-    letter, number = _ranges("L"), _ranges("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+    letters: str
+    numbers: str
+    special: tuple[tuple[str, int], ...]
 
 
-_OTHERS = [c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{SPACE}]", c)]
-_BETWEEN = re.compile(f" (?<=[^{SPACE}] )(?=[^{SPACE}])")
+@lru_cache(4)
+def classes(path: str) -> Classes:
+    """Asks the library's pre-tokenizer. A text of all characters in order falls into its runs of one class; what
+    class a run is shows in whether its first character joins a letter or a digit before it."""
+    from tokenizers import Tokenizer
 
+    library = Tokenizer.from_file(path)
+    split = library.pre_tokenizer.pre_tokenize_str
+    found: dict[str, list[str]] = {"A": [], "1": []}
+    for plane in PLANES:
+        text = "".join(map(chr, plane))
+        for _, (a, b) in split(text):
+            a += text[a] == " " and b > a + 1  # a space joins what follows it
+            for like, out in found.items():
+                if len(split(like + text[a])) == 1:
+                    out.append(f"\\U{ord(text[a]):08x}-\\U{ord(text[b - 1]):08x}")
+    special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+    return Classes("".join(found["A"]), "".join(found["1"]), tuple(special.items()))
 
-def chunks(text: str) -> list[str]:
-    """The text cut at every space between two other characters; all chunks but the first have lost
-    the space before them."""
-    beside = text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHERS)
-    return _BETWEEN.split(text) if beside else text.split(" ")
 
-
-def pieces(text: str) -> list[str]:
-    return pattern().findall(text)
+_OTHERS = [c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{SPACE}]", c)]
+_BETWEEN = re.compile(f" (?<=[^{SPACE}] )(?=[^{SPACE}])")
 
 
-class Special:
-    """Cuts texts at special strings, which stand for one id each."""
+class Splitter:
+    def __init__(self, known: Classes):
+        letter, number = known.letters, known.numbers
+        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        self.pieces = self.pattern.findall
+        self.special = dict(known.special)
+        self._find = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def __init__(self, ids: dict[str, int]):
-        self.ids = ids
-        self.find = re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None
+    def chunks(self, text: str) -> list[str]:
+        """The text cut at every space between two other characters; all chunks but the first have lost
+        the space before them."""
+        beside = text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHERS)
+        return _BETWEEN.split(text) if beside else text.split(" ")
 
-    def split(self, text: str) -> list[tuple[str, int | None]]:
+    def parts(self, text: str) -> list[tuple[str, int | None]]:
         """(plain text, id of the special string after it or None) in order."""
-        if not self.find or not any(s in text for s in self.ids):
+        if not self._find or not any(s in text for s in self.special):
             return [(text, None)]
         out, at = [], 0
-        for m in self.find.finditer(text):
-            out.append((text[at : m.start()], self.ids[m[0]]))
+        for m in self._find.finditer(text):
+            out.append((text[at : m.start()], self.special[m[0]]))
             at = m.end()
         return [*out, (text[at:], None)]

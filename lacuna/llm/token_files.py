@@ -25,10 +25,11 @@ the shared folder is: each segment is a row of the text writer, END its line sep
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from lacuna.llm import pretokens
-from lacuna.llm.common import BROADCAST_ROWS, new_path, ship, text_slices
+from lacuna.llm.chunk_store import ChunkStore
+from lacuna.llm.common import BROADCAST_ROWS, new_path, ship, staged, text_slices
 from lacuna.llm.vocabulary import byte_letters
 
 MAGIC, END = b"IDBLOCK1", "END1KDI\n"
@@ -150,118 +152,74 @@ def segments(data: bytes) -> Iterator[Segment]:
 
 
 class Encoder:
-    """Encodes with the tokenizers library. Texts are cut at spaces where its pre-tokenizer cuts too, and
-    only chunks not met before are given to it."""
-
-    KEEP = 600_000
-
-    def __init__(self, path: str):
-        import os
+    """Encodes with the tokenizers library. Texts are cut as its pre-tokenizer cuts them, and only pre-tokens of chunks not
+    met before are given to its model, in the letters that stand for their bytes."""
 
+    def __init__(self, path: str, known: pretokens.Classes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = pretokens.Special({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
+        self.model = Tokenizer.from_file(path).model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.known = _Known()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, with the space before them: one pre-token each, so that the
-        library's model can take them as they are, in the letters that stand for their bytes."""
-        merge, space = self.library.model.tokenize, self.letters[32]
-        spelt = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)) for w in words]
-        return [array("I", [t.id for t in merge(w)]).tobytes() for w in spelt]
-
-    def _fresh(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, each with a space before it. A word and the full stop or comma after it are two
-        pre-tokens."""
-        plain = {c for c in chunks if c.isalpha()}
-        ended = {c for c in chunks if c[-1:] in (".", ",") and c[:-1].isalpha()}
-        words = list(plain | {w for c in ended if (w := c[:-1]) not in self.known})
-        found = dict(zip(words, self._words(words)))
-        rest = list(chunks - plain - ended)
-        found |= zip(rest, self._ids([" " + c for c in rest]))
-        ends = dict(zip(".,", self._ids([".", ","])))
-        for c in ended:
-            word = c[:-1]
-            found[c] = (found[word] if word in found else self.known[word]) + ends[c[-1]]
-        return found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids. Chunks that were not met before are kept for later texts until KEEP are."""
-        parts, heads = [], []
-        for text in texts:
-            own = [(pretokens.chunks(plain) if plain else None, special) for plain, special in self.special.split(text)]
-            heads += [c[0] for c, _ in own if c]
-            parts.append(own)
-        new = self._fresh(set().union(*(c[1:] for own in parts for c, _ in own if c)) - self.known.keys())
-        keep = len(self.known) < self.KEEP
-        if keep:
-            self.known |= new
-        self.known.now = {} if keep else new
-        first, get = iter(self._ids(heads)), self.known.__getitem__
-        out = []
-        for own in parts:
-            found: list[bytes] = []
-            for chunks, special in own:
-                if chunks:
-                    found.append(next(first))
-                    found += map(get, chunks[1:])
-                if special is not None:
-                    found.append(special.to_bytes(4, "little"))
-            out.append(np.frombuffer(b"".join(found), "<u4"))
-        for c in [c for c in new if len(c) > 64] if keep else ():
-            del self.known[c]
-        self.known.now = {}
-        return out
-
-
-class _Known(dict):
-    """Ids of chunks; `now` has those that only the texts at hand need."""
-
-    now: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.now[chunk]
+        self.encode = ChunkStore(pretokens.Splitter(known), self._words).encode
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        merge, letters = self.model.tokenize, self.letters
+        found = [[t.id for t in merge(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
+        return np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 1_000_000) -> None:
+def by_range(docs: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """docs in at most `parts` partitions of rising ids, each sorted by id; nulls first.
+
+    The bounds are quantiles of the id column alone, so texts are not read for them. An id that fills several
+    partitions by itself is dealt out to them by a hash of the row's text.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    bounds = docs.select(F.percentile_approx("id", shares, 100 * parts)).first()[0] if shares else None
+    if not bounds:
+        return docs.repartition(1).sortWithinPartitions("id")
+    edges = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    low = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b < F.col("id"))))
+    high = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda b: b <= F.col("id"))))
+    place = low + F.pmod(F.xxhash64("text"), high - low + 1)
+    return docs.repartitionById(parts, place.cast("int")).sortWithinPartitions("id")
+
+
+def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, segment_ids: int = 1_000_000, segments_a_file: int = 64) -> None:
     """Writes the ids of every row's whole text, followed by end_id, in ascending order of id_col (an
     integer; nulls first; rows of equal id in any order next to each other).
 
-    One range shuffle deals out the rows; a task holds the ids of one segment at a time. A null or empty
-    text has end_id alone. Other columns are not read; an empty table gives no segment.
+    One range shuffle deals out the rows; a task holds the ids of one segment at a time, and begins a new file after
+    segments_a_file segments. A null or empty text has end_id alone. Other columns are not read; an empty table
+    gives no segment.
     """
     ship(docs.sparkSession)
+    known = pretokens.classes(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        enc = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
-        held: list[tuple[pa.Array, list[np.ndarray]]] = []
+        enc = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer, known))
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            names = pa.concat_arrays([d for d, _ in held])
-            ids = [x for _, xs in held for x in xs]
-            row = segment((part, number), names.fill_null(0).to_numpy(zero_copy_only=False), names.is_valid().to_numpy(zero_copy_only=False), np.array([len(x) for x in ids]), np.concatenate(ids))
+            names = pa.concat_arrays([d for d, _, _ in held])
+            counts, ids = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            row = segment((part, number), names.fill_null(0).to_numpy(zero_copy_only=False), names.is_valid().to_numpy(zero_copy_only=False), counts, ids)
             return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
         for batch in batches:
-            for start, texts in text_slices(batch, 1, 2_000_000):
-                got = [np.append(x, np.uint32(end_id)) for x in enc.encode(texts)]
-                held.append((batch.column(0).slice(start, len(texts)), got))
-                size += sum(map(len, got))
+            for start, texts in text_slices(batch, 1, 1_000_000):
+                ids, counts = enc.encode(texts)
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32)
+                held.append((batch.column(0).slice(start, len(texts)), counts + 1, ids))
+                size += len(ids)
                 if size >= segment_ids:
                     yield close()
                     held, size, number = [], 0, number + 1
@@ -269,14 +227,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
             yield close()
 
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", END).text(path)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = by_range(rows, "id", parts).mapInArrow(run, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", segments_a_file).text(path)
 
 
-def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | DataType = "bigint") -> DataFrame:
+def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | DataType = "bigint", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document in the files: id_col, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Where a segment starts is a running sum over one row per segment, read from the headers.
+    Where a segment starts is a running sum over the headers: of the partitions' totals, one row each, and of the
+    segments within each partition.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -301,10 +261,13 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | Dat
                     )
 
     index = files.mapInArrow(heads, "part bigint, number bigint, n_ids bigint")
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    index = index.select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        index = F.broadcast(index)
+    parts = index.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    index = index.select("part", "number", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("within")).join(parts, "part")
+    index = staged(index.select("part", "number", (F.col("before") + F.col("within")).alias("before")), "segment-index")
+    index = F.broadcast(index) if index.limit(broadcast_rows + 1).count() <= broadcast_rows else index.hint("merge")
     found = files.mapInArrow(rows, "part bigint, number bigint, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(index, ["part", "number"]).select(F.col("id").cast(kind).alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -1,4 +1,3 @@
-import random
 import zlib
 
 import numpy as np
@@ -44,16 +43,6 @@ def test_round_trip(spark):
     assert len(got) == len(texts)
 
 
-def test_encoder_equals_library():
-    r, library = random.Random(2), Tokenizer.from_file(PATH)
-    parts = ["The", "cat", "é", "déjà", "漢字", "²", ",", ".", "'s", " ", "  ", "\n", "<|endoftext|>", "ª", "12", "x.", "Ⅷ", "ǅ", "_"]
-    texts = [" ".join("".join(r.choice(parts) for _ in range(r.randrange(4))) for _ in range(r.randrange(9))) for _ in range(3000)]
-    enc = T.Encoder(PATH)
-    for k in range(0, 3000, 500):
-        for text, ids in zip(texts[k : k + 500], enc.encode(texts[k : k + 500])):
-            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
-
-
 def test_edges(spark):
     assert T.round_trip(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
     df = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b")], "doc_id bigint, text string")
@@ -65,5 +54,25 @@ def test_small_segments(spark):
     df = spark.range(200).selectExpr("id as doc_id", "repeat('ab cd ', cast(id as int)) as text")
     path = T.new_path(spark, "small")
     T.write(df, PATH, path, segment_ids=50)
+    for broadcast_rows in (0, 1000):
+        rows = sorted((x.doc_id, x.start, x.n_tokens) for x in T.read(spark, path, broadcast_rows=broadcast_rows).collect())
+        assert [r[0] for r in rows] == list(range(200)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_files_are_rolled(spark):
+    df = spark.range(300).selectExpr("id as doc_id", "repeat('ab cd ', 20) as text")
+    path = T.new_path(spark, "rolled")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        T.write(df, PATH, path, segment_ids=50, segments_a_file=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     rows = sorted((x.doc_id, x.start, x.n_tokens) for x in T.read(spark, path).collect())
-    assert [r[0] for r in rows] == list(range(200)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
+    assert files.count() >= 30 and [r[0] for r in rows] == list(range(300)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
+
+
+def test_one_id_in_many_partitions(spark):
+    df = spark.range(400).selectExpr("if(id < 300, 7, id) as doc_id", "cast(id as string) as text")
+    parts = T.by_range(df.selectExpr("doc_id as id", "text"), "id", 4).rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
+    assert [i for p in parts for i in p] == [7] * 300 + list(range(300, 400)) and max(map(len, parts)) < 200
