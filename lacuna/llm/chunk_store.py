@@ -37,6 +37,14 @@ class _Numbers(dict):
         return n
 
 
+class _Places(dict):
+    """The place of each word among the distinct ones."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class ChunkStore:
     """encode_words takes distinct pre-tokens and returns their ids one after the other, and how many each has.
 
@@ -49,21 +57,27 @@ class ChunkStore:
         self.numbers = _Numbers(self.LONGEST)
         self.flat, self.starts, self.sizes, self.met = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
-    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, fresh: list[str], once: list[str]) -> tuple[list[str], np.ndarray]:
+        """(pieces of all, up to which each goes). Chunks with the space before them fall into the same pieces when they stand
+        one after the other, so one search goes through all that are kept."""
+        pieces = self.splitter.pieces("".join(fresh))
+        reach = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        ends = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
+        more = []
+        for chunk in once:
+            pieces += self.splitter.pieces(chunk)
+            more.append(len(pieces))
+        return pieces, np.concatenate([[0], ends, more]).astype(np.int64)
+
+    def _encoded(self, fresh: list[str], once: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, sizes) of chunks."""
-        place: dict[str, int] = {}
-        order: list[int] = []
-        ends = np.zeros(len(chunks), np.int64)
-        pieces = self.splitter.pieces
-        for i, chunk in enumerate(chunks):
-            for word in pieces(chunk):
-                order.append(place.setdefault(word, len(place)))
-            ends[i] = len(order)
+        pieces, ends = self._pieces(fresh, once)
+        place = _Places()
+        words = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
         flat, sizes = self.encode_words(list(place))
         starts = np.cumsum(sizes) - sizes
-        words = np.array(order, np.int64)
         total = np.concatenate([[0], np.cumsum(sizes[words])])
-        return gather(flat, starts[words], sizes[words]), np.diff(total[np.concatenate([[0], ends])])
+        return gather(flat, starts[words], sizes[words]), np.diff(total[ends])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
@@ -90,7 +104,7 @@ class ChunkStore:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         n = len(numbers.fresh)
         plain_at = np.array([not isinstance(x, int) for x in once], bool)
-        flat, sizes = self._encoded(numbers.fresh + [x for x in once if not isinstance(x, int)])
+        flat, sizes = self._encoded(numbers.fresh, [x for x in once if not isinstance(x, int)])
         split = int(sizes[:n].sum())
         kept = np.concatenate([self.flat, flat[:split]])
         kept_sizes = np.concatenate([self.sizes, sizes[:n]])

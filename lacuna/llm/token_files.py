@@ -30,6 +30,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -160,13 +161,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.every_letter = {b: c for c, b in byte_letters().items()}
+        self.letters = self.every_letter | {10: "\n"}
         self.encode = ChunkStore(pretokens.Splitter(known), self._words).encode
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        merge, letters = self.model.tokenize, self.letters
-        found = [[t.id for t in merge(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
-        return np.array(list(chain.from_iterable(found)), np.int32), np.array(list(map(len, found)), np.int64)
+        broken = [w for w in words if "\n" in w]  # all others are respelt in one go
+        lines = "\n".join(w for w in words if "\n" not in w) if broken else "\n".join(words)
+        spelt = lines.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split("\n")
+        if broken:
+            rest = iter(spelt)
+            spelt = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.every_letter) if "\n" in w else next(rest) for w in words]
+        found = list(map(self.model.tokenize, spelt))
+        return np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
 
 _encoders: dict[str, Encoder] = {}
