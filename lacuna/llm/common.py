@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.shipping import ship  # noqa: F401  the operators take it from here
+from lacuna.shipping import ship  # noqa: F401  the operators take these from here
+from lacuna.staging import new_path, settled, staged  # noqa: F401
 
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
@@ -19,45 +18,46 @@ WHITE_RE = "[\\x20\\x09-\\x0D]+"
 #: A table of at most this many narrow rows may be broadcast; beyond it operators shuffle.
 BROADCAST_ROWS = 200_000
 
-_own_folders: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset
-    (tests in one process), a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own_folders.get(app) or _own_folders.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lacuna-')}")
-    return found.rstrip("/")
+def content_key(*columns: str) -> list[Column]:
+    """Two 64-bit hashes of the given columns, never null: rows with equal values share them, so
+    they identify a row's content where ids may be null or repeated."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    return [F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).alias("_k2")]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/lacuna/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+def few(df: DataFrame, n: int) -> DataFrame:
+    """A table of n rows as the small side of a join."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again: cuts the lineage, survives lost
-    executors, and gives the planner the real size."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A filter of at most so many words of 64 bits goes to the tasks, whatever the number of keys.
+FILTER_WORDS = 1 << 22
 
 
-def content_key(*columns: str) -> list[Column]:
-    """Two 64-bit hashes of the given columns, never null: rows with equal values share them, so
-    they identify a row's content where ids may be null or repeated."""
-    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))]
-    return [F.xxhash64(F.lit(1), *parts).alias("_k1"), F.xxhash64(F.lit(2), *parts).alias("_k2")]
+def maybe_in(keys: DataFrame, n: int, key: Column, words: int = FILTER_WORDS) -> Column:
+    """Whether the bigint `key` (a hash) may be among the n keys of the one column of `keys`: a Bloom filter of two
+    bits a key. No key is missed. About 1 in 60 of the others passes up to words * 4 keys; beyond, ever more do."""
+    size = 64
+    while size < min(words, n // 4):
+        size *= 2
+
+    def places(x: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), x), F.lit(64 * size)) for k in (3, 4)]
+
+    def bit(x: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+
+    set_bits = keys.toDF("key").select(F.explode(F.array(*places(F.col("key")))).alias("x"))
+    rows = set_bits.select(F.shiftright("x", 6).alias("word"), bit(F.col("x")).alias("bits"))
+    rows = rows.unionAll(keys.sparkSession.range(size).select("id", F.lit(0).cast("bigint")))
+    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("filter")).scalar()
+    hits = [F.get(found, F.shiftright(x, 6).cast("int")).bitwiseAND(bit(x)) != 0 for x in places(key)]
+    return hits[0] & hits[1]
 
 
 def text_slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import BROADCAST_ROWS, content_key, ship, staged
+from lacuna.llm.common import BROADCAST_ROWS, content_key, few, maybe_in, settled, ship, staged
 from lacuna.llm.graph import components
 
 BITS, TILE, STEP = 64, 1024, 256
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read. Empty tables give none.
     """
     docs_fp = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    roots = staged(components(links(staged(docs_fp.select("fp").distinct(), "fingerprints-once"), radius, tile)), "fingerprint-roots")
+    roots = settled(docs.sparkSession, "fingerprint-roots", lambda: components(links(staged(docs_fp.select("fp").distinct(), "fingerprints-once"), radius, tile)))
     return labelled(docs_fp, roots, id_col)
 
 
@@ -156,37 +156,43 @@ def labelled(docs_fp: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     """(id_col, fingerprint, component_id) per row of docs_fp (id, fp). roots: components() of fingerprints."""
     distinct = staged(docs_fp.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     n = roots.count()
-    joined = distinct.join(_few(roots.select(F.col("node").alias("fp"), "root"), n), "fp", "left")
+    joined = distinct.join(few(roots.select(F.col("node").alias("fp"), "root"), n), "fp", "left")
     grouped = staged(joined.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "components")
-    joined = staged(joined.join(_few(grouped, n), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "fingerprint-components")
-    out = docs_fp.join(_few(joined, joined.count()), "fp")
+    joined = staged(joined.join(few(grouped, n), "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "fingerprint-components")
+    out = docs_fp.join(few(joined, joined.count()), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = near_duplicates, named_by: Callable[..., DataFrame] = fingerprints, **options: int) -> DataFrame:
-    """One row of docs, with all columns, for each component of `grouped`: the one of the smallest id. named_by gives
-    the fingerprint of each row as (id, fp).
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grouped: Callable[..., DataFrame] = near_duplicates, **options: int) -> DataFrame:
+    """One row of docs, with all columns, for each component of `grouped`: the one of the smallest id, null ids last.
+    Where several rows have that id, the first of them by a hash of all columns stays; rows that are equal in all columns
+    count as one.
 
-    Only ids are grouped; whole rows are shuffled once, by id, to meet the ids kept. Where several rows have
-    that id, the first of them by a hash of all columns stays. Of a component without ids one such
-    row stays.
+    Rows are grouped by id and hash alone. Texts stay where they lie, but for the rows that go or are repeated: if those are
+    few, their hashes are broadcast; else a filter of bounded size picks the rows that meet them in a shuffle.
     """
-    groups = grouped(docs, id_col, text_col, **options)
-    kept = staged(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id"), F.when(F.col(id_col).isNull(), F.col("fingerprint")).alias("_fp")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    hashes = content_key(*docs.columns)
-    # an id that stands in several components does not tell which of its rows stays
-    parted = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi")
-    if kept.where("_id is null or _n > 1").isEmpty() and parted.isEmpty():
-        return docs.join(kept.select(F.col("_id").alias(id_col)), id_col, "left_semi").select(docs.columns)
-    keyed = docs.withColumns({"_k1": hashes[0], "_k2": hashes[1]})
-    named = named_by(docs.select(id_col, text_col, *hashes).withColumn("_name", F.struct("_k1", "_k2", F.col(id_col).cast("string").alias("_id"))), "_name", text_col)
-    roots = groups.select(F.col("fingerprint"), F.col("component_id")).distinct()
-    named = named.select("id._k1", "id._k2", F.col("id._id").alias("_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(roots, "fingerprint")
-    first = named.where(F.col("_id").eqNullSafe(F.col("component_id").cast("string"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_fp")).agg(F.min(F.struct("_k1", "_k2")).alias("k"))
-    chosen = staged(first.select("k._k1", "k._k2").distinct(), "chosen")
-    rows = keyed.join(chosen, ["_k1", "_k2"], "left_semi")
-    return rows.dropDuplicates(["_k1", "_k2"]).select(docs.columns)
-
-
-def _few(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+    spark = docs.sparkSession
+    k1, k2 = content_key(*docs.columns)
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), k1, k2)
+    named = docs.select(name.alias("_name"), F.col(text_col).alias("_text"))
+
+    def build() -> DataFrame:
+        groups = grouped(named, "_name", "_text", **options)
+        rows = groups.groupBy("_name").agg(F.count(F.lit(1)).alias("n"), F.first(F.col("_name") == F.col("component_id")).alias("first"))
+        return rows.where("n > 1 or not first").select("_name._k1", "_name._k2", F.col("first").alias("_stays"))
+
+    doubtful = settled(spark, "doubtful", build)
+    n = doubtful.count()
+    if not n:
+        return docs
+    rows = docs.select(F.struct(*docs.columns).alias("row"), k1, k2)
+    if n > BROADCAST_ROWS:
+        suspect = maybe_in(doubtful.select("_k1"), n, F.col("_k1"))
+        met = rows.where(suspect).join(doubtful.hint("merge"), ["_k1", "_k2"], "left")
+        clean = rows.where(~suspect).select("row.*").unionAll(met.where("_stays is null").select("row.*"))
+    else:
+        met = rows.join(F.broadcast(doubtful), ["_k1", "_k2"], "left")
+        clean = met.where("_stays is null").select("row.*")
+    if doubtful.where("_stays").isEmpty():
+        return clean
+    return clean.unionAll(met.where("_stays").dropDuplicates(["_k1", "_k2"]).select("row.*"))

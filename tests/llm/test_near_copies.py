@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lacuna.llm import graph, near_copies, simhash
+from lacuna.llm import common, graph, near_copies, simhash
 
 
 def plain_set(text):
@@ -23,7 +23,8 @@ def plain_roots(texts):
 
 @pytest.mark.parametrize("broadcast_rows, many", [(200_000, 1000), (0, 1)])
 def test_against_plain(spark, monkeypatch, broadcast_rows, many):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(near_copies, "MANY_LINKS", many)
     r = random.Random(5)
@@ -40,7 +41,7 @@ def test_against_plain(spark, monkeypatch, broadcast_rows, many):
     got = {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()}
     want = plain_roots(texts)
     assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < len(want) - 20
-    kept = simhash.keep_first(df, grouped=near_copies.near_copies, named_by=near_copies.nodes)
+    kept = simhash.keep_first(df, grouped=near_copies.near_copies)
     assert {x.doc_id for x in kept.collect()} == set(want)
     assert near_copies.near_copies(df.limit(0)).count() == 0
 

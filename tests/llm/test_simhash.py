@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lacuna.llm import graph, simhash
+from lacuna.llm import common, graph, simhash
 
 
 def plain_fingerprint(text):
@@ -47,8 +47,8 @@ def test_fingerprint():
 
 @pytest.mark.parametrize("tile, broadcast_rows", [(3, 200_000), (1024, 200_000), (3, 0)])
 def test_near_duplicates(spark, monkeypatch, tile, broadcast_rows):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast_rows)
+    for module in (common, simhash, graph):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
     r = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
     texts = [None, "", " \t\n", "one", "One"]
@@ -102,7 +102,10 @@ def test_empty_repeated_and_null_ids(spark):
     assert got == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
 
 
-def test_keep_first(spark):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_keep_first(spark, monkeypatch, broadcast_rows):
+    for module in (common, simhash, graph):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
     schema = "doc_id bigint, text string, _id string"
     rows = [(3, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "y"), (9, "totally other words stand here", "z"), (None, "quite some more other things", "n"), (None, "quite some more other things", "n"), (None, "a b c d e", "n")]
     got = sorted((str(x.doc_id), x.text) for x in simhash.keep_first(spark.createDataFrame(rows, schema)).collect())
@@ -116,3 +119,21 @@ def test_keep_first_of_an_id_in_two_components(spark):
     rows = [(3, "a b c d e"), (7, "totally other words stand here"), (7, "a b c d e")]
     got = {(x.doc_id, x.text) for x in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == set(rows[:2])
+
+
+def test_filter_misses_no_key(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as k")
+    all_rows = spark.range(100_000).selectExpr("id", "xxhash64(id) as k")
+    for words in (64, 1 << 22):  # too small, and large enough
+        passed = all_rows.where(common.maybe_in(keys, 5000, all_rows.k, words))
+        assert passed.where("id < 5000").count() == 5000
+    assert passed.where("id >= 5000").count() < 95_000 / 30
+
+
+def test_texts_stay_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
+    rows = spark.range(2000).selectExpr("id as doc_id", "if(id % 100 = 1, 'one text that is here often', sha2(cast(id as string), 512) || ' x y ' || id) as text")
+    kept = simhash.keep_first(rows)
+    assert kept.count() == 1981
+    moved = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in moved and {r.doc_id for r in kept.where("doc_id % 100 = 1").collect()} == {1}
