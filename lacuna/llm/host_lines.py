@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import BROADCAST_ROWS, WHITE, content_key, staged
 
-HOST, LINES, FLAGGED = "_host", "_lines", "_flagged"
+HOST, LINES, GONE = "_host", "_lines", "_gone"
 
 
 def normal_lines(text: Column) -> Column:
@@ -42,34 +42,54 @@ def host_totals(lined: DataFrame) -> DataFrame:
     return lined.groupBy(HOST).agg(F.count(F.lit(1)).alias("host_docs"))
 
 
+def _by_host(frequent: DataFrame) -> DataFrame:
+    """HOST, _set: its frequent lines in buckets of about eight by hash, so that a line is looked up among few."""
+    sizes = frequent.groupBy(HOST).agg(F.ceil(F.count(F.lit(1)) / 8).cast("int").alias("n"))
+    line = F.struct("a", "b")
+    rows = frequent.join(sizes, HOST).select(HOST, F.pmod(F.col("a"), F.col("n")).cast("int").alias("k"), line.alias("x"))
+    empty = sizes.select(HOST, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("x"))
+    buckets = rows.unionAll(empty).groupBy(HOST, "k").agg(F.collect_list("x").alias("x"))
+    return buckets.groupBy(HOST).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("_set"))
+
+
 def flag(lined: DataFrame, frequent: DataFrame, key: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """lined with FLAGGED: the 0-based numbers of lines that `frequent` (HOST, a, b, unique) names, in order.
+    """lined with GONE: for each line whether `frequent` (HOST, a, b, unique) names it; null if it can name none.
 
     frequent is broadcast if it has at most broadcast_rows rows. Else the line hashes are joined to it by
-    shuffle, and the numbers joined back by a hash of the columns of `key`.
+    shuffle, and the places of the lines joined back by a hash of the columns of `key`.
     """
     frequent = staged(frequent.select(HOST, "a", "b"), "frequent-lines")
-    numbers = F.sequence(F.lit(0), F.size(LINES) - 1)
     if frequent.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        by_host = frequent.groupBy(HOST).agg(F.collect_list(F.struct("a", "b")).alias("_set"))
-        joined = lined.join(F.broadcast(by_host), HOST, "left")
-        found = F.filter(numbers, lambda i: F.array_contains(F.col("_set"), F.get(F.col(LINES), i)))
-        return joined.withColumn(FLAGGED, F.when(F.col("_set").isNull(), F.expr("array()").cast("array<int>")).otherwise(found)).drop("_set")
+        joined = lined.join(F.broadcast(_by_host(frequent)), HOST, "left")
+        found = F.transform(LINES, lambda x: x.isNotNull() & F.coalesce(F.array_contains(F.get(F.col("_set"), F.pmod(x["a"], F.size("_set")).cast("int")), x), F.lit(False)))
+        return joined.withColumn(GONE, F.when(F.col("_set").isNotNull(), found)).drop("_set")
     k1, k2 = content_key(*key)
     keyed = lined.withColumns({"_k1": k1, "_k2": k2})
     rows = keyed.select("_k1", "_k2", HOST, F.posexplode(LINES).alias("i", "x")).where("x is not null")
     rows = rows.select("_k1", "_k2", HOST, "i", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
     marks = staged(rows.join(frequent.hint("merge"), [HOST, "a", "b"]).select("_k1", "_k2", "i"), "line-marks")
-    marks = marks.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("i")).alias(FLAGGED))
+    marks = marks.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("i")).alias("_at"))
     joined = keyed.join(marks, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    return joined.withColumn(FLAGGED, F.coalesce(FLAGGED, F.expr("array()").cast("array<int>")))
+    # the places as a word of noughts and ones, one letter a line
+    ones = F.array_join(F.transform("_at", lambda i, k: F.concat(F.repeat(F.lit("0"), i - F.coalesce(F.get(F.col("_at"), k - 1), F.lit(-1)) - 1), F.lit("1"))), "")
+    return joined.withColumn(GONE, F.when(F.col("_at").isNotNull(), F.transform(F.split(F.rpad(ones, F.size(LINES), F.lit("0")), ""), lambda c: c == "1"))).drop("_at")
+
+
+def without_gone(text: str) -> Column:
+    """The text without the lines that GONE marks; one without such lines stays as it is. The text is cut once, not for
+    each line, so the work grows with its length."""
+    kept = F.zip_with(F.split(text, "\n"), F.col(GONE), lambda line, gone: F.when(~gone, line))
+    return F.when(n_gone() == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))
+
+
+def n_gone() -> Column:
+    return F.when(F.col(GONE).isNull(), 0).otherwise(F.size(F.filter(GONE, lambda x: x)))
 
 
-def without_flagged(text: str) -> Column:
-    """The text without the lines that FLAGGED names; one without such lines stays as it is."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(FLAGGED))
-    return F.when(F.size(FLAGGED) == 0, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+def gone_chars(text: str) -> Column:
+    """How many characters other than white space the lines that GONE marks have."""
+    sizes = F.zip_with(F.split(F.coalesce(text, F.lit("")), "\n"), F.col(GONE), lambda line, gone: F.when(gone, F.length(words_only(line))).otherwise(0))
+    return F.when(n_gone() == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda s, x: s + x))
 
 
 def words_only(text: Column) -> Column:

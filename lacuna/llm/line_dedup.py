@@ -25,9 +25,9 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = H.line_counts(lined, max(1, least_pages))
     frequent = counts.join(H.host_totals(lined), H.HOST).where(F.col("n_docs") > F.col("host_docs") * F.lit(ratio))
     marked = H.flag(lined, frequent, ["_id", "_site", "_text"], broadcast_rows)
-    rest = H.without_flagged("_text")
+    rest = H.without_gone("_text")
     return marked.select(
         *[(F.when(F.col("_text").isNotNull(), rest) if c == text_col else F.col("_row").getField(c)).alias(c) for c in own if c.lower() not in ("n_lines", "n_dropped")],
         F.when(F.col("_text").isNull(), 0).otherwise(F.size(H.LINES)).cast("bigint").alias("n_lines"),
-        F.size(H.FLAGGED).cast("bigint").alias("n_dropped"),
+        H.n_gone().cast("bigint").alias("n_dropped"),
     )

@@ -60,12 +60,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     lined = H.with_lines(packed, "_text", None if host_col is None else "_site")
     counts = H.line_counts(lined, least_docs + 1)
     frequent = counts.join(H.host_totals(lined), H.HOST).where(F.col("n_docs") > F.col("host_docs") * F.lit(share))
-    sized = lined.withColumn("_chars", F.transform(F.split(F.coalesce("_text", F.lit("")), "\n"), lambda x: F.length(H.words_only(x))))
-    marked = H.flag(sized, frequent, ["_id", "_site", "_text"], broadcast_rows)
-    removed = F.aggregate(H.FLAGGED, F.lit(0).cast("bigint"), lambda s, i: s + F.get(F.col("_chars"), i))
-    df = _with_stats(marked.withColumn("n_removed_chars", removed), "_text").withColumn("base_failed", _failed())
+    marked = H.flag(lined, frequent, ["_id", "_site", "_text"], broadcast_rows)
+    df = _with_stats(marked.withColumn("n_removed_chars", H.gone_chars("_text")), "_text").withColumn("base_failed", _failed())
     kept = ~F.col("base_failed") & (F.col("n_removed_chars") <= F.col("word_chars") * F.lit(most_removed))
-    result = F.struct(*[(H.without_flagged("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
+    result = F.struct(*[(H.without_gone("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in own], *STATS, "n_removed_chars", "base_failed", kept.alias("kept"))
     # Filters on the result stop at the generator. Pushed below the steps of _with_stats they would repeat each step in
     # the next one's lambda, for every element.
     return df.select(F.explode(F.array(result)).alias("_result")).select("_result.*")
