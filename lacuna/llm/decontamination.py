@@ -7,8 +7,12 @@
 3. Where a document holds a seed, the passage around it is aligned with the item. The local alignment score
    (a match 1, a mismatch or a gap of one word -1/2) over the item's length is the similarity.
 
+An item of fewer than N words has one n-gram, itself, and documents are looked through for n-grams of its length too.
+
 Items are a stated query set: they go to the tasks in blocks of bounded size, and each block is held
-against all documents where they lie, so documents are never shuffled.
+against all documents where they lie, so documents are never shuffled. Counts are always those of all documents, whatever
+other blocks hold, so the blocks' size changes nothing but the number of passes: one for each block's counts, and
+one for the matches of all blocks.
 """
 
 from __future__ import annotations
@@ -34,9 +38,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def grams_of(words: list[bytes]) -> Iterator[bytes]:
-    """Word n-grams; of a shorter text the whole."""
-    return map(b" ".join, zip(*(words[k:] for k in range(N)))) if len(words) >= N else iter([b" ".join(words)] if words else [])
+def grams_of(words: list[bytes], n: int = N) -> Iterator[bytes]:
+    """Word n-grams, in order; none of a shorter text."""
+    return map(b" ".join, zip(*(words[k:] for k in range(n))))
+
+
+def item_grams(words: list[bytes]) -> list[bytes]:
+    """An item's n-grams; of a shorter one the whole."""
+    return list(grams_of(words, min(N, len(words)))) if words else []
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -65,29 +74,33 @@ class Items:
         self.words: dict[int, np.ndarray] = {}
         self.bag: dict[int, Counter[int]] = {}
         self.seeds: dict[bytes, list[tuple[int, int]]] = {}
+        sizes = set()
         for item, (_, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
             self.words[item] = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32)
             self.bag[item] = Counter(self.words[item].tolist())
-            grams = list(grams_of(words))
+            grams = item_grams(words)
+            sizes.add(min(N, len(words)))
             often = sorted(counts.get(g, 0) for g in grams)
             most = often[max(0, int(np.ceil(len(often) * KEEP_SHARE)) - 1)]
             for k, g in enumerate(grams):
                 if counts.get(g, 0) <= most:
                     self.seeds.setdefault(g, []).append((item, k))
+        self.sizes = sorted(sizes)
 
     def passages(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(item, first word, end) of the passages around seeds; overlapping ones of an item are one."""
-        if self.seeds.keys().isdisjoint(grams_of(words)):
-            return []
         around: dict[int, list[tuple[int, int]]] = {}
-        for at, gram in enumerate(grams_of(words)):
-            for item, k in self.seeds.get(gram, ()):
-                n = len(self.words[item])
-                slack = 4 + n // 2
-                around.setdefault(item, []).append((max(0, at - k - slack), min(len(words), at - k + n + slack)))
+        for size in self.sizes:
+            if self.seeds.keys().isdisjoint(grams_of(words, size)):
+                continue
+            for at, gram in enumerate(grams_of(words, size)):
+                for item, k in self.seeds.get(gram, ()):
+                    n = len(self.words[item])
+                    slack = 4 + n // 2
+                    around.setdefault(item, []).append((max(0, at - k - slack), min(len(words), at - k + n + slack)))
         out = []
         for item, found in around.items():
             found.sort()
@@ -133,14 +146,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 def _gram_counts(docs: DataFrame, text_col: str, items: list[tuple[int | None, str]]) -> dict[bytes, int]:
     """In how many documents each n-gram of the items stands."""
     sc = docs.sparkSession.sparkContext
-    wanted = sc.broadcast(frozenset(g for _, t in items for g in grams_of(words_of(t))))
+    split = [w for _, t in items if (w := words_of(t))]
+    sizes = sorted({min(N, len(w)) for w in split})
+    wanted = sc.broadcast(frozenset(g for w in split for g in item_grams(w)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter[bytes] = Counter()
             for _, texts in text_slices(batch, 0):
                 for text in texts:
-                    found.update(wanted.value.intersection(grams_of(words_of(text))))
+                    words = words_of(text)
+                    for size in sizes:
+                        found.update(wanted.value.intersection(grams_of(words, size)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
 
     rows = docs.select(text_col).mapInArrow(run, "gram binary, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -183,9 +200,9 @@ def _matcher(docs: DataFrame, text_col: str, items: list[tuple[int | None, str]]
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs that `contaminated` reports with no item, with all their columns. No shuffle."""
     ship(docs.sparkSession)
+    every, at = docs, docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text_col):
-        block = docs.sparkSession.sparkContext.broadcast(Items(items, _gram_counts(docs, text_col, items)))
-        at = docs.columns.index(text_col)
+        block = docs.sparkSession.sparkContext.broadcast(Items(items, _gram_counts(every, text_col, items)))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
