@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,13 +27,14 @@ _ASSIGN = re.compile("""(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\
 _WORD = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 #: Line ends as string literals write them.
 _ESCAPED = re.compile(r"\\+[nrt]")
 _HEADER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):[\x20\t]*(.*)")
 _DEK = re.compile(r"([A-Z0-9-]+),([0-9A-Fa-f]+)")
-_BEFORE = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3Bl)"
+#: How base64 of a DER sequence, of an OpenSSH container, of a PEM line and of either in base64 again begins.
+_BEFORE = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|b3Bl|LS0tLS1C|T[UVW]|YjNCb)"
 _KEY64 = (re.compile(_BEFORE + r"[A-Za-z0-9+/]{38,}={0,2}(?![A-Za-z0-9+/=])"), re.compile(_BEFORE + r"[A-Za-z0-9_-]{38,}={0,2}(?![A-Za-z0-9_=-])"))
 _KEYHEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?(30(?:[0-9a-f]{62,}|[0-9A-F]{62,}))(?![0-9A-Za-z])")
 
@@ -126,8 +128,33 @@ def is_signed_token(text: str) -> bool:
     return isinstance(top, dict) and isinstance(top.get("alg"), str) and isinstance(claims, dict) and (top["alg"].lower() == "none" or from_base64(signature) not in (None, b""))
 
 
-def _is_key(data: bytes | None) -> bool:
-    return data is not None and (is_private_key(data) or is_openssh_key(data))
+def _is_key(data: bytes | None, depth: int = 0) -> bool:
+    """Whether the bytes are a key, or base64 or PEM text of one, encoded at most twice again."""
+    if data is None or is_private_key(data) or is_openssh_key(data):
+        return data is not None
+    if depth > 1 or len(data) < 40 or not data.isascii():
+        return False
+    text = data.decode().strip()
+    pem = _PEM.fullmatch(text)
+    return is_pem_key(pem[2]) if pem else _is_key(from_base64("".join(text.split())), depth + 1)
+
+
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the signed tokens: three parts with a dot between, of which the first begins with eyJ (its first or
+    its last one in that part). Each part is decoded a bounded number of times, whatever the text."""
+    for run in _DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, k = run[0].split("."), run.start(), 0
+        while k + 2 < len(parts):
+            step = 1
+            for begin in dict.fromkeys((parts[k].find("eyJ"), parts[k].rfind("eyJ"))):
+                if begin >= 0 and is_signed_token(".".join([parts[k][begin:], *parts[k + 1 : k + 3]])):
+                    yield at + begin, at + sum(map(len, parts[k : k + 3])) + 2
+                    step = 3
+                    break
+            at += sum(len(p) + 1 for p in parts[k : k + step])
+            k += step
 
 
 def is_pem_key(body: str) -> bool:
@@ -157,12 +184,17 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        out += [(a, 3, b) for a, b in signed_tokens(text)]
+    whole: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
-        out += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if is_pem_key(m[2])]
-    out += {(m.start(), 5, m.end()) for pattern in _KEY64 for m in pattern.finditer(text) if _is_key(from_base64(m[0]))}
+        whole = [m.span() for m in _PEM.finditer(text) if is_pem_key(m[2])]
+        out += [(a, 4, b) for a, b in whole]
+    keys = {(m.start(), 5, m.end()) for pattern in _KEY64 for m in pattern.finditer(text) if _is_key(from_base64(m[0]))}
     if "30" in text:
-        out += [(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if len(m[1]) % 2 == 0 and _is_key(bytes.fromhex(m[1]))]
+        keys |= {(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if len(m[1]) % 2 == 0 and _is_key(bytes.fromhex(m[1]))}
+    # what stands within a PEM block is that key, not another one
+    starts = [a for a, _ in whole]
+    out += [x for x in keys if not (k := bisect_right(starts, x[0])) or x[2] > whole[k - 1][1]]
     return sorted(out)
 
 
