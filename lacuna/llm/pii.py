@@ -8,7 +8,8 @@ entities get equal surrogates everywhere (coreference); the gender of a given na
 
 Distinctness is checked over the whole corpus: no two entities may share a surrogate, and none may be an
 entity that the corpus has. Those that clash draw again with the next attempt, in rounds, as joins and
-groupings of the distinct entities. Documents are read twice where they lie and never shuffled: attempts
+groupings of the distinct entities; attempts late in the row are longer by a character, so that rounds end also where
+all values of a format are taken. Documents are read twice where they lie and never shuffled: attempts
 other than 0 are few, and go to the tasks if their number is within a bound; beyond it they are joined to
 the entities of each document.
 """
@@ -17,15 +18,18 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import BROADCAST_ROWS, content_key, ship, staged, text_slices
+from lacuna.llm.common import BROADCAST_ROWS, content_key, settled, ship, staged, text_slices
 
 #: Titles before names, by the gender that they tell. Fixed values.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
@@ -34,10 +38,14 @@ EITHER = ("Dr", "Prof", "Professor", "Доктор")
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
 _IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)", re.ASCII)
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)", re.ASCII)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
 _CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])|(?<![\w+])\+\d{9,14}(?!\w)", re.ASCII)
+#: Words before short telephone numbers, which alone look like any two numbers. Fixed values.
+CUES = ("tel", "telephone", "phone", "call", "fax", "mobile", "cell")
+_SHORT_PHONE = re.compile(rf"(?<!\w)(?:{'|'.join(CUES)})(?:\.|:|\.:)? ?(\d{{3}}[ .-]\d{{4}})(?![\w-])", re.ASCII | re.IGNORECASE)
 _TITLES = tuple(sorted({*MALE, *FEMALE, *EITHER}, key=len, reverse=True))
 _TITLE = re.compile(rf"(?<!\w)({'|'.join(_TITLES)})\.? (?=\w)")
 _NAME = re.compile(r"[^\W\d_](?:(?!['’]s\b)[\w'’-])*")
@@ -59,48 +67,82 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _ip6(text: str) -> bool:
+    """Whether it is an address: valid, with three groups and a decimal digit at least, so that times and names with
+    double colons are none."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return len([g for g in text.split(":") if g]) > 2 and any(c.isdigit() for c in text)
+
+
+class _Spans:
+    """Spans without overlaps, in order; a look takes logarithmic time."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, str]] = []
+
+    def add(self, start: int, end: int, kind: str) -> bool:
+        k = bisect_left(self.starts, end)
+        if k and self.spans[k - 1][1] > start:
+            return False
+        self.starts.insert(k, start)
+        self.spans.insert(k, (start, end, kind))
+        return True
+
+
+def _capital(word: str) -> bool:
+    return word[0].isupper()
+
+
+def _caseless(word: str) -> bool:
+    return word[0].lower() == word[0].upper()
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, in order, without overlaps; the earlier kind wins.
 
-    Names are all capitalised words after a title, and the same words wherever else the text has them capitalised."""
-    out: list[tuple[int, int, str]] = []
+    Names are all capitalised words after a title, or the one word right after it in a script without case, and the
+    same words wherever else the text has them so."""
+    out = _Spans()
 
-    def add(pattern: re.Pattern[str], kind: str, ok=lambda m: True) -> None:
+    def add(pattern: re.Pattern[str], kind: str, ok=lambda m: True, group: int = 0) -> None:
         for m in pattern.finditer(text):
-            if ok(m) and not any(a < m.end() and m.start() < b for a, b, _ in out):
-                out.append((m.start(), m.end(), kind))
+            if ok(m):
+                out.add(m.start(group), m.end(group), kind)
 
     if "@" in text:
         add(_EMAIL, "email")
     if any(c in text for c in "0123456789"):
         add(_IBAN, "iban", lambda m: iban_ok(m[0]))
         add(_IP, "ip")
+        if ":" in text:
+            add(_IP6, "ip6", lambda m: _ip6(m[0]))
         add(_SSN, "ssn")
         add(_CARD, "card", lambda m: (d := re.sub("[ -]", "", m[0]))[0] != "0" and (luhn(d) or len(d) == 16))
         add(_PHONE, "phone", lambda m: 7 <= sum(c.isdigit() for c in m[0]) <= 15 and ("+" in m[0] or "(" in m[0] or len(re.findall("[ .-]", m[0])) >= 2))
+        add(_SHORT_PHONE, "phone", group=1)
     if any(t in text for t in _TITLES):
         named: dict[str, str] = {}
         for m in _TITLE.finditer(text):
             words, at = [], m.end()
-            while (w := _NAME.match(text, at)) and w[0][0].isupper() and w[0] not in _TITLES:
+            while (w := _NAME.match(text, at)) and w[0] not in _TITLES and (_capital(w[0]) or not words and _caseless(w[0])):
                 words.append(w)
                 at = w.end() + 1
-                if text[w.end() : at] != " ":
+                if text[w.end() : at] != " " or _caseless(w[0]):
                     break
             given = "name_m" if m[1] in MALE else "name_f" if m[1] in FEMALE else "name"
             for k, w in enumerate(words):
-                if not any(a < w.end() and w.start() < b for a, b, _ in out):
-                    out.append((w.start(), w.end(), given if k < len(words) - 1 else "surname"))
-                    named.setdefault(normal("name", w[0]), out[-1][2])
+                kind = given if k < len(words) - 1 else "surname"
+                if out.add(w.start(), w.end(), kind):
+                    named.setdefault(normal("name", w[0]), kind)
         if named:  # mentions without a title
-            taken = sorted(out)
-            at = 0
             for w in _BARE.finditer(text):
-                while at < len(taken) and taken[at][1] <= w.start():
-                    at += 1
-                if w[0][0].isupper() and (at == len(taken) or w.end() <= taken[at][0]) and (kind := named.get(normal("name", w[0]))):
-                    out.append((w.start(), w.end(), kind))
-    return sorted(out)
+                if (_capital(w[0]) or _caseless(w[0])) and (kind := named.get(normal("name", w[0]))):
+                    out.add(w.start(), w.end(), kind)
+    return out.spans
 
 
 def normal(kind: str, text: str) -> str:
@@ -133,17 +175,44 @@ SCRIPTS = {
 
 
 def _script(letter: str) -> str:
-    name = unicodedata.name(letter, "LATIN").split(" ")[0]
-    return name if name in SCRIPTS else "LATIN"
+    return unicodedata.name(letter, "LATIN").split(" ")[0]
+
+
+@lru_cache(4096)
+def _alike(letter: str) -> str:
+    """The letters of any other script: those of the same kind in the same 64 code points."""
+    first = ord(letter) & ~63
+    return "".join(c for c in map(chr, range(first, first + 64)) if unicodedata.category(c) == unicodedata.category(letter))
 
 
 def _letter(draw: _Draw, like: str) -> str:
-    hard, soft, *_ = SCRIPTS[_script(like)]
-    letters = hard + soft
+    hard, soft, *_ = SCRIPTS.get(_script(like), ("", ""))
+    letters = hard + soft or _alike(like)
     x = letters[draw.below(len(letters))]
     return x.upper() if like.isupper() else x
 
 
+_JOINTS = re.compile("([-'’]+)")
+
+
+def _name(draw: _Draw, kind: str, norm: str, more: int) -> str:
+    """A name of as many parts, joined as they were; the last one has the ending of its gender."""
+    parts = _JOINTS.split(norm)
+    words = [k for k in range(0, len(parts), 2) if parts[k]]
+    for k in words:
+        last, part = k == words[-1], parts[k]
+        script = _script(part[0])
+        if script not in SCRIPTS:
+            parts[k] = "".join(_letter(draw, c) if c.isalpha() else c for c in part + part[-1] * more * last)
+            continue
+        hard, soft, woman, man = SCRIPTS[script]
+        n = max(3, len(part)) + more * last
+        body = "".join((hard if j % 2 == 0 else soft)[draw.below(len(hard if j % 2 == 0 else soft))] for j in range(n - 1))
+        ends = woman if kind == "name_f" and last else man if kind == "name_m" and last else soft + hard
+        parts[k] = body + ends[draw.below(len(ends))]
+    return "".join(parts)
+
+
 def _digits(draw: _Draw, text: str, skip: int = 0) -> str:
     """Digits for digits from the skip-th on; the first drawn is never 0."""
     out, seen = [], 0
@@ -157,15 +226,11 @@ def _digits(draw: _Draw, text: str, skip: int = 0) -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """The surrogate's normal form, of the length and make of the entity's; every 20 attempts it is one
-    character longer where the kind's format allows that, so that a full space can grow."""
+    """The surrogate's normal form, of the length and make of the entity's. Every 20 attempts (in formats of fixed length
+    every 20 after the first 40) it is one character longer, so that a full space can grow."""
     draw, more = _Draw(key, kind, norm, attempt), attempt // 20
     if _kind_of(kind) == "name":
-        hard, soft, woman, man = SCRIPTS[_script(norm[0])]
-        n = max(3, len(norm)) + more
-        body = "".join((hard if k % 2 == 0 else soft)[draw.below(len(hard if k % 2 == 0 else soft))] for k in range(n - 1))
-        ends = woman if kind == "name_f" else man if kind == "name_m" else soft + hard
-        return body + ends[draw.below(len(ends))]
+        return _name(draw, kind, norm, more)
     if kind == "email":
         local, _, domain = norm.partition("@")
         labels = domain.split(".")
@@ -174,8 +239,16 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         host = _Draw(key, "host", domain)
         labels[:-1] = ["".join(_letter(host, c) if c.isalpha() else str(host.below(10)) if c.isdigit() else c for c in x) for x in labels[:-1]]
         return f"{local}@{'.'.join(labels)}"
+    extra = "".join(str(draw.below(10)) for _ in range(max(0, more - 2)))
+    return _fixed(draw, kind, norm) + extra
+
+
+def _fixed(draw: _Draw, kind: str, norm: str) -> str:
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "ip6":
+        groups = norm.split(":")
+        return ":".join("".join("123456789abcdef"[draw.below(15)] if k == 0 else "0123456789abcdef"[draw.below(16)] for k in range(len(g))) for g in groups)
     if kind == "card":
         body = _digits(draw, norm, 1)[:-1]
         right = next(c for c in "0123456789" if luhn(body + c))
@@ -193,9 +266,12 @@ def dressed(kind: str, text: str, norm: str) -> str:
     """The surrogate's normal form in the spelling of the text that it replaces."""
     if kind in ("card", "phone", "iban", "ssn"):
         rest = iter(norm)
-        return "".join(c if c in " .()-" else next(rest) for c in text)
+        return "".join(c if c in " .()-" else next(rest) for c in text) + "".join(rest)
     if kind == "ip":
         return norm
+    if _kind_of(kind) == "name" and _JOINTS.search(text):
+        old, new = _JOINTS.split(text), _JOINTS.split(norm)
+        return "".join(dressed(kind, a, b) for a, b in zip(old, new)) if len(old) == len(new) else norm
     if text.isupper() and len(text) > 1:
         return norm.upper()
     if kind == "email":
@@ -253,7 +329,7 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
     return out
 
 
-def settled(found: DataFrame) -> DataFrame:
+def gendered(found: DataFrame) -> DataFrame:
     """(kind, norm, as_kind) of found: a given name that titles show to be of one gender only is of that gender
     everywhere, one that they show to be of both, or of none, of no gender."""
     shown = [F.max(F.col("kind") == k) for k in ("name_m", "name_f")]
@@ -286,10 +362,14 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", broadcast_rows:
     """
     spark = docs.sparkSession
     ship(spark)
-    found = staged(settled(entities(docs, text_col)), "entities")
-    again = attempts(found.select(F.col("as_kind").alias("kind"), "norm").distinct(), key).withColumnRenamed("kind", "as_kind")
-    late = found.join(again, ["as_kind", "norm"], "left").where("as_kind <> kind or attempt is not null")
-    late = staged(late.select("kind", "norm", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt")), "later-attempts")
+
+    def build() -> DataFrame:
+        found = staged(gendered(staged(entities(docs, text_col), "found")), "entities")
+        again = attempts(found.select(F.col("as_kind").alias("kind"), "norm").distinct(), key).withColumnRenamed("kind", "as_kind")
+        rows = found.join(again, ["as_kind", "norm"], "left").where("as_kind <> kind or attempt is not null")
+        return rows.select("kind", "norm", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+
+    late = settled(spark, "later-attempts", build)
     own = [c for c in docs.columns if c.lower() != "n_entities"]
     if late.limit(broadcast_rows + 1).count() <= broadcast_rows:
         few = spark.sparkContext.broadcast({(r.kind, r.norm): (r.as_kind, r.attempt) for r in late.collect()})
