@@ -271,7 +271,7 @@ def dressed(kind: str, text: str, norm: str) -> str:
         return norm
     if _kind_of(kind) == "name" and _JOINTS.search(text):
         old, new = _JOINTS.split(text), _JOINTS.split(norm)
-        return "".join(dressed(kind, a, b) for a, b in zip(old, new)) if len(old) == len(new) else norm
+        return "".join(dressed(kind, a, b) if k % 2 == 0 and a else b for k, (a, b) in enumerate(zip(old, new))) if len(old) == len(new) else norm
     if text.isupper() and len(text) > 1:
         return norm.upper()
     if kind == "email":

@@ -95,3 +95,45 @@ def test_usual_forms():
     assert [k for k, _ in kinds(headed(base64.b64encode(rsa_key()).decode(), "x")) if k == "pem"] == ["pem"]
     for refused in (headed(sealed, "AES-128-CBC,A1"), headed(base64.b64encode(bytes(641)).decode(), "DES-EDE3-CBC," + "A1" * 8), pem.replace(body[:8], "AAAAAAAA")):
         assert not [k for k, _ in kinds(refused) if k == "pem"]
+
+
+def test_encoded_again_and_once_only():
+    body = base64.b64encode(pkcs8()).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    for inner in (body, pem):
+        again = base64.b64encode(inner.encode()).decode()
+        assert ("key64", again) in kinds(f"x {again} y")
+        assert not kinds(f"x {base64.b64encode(inner[:-30].encode()).decode()} y")
+    assert [k for k, _ in kinds(pem)] == ["pem"]
+    token = f"{b64({'alg': 'HS256'})}.{b64({'sub': 'x'})}.c2lnbmF0dXJl"
+    assert ("token", token) in kinds(f"eyJbad.{token}") and ("token", token) in kinds(f"keyJ{token}") and len(kinds(f"{token}.{token}")) == 2
+
+
+def plain_structures(text):
+    """Every run of an alphabet, decoded whole: what may be reported as key64 if it stands alone."""
+    out = set()
+    for alphabet in ("A-Za-z0-9+/", "A-Za-z0-9_-"):
+        for m in re.finditer(f"[{alphabet}]+={{0,2}}", text):
+            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+            except ValueError:
+                continue
+            if S.is_private_key(data) or S.is_openssh_key(data):
+                out.add(m[0])
+    return out
+
+
+def test_keys_against_plain_decoding():
+    r = random.Random(9)
+    for _ in range(300):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            data = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, r.randbytes(5))) + tlv(4, r.randbytes(r.randrange(30, 70))))
+            if r.random() < 0.4:
+                data = bytearray(data)
+                data[r.randrange(4)] ^= 1 << r.randrange(8)
+            made = r.choice([base64.b64encode, base64.urlsafe_b64encode])(bytes(data)).decode()
+            parts.append(r.choice(["key: ", 'x="', "(", "\n"]) + made + r.choice([" ", '"', ")", "\n"]))
+        text = "".join(parts)
+        assert {x for k, x in kinds(text) if k == "key64"} == plain_structures(text)
