@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import gap_score
+from lacuna.operators.ranks import few, numbered
 from lacuna.operators.reconstruct import COMPOSITE_WEIGHTS
+from lacuna.staging import staged
 
 
 def errors(truth: str, prediction: str) -> list[Column]:
@@ -75,32 +77,43 @@ def bootstrap(rows: DataFrame, block: str, sums: dict[str, Column], draws: int,
 
     Blocks are first reduced to their sums, and numbered by order of name; only numbers meet the draws.
     """
-    from pyspark.sql import Window
+    totals = block_sums(rows, block, sums)
+    return draw_blocks(totals, list(sums), draws, seed)
+
 
+def block_sums(rows: DataFrame, block: str, sums: dict[str, Column]) -> DataFrame:
+    """(_block, n and the sums, number: from 0, by name) of each block, written once: all draws start from it."""
     totals = rows.groupBy(F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    numbered = totals.withColumn("_i", (F.row_number().over(Window.orderBy("_block")) - 1).cast("bigint"))
-    size = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    slots = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))
-    slots = slots.select("draw", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("slot"))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("_n")
-    return slots.withColumn("_i", pick).join(numbered, "_i").groupBy("draw").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
+    return staged(numbered(totals, [F.col("_block")]), "blocks")
+
+
+def draw_blocks(totals: DataFrame, sums: list[str], draws: int, seed: int) -> DataFrame:
+    """(draw, n and the sums). A draw's slots are spread and added up where they are made: the blocks' sums come to
+    them as a broadcast table if they are few, and only partial sums by draw are shuffled."""
+    size = totals.count()
+    spark = totals.sparkSession
+    slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("slot")) if size else spark.range(0).select(F.col("id").alias("draw"), F.col("id").alias("slot"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint") % max(1, size)
+    return slots.withColumn("number", pick).join(few(totals, size), "number").groupBy("draw").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
 
 
 def bootstrap_rmse(rows: DataFrame, block: str, truth: str, prediction: str, draws: int = 1500, seed: int = 1981) -> DataFrame:
-    """One row: RMSE and its 2.5 % and 97.5 % quantiles over resamples of whole blocks."""
+    """One row: RMSE and its 2.5 % and 97.5 % quantiles over resamples of whole blocks. The rows are read once."""
     e = F.pow(F.col(prediction) - F.col(truth), F.lit(2.0))
-    sample = bootstrap(rows, block, {"sse": e}, draws, seed).select(F.sqrt(F.col("sse") / F.col("n")).alias("r"))
+    totals = block_sums(rows, block, {"sse": e, "seen": e.isNotNull().cast("bigint")})
+    sample = draw_blocks(totals, ["sse"], draws, seed).select(F.sqrt(F.col("sse") / F.col("n")).alias("r"))
     ci = sample.agg(F.expr("percentile(r, array(0.025D, 0.975D))").alias("q"))
-    return rows.agg(F.sqrt(F.avg(e)).alias("rmse")).crossJoin(F.broadcast(ci)).select("rmse", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
+    return totals.agg(F.sqrt(F.sum("sse") / F.sum("seen")).alias("rmse")).crossJoin(F.broadcast(ci)).select("rmse", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
 
 
 def paired_bootstrap(rows: DataFrame, block: str, truth: str, first: str, second: str, draws: int = 2000, seed: int = 7) -> DataFrame:
     """One row: the gain in RMSE of `second` over `first`, its interval, and the share of draws with a gain."""
     a, b = (F.pow(F.col(p) - F.col(truth), F.lit(2.0)) for p in (first, second))
     gain = F.sqrt(F.col("a") / F.col("n")) - F.sqrt(F.col("b") / F.col("n"))
-    sample = bootstrap(rows, block, {"a": a, "b": b}, draws, seed).select(gain.alias("g"))
+    totals = block_sums(rows, block, {"a": a, "b": b, "na": a.isNotNull().cast("bigint"), "nb": b.isNotNull().cast("bigint")})
+    sample = draw_blocks(totals, ["a", "b"], draws, seed).select(gain.alias("g"))
     ci = sample.agg(F.expr("percentile(g, array(0.025D, 0.975D))").alias("q"), F.avg((F.col("g") > 0).cast("double")).alias("share"))
-    return rows.agg((F.sqrt(F.avg(a)) - F.sqrt(F.avg(b))).alias("gain")).crossJoin(F.broadcast(ci)).select("gain", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "share")
+    return totals.agg((F.sqrt(F.sum("a") / F.sum("na")) - F.sqrt(F.sum("b") / F.sum("nb"))).alias("gain")).crossJoin(F.broadcast(ci)).select("gain", F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "share")
 
 
 def blend_grid(rows: DataFrame, fold: str, truth: str, first: str, second: str) -> DataFrame:

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.ranks import few, medians
 from lacuna.shipping import ship
 from lacuna.sources.panel import SPEC, PanelSpec
+from lacuna.staging import settled, staged
 
 
 def iqr_affine(rows: DataFrame, least: int = 30, spec: PanelSpec = SPEC) -> DataFrame:
@@ -71,37 +73,74 @@ def huber_line(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> tuple[float, f
     return (float(slope), float(offset), float(scale)) if np.isfinite([slope, offset]).all() and 0.2 <= slope <= 3 else None
 
 
-def fit_robust(rows: DataFrame, least: int = 20, least_std: float = 0.02, spec: PanelSpec = SPEC, per_group: int = 2_000_000) -> DataFrame:
+def fit_robust(rows: DataFrame, least: int = 20, least_std: float = 0.02, spec: PanelSpec = SPEC, gathered: int = 100_000, rounds: int = 20) -> DataFrame:
     """(source, level, key, slope, offset, n, scale): Huber lines from each other sensor to the reference, for all rows, each
     category and each entity, where there are enough pairs and the sensor varies.
 
-    The sums of a group's lines need its pairs together; a group of more than per_group pairs is
-    refused rather than gathered in one task.
+    Groups of at most `gathered` pairs are fitted each in one task. Larger ones, as that of all rows, are fitted together in rounds of
+    aggregations over all pairs, with the same arithmetic and exact medians, so no task holds a group.
     """
-    ship(rows.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     ref, *others = spec.sensors
     pairs = reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("source"), F.col(spec.category).alias("c"), F.col(spec.entity).alias("e"), F.col(s).alias("x"), F.col(ref).alias("y")) for s in others])
-    pairs = pairs.where("x between -1 and 1 and y between -1 and 1")
+    pairs = staged(pairs.where("x between -1 and 1 and y between -1 and 1"), "sensor-pairs")
     levels = F.array(F.struct(F.lit("global").alias("level"), F.lit("*").alias("key")), F.struct(F.lit("crop").alias("level"), F.col("c").alias("key")), F.struct(F.lit("polygon").alias("level"), F.col("e").alias("key")))
     pairs = pairs.select("source", F.explode(levels).alias("g"), "x", "y").select("source", "g.level", "g.key", "x", "y").where("key is not null")
     keys = ["source", "level", "key"]
     usable = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd")).where((F.col("n") >= least) & (F.col("sd") >= least_std))
-    usable = usable.withColumn("n", F.when(F.col("n") <= per_group, F.col("n")).otherwise(F.raise_error(F.lit("too many pairs for one robust line")).cast("bigint")))
+    usable = staged(usable.select(*keys, "n"), "sensor-groups")
+    schema = "source string, level string, key string, slope double, offset double, n bigint, scale double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y"])
-        fit = huber_line(pdf.x.to_numpy(), pdf.y.to_numpy())
+        fit = huber_line(pdf.x.to_numpy(), pdf.y.to_numpy(), rounds)
         made = [] if fit is None else [(*key, fit[0], fit[1], len(pdf), fit[2])]
         return pd.DataFrame(made, columns=["source", "level", "key", "slope", "offset", "n", "scale"])
 
-    kept = pairs.join(usable.select(*keys), keys, "left_semi")
-    return kept.groupBy(*keys).applyInPandas(run, "source string, level string, key string, slope double, offset double, n bigint, scale double")
+    small, large = usable.where(F.col("n") <= gathered), usable.where(F.col("n") > gathered)
+    n_large = large.count()
+    out = pairs.join(few(small.select(*keys), small.count()), keys, "left_semi").groupBy(*keys).applyInPandas(run, schema)
+    if not n_large:
+        return out
+    return out.unionAll(settled(spark, "lines", lambda: _lines_in_rounds(pairs.join(few(large, n_large), keys), keys, rounds)))
+
+
+def _lines_in_rounds(pairs: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """huber_line for all groups of pairs (keys, x, y, n) at once. Each round reads the pairs with the line and scale of the
+    one before; a group whose line no longer moves keeps it."""
+    state = staged(pairs.groupBy(*keys).agg(F.first("n").alias("n")).select(*keys, "n", *[F.lit(None).cast("double").alias(c) for c in ("slope", "offset", "scale")], F.lit(False).alias("still")), "lines")
+    for k in range(rounds + 1):
+        groups = state.count()
+        rows = pairs.drop("n").join(few(state, groups), keys)
+        r = F.col("y") - F.col("slope") * F.col("x") - F.col("offset")
+        w = F.when(F.col("slope").isNull(), 1.0).otherwise(F.least(F.lit(1.0), 1.345 * F.col("scale") / F.greatest(F.abs(r), F.lit(1e-8))))
+        rows = rows.withColumn("w", w)
+        mean = rows.groupBy(*keys).agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"))
+        mean = staged(mean, "line-means")
+        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+        new = rows.join(few(mean, groups), keys).groupBy(*keys).agg((F.sum(F.col("w") * dx * dy) / F.sum(F.col("w") * dx * dx)).alias("_slope"))
+        new = new.join(few(mean, groups), keys).select(*keys, "_slope", (F.col("my") - F.col("_slope") * F.col("mx")).alias("_offset"))
+        moved = F.greatest(F.abs(F.col("_slope") - F.col("slope")), F.abs(F.col("_offset") - F.col("offset")))
+        state = state.join(few(new, groups), keys)
+        stays = F.col("still")
+        state = staged(state.select(*keys, "n", F.when(stays, F.col("slope")).otherwise(F.col("_slope")).alias("slope"), F.when(stays, F.col("offset")).otherwise(F.col("_offset")).alias("offset"), "scale", (stays | F.coalesce(moved < 1e-8, F.lit(False))).alias("still")), "lines")
+        if k == rounds or state.where("not still").isEmpty():
+            break
+        left = pairs.drop("n").join(few(state.where("not still"), groups), keys)
+        residuals = staged(left.select(*keys, (F.col("y") - F.col("slope") * F.col("x") - F.col("offset")).alias("r")), "residuals")
+        centre = staged(medians(residuals, keys, "r"), "line-centres")
+        away = staged(residuals.join(few(centre, groups), keys).select(*keys, F.abs(F.col("r") - F.col("median")).alias("d")), "deviations")
+        spread = medians(away, keys, "d")
+        spread = spread.select(*keys, F.greatest(1.4826 * F.col("median"), F.lit(0.005)).alias("_scale"))
+        state = staged(state.join(few(spread, groups), keys, "left").withColumn("scale", F.coalesce("_scale", "scale")).drop("_scale"), "lines")
+    return state.where("slope between 0.2 and 3 and offset is not null").select(*keys, "slope", "offset", "n", "scale")
 
 
-def apply_robust(rows: DataFrame, maps: DataFrame, value: str, source: str, pooling: float = 40.0, spec: PanelSpec = SPEC, sigma: str | None = None) -> DataFrame:
+def apply_robust(rows: DataFrame, maps: DataFrame, value: str, source: str, pooling: float = 40.0, spec: PanelSpec = SPEC, sigma: str | None = None, bounds: tuple[str, ...] = ()) -> DataFrame:
     """rows with harmonized, calibration_supported, slope and offset: maps pooled from all rows over the category to the entity with
     weight n / (n + pooling). The reference sensor is the identity; a source without a map of all rows is unsupported
-    and its value null. sigma, if given, is scaled with the slope."""
+    and its value null. sigma, if given, is scaled with the slope, and bounds are mapped as the value is."""
     df = rows
     for level, key in (("global", F.lit("*")), ("crop", F.col(spec.category)), ("polygon", F.col(spec.entity))):
         side = maps.where(F.col("level") == level).select(F.col("source").alias(f"_src_{level}"), F.col("key").alias(f"_key_{level}"), F.struct("slope", "offset", "n").alias(f"_m_{level}"))
@@ -117,4 +156,5 @@ def apply_robust(rows: DataFrame, maps: DataFrame, value: str, source: str, pool
     df = df.withColumn("harmonized", F.col("slope") * F.col(value) + F.col("offset"))
     if sigma:
         df = df.withColumn(sigma, F.col(sigma) * F.col("slope"))
+    df = df.withColumns({c: F.col("slope") * F.col(c) + F.col("offset") for c in bounds})
     return df.drop("_m_global", "_m_crop", "_m_polygon")

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.ranks import few, numbered
 from lacuna.sources.panel import SPEC, PanelSpec, hash_byte
+from lacuna.staging import staged
 
 
 def apply_mask(panel: DataFrame, keys: DataFrame, columns: list[str], spec: PanelSpec = SPEC) -> DataFrame:
@@ -61,8 +63,8 @@ def _sampled(rows: DataFrame, seed: int, most: int, spec: PanelSpec) -> DataFram
 def entity_groups(panel: DataFrame, groups: int = 5, spec: PanelSpec = SPEC) -> DataFrame:
     """(entity, fold): entities with targets, dealt in snake order of falling size, so that folds are near equal."""
     sizes = panel.where(F.col(spec.target).isNotNull()).groupBy(spec.entity).agg(F.count(F.lit(1)).alias("n"))
-    place = (F.row_number().over(Window.orderBy(F.desc("n"), spec.entity)) - 1).cast("int")
-    lap = place % (2 * groups)
+    sizes = numbered(sizes, [F.desc("n"), F.col(spec.entity)], "_place")
+    lap = (F.col("_place") % (2 * groups)).cast("int")
     return sizes.select(spec.entity, F.when(lap < groups, lap).otherwise(2 * groups - 1 - lap).cast("int").alias("fold"))
 
 
@@ -109,11 +111,37 @@ def context_of(panel: DataFrame, fold: DataFrame, spec: PanelSpec = SPEC) -> Dat
     fold's entities but the last observation before their cutoff.
     """
     keys = fold.select(*spec.keys).distinct().withColumn("scored", F.lit(True))
-    per = fold.groupBy(spec.entity).agg(F.max("context_policy").alias("_policy"), F.min("cutoff_date").alias("_cut"))
+    per = staged(fold.groupBy(spec.entity).agg(F.max("context_policy").alias("_policy"), F.min("cutoff_date").alias("_cut")), "fold-entities")
     whole = fold.agg(F.min(F.when(F.col("context_policy") == "past_only", F.col("cutoff_date"))).alias("_past"))
-    rows = panel.join(keys, spec.keys, "left").join(F.broadcast(per), spec.entity, "left").crossJoin(F.broadcast(whole))
+    rows = panel.join(keys, spec.keys, "left").join(few(per, per.count()), spec.entity, "left").crossJoin(F.broadcast(whole))
     remote = F.max(F.when(F.col(spec.target).isNotNull() & (F.col(spec.date) < F.col("_cut")), F.col(spec.date))).over(Window.partitionBy(spec.entity))
     scored = F.coalesce("scored", F.lit(False))
     hard = F.coalesce((F.col("_policy") == "one_sided_hard") & ~F.col(spec.date).eqNullSafe(remote), F.lit(False))
     past = F.coalesce(F.col(spec.date) >= F.col("_past"), F.lit(False))
     return rows.withColumns({"hidden": scored | hard | past, "scored": scored}).drop("_policy", "_cut", "_past")
+
+
+def requested_runs(rows: DataFrame, asked: str, spec: PanelSpec = SPEC) -> DataFrame:
+    """(entity, date, gap_length, gap_position from 0) of the rows asked for. A run ends at a row that has a target and is not asked for, and
+    at the year's end; rows that are neither do not count."""
+    seen = F.col(spec.target).isNotNull() & ~F.isnan(F.col(spec.target))
+    slots = rows.where(F.col(asked) | seen).select(*spec.keys, F.col(asked).alias("_gap"), F.year(spec.date).alias("_year"))
+    order = Window.partitionBy(spec.entity, "_year").orderBy(spec.date)
+    slots = slots.withColumn("_run", F.count(F.when(~F.col("_gap"), 1)).over(order)).where("_gap")
+    run = Window.partitionBy(spec.entity, "_year", "_run")
+    return slots.select(*spec.keys, F.count(F.lit(1)).over(run).alias("gap_length"), (F.row_number().over(run.orderBy(spec.date)) - 1).alias("gap_position"))
+
+
+def run_lengths(rows: DataFrame, seed: int, longest: int = 5, spec: PanelSpec = SPEC) -> DataFrame:
+    """rows with `run` (null: a visible separator): each entity's year is dealt out, in order of date, in runs of hashed length 1 to
+    `longest` with one visible row after each, so that runs never grow together."""
+    season = Window.partitionBy(spec.entity, "_year")
+    df = rows.withColumn("_year", F.year(spec.date)).withColumn("_at", F.row_number().over(season.orderBy(spec.date)) - 1)
+    years = df.groupBy(spec.entity, "_year").agg(F.count(F.lit(1)).alias("_n"))
+    runs = years.select(spec.entity, "_year", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))).alias("run"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", spec.entity, F.col("_year").cast("string"), F.col("run").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint") % longest + 1
+    runs = runs.withColumn("_size", drawn.cast("int"))
+    upto = F.sum(F.col("_size") + 1).over(season.orderBy("run"))
+    runs = runs.withColumn("_begin", upto - F.col("_size") - 1)
+    taken = runs.select(spec.entity, "_year", "run", F.explode(F.sequence(F.col("_begin").cast("int"), (F.col("_begin") + F.col("_size") - 1).cast("int"))).alias("_at"))
+    return df.join(taken, [spec.entity, "_year", "_at"], "left").drop("_year", "_at")

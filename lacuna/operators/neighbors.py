@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scalar import cleaned, out_of_range
+from lacuna.functions.scalar import cleaned, out_of_range, quantile
 from lacuna.sources.panel import SPEC, PanelSpec
 
 
-def quantile(sorted_values: Column, q: float) -> Column:
-    """Linear-interpolated quantile of a sorted array; null for an empty one."""
-    n = F.size(sorted_values)
-    at = (n - 1) * q
-    low = F.floor(at).cast("int")
-    a = F.get(sorted_values, low)
-    b = F.coalesce(F.get(sorted_values, low + 1), a)
-    return F.when(n > 0, a + (b - a) * (at - low))
-
-
 def range_counts(panel: DataFrame, value: str, days: tuple[int, ...] = (7, 15, 30), prefix: str = "", spec: PanelSpec = SPEC) -> DataFrame:
     """panel with {prefix}count_{d}d and {prefix}density_{d}d: values within d days, the row's own included."""
     order = Window.partitionBy(spec.entity).orderBy(F.unix_date(spec.date))
@@ -42,14 +34,30 @@ def range_stats(panel: DataFrame, value: str, kind: str, days: int = 30, prefix:
 def same_date_others(queries: DataFrame, panel: DataFrame, value: str, prefix: str, spec: PanelSpec = SPEC) -> DataFrame:
     """queries with {prefix}median, _iqr and _count of the value of all other entities on the row's date.
 
-    Medians cannot be had by subtraction: each date's values are gathered once, sorted, with their entity, and the
-    row's own entity is filtered out. A date has at most one row per entity.
+    Values are ranked within their date once. Leaving out one row moves a quantile's place by one at most, so only the
+    few values beside those places are brought to the date's rows, which take theirs by their own rank. A date has at
+    most one row per entity.
     """
-    by_date = panel.where(F.col(value).isNotNull()).groupBy(spec.date).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(spec.entity).alias("e")))).alias("_all"))
-    out = queries.join(by_date, spec.date, "left")
-    others = F.transform(F.filter("_all", lambda x: x["e"] != F.col(spec.entity)), lambda x: x["v"])
-    out = out.withColumn("_vs", F.coalesce(others, F.array().cast("array<double>")))
-    return out.withColumns({f"{prefix}median": quantile(F.col("_vs"), 0.5), f"{prefix}iqr": quantile(F.col("_vs"), 0.75) - quantile(F.col("_vs"), 0.25), f"{prefix}count": F.size("_vs").cast("bigint")}).drop("_all", "_vs")
+    shares = (0.25, 0.5, 0.75)
+    seen = panel.where(F.col(value).isNotNull()).select(spec.date, spec.entity, F.col(value).cast("double").alias("_v"))
+    day = Window.partitionBy(spec.date)
+    ranked = seen.withColumns({"_r": F.row_number().over(day.orderBy("_v", spec.entity)) - 1, "_n": F.count(F.lit(1)).over(day).cast("int")})
+    beside = reduce(lambda a, b: a | b, [F.col("_r").between(F.floor((F.col("_n") - 2) * q), F.floor((F.col("_n") - 1) * q) + 2) for q in shares])
+    by_date = ranked.where(beside).groupBy(spec.date).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"), F.max("_n").alias("_n"))
+    own = ranked.select(*spec.keys, F.col("_r").alias("_own"))
+    out = queries.join(own, spec.keys, "left").join(by_date, spec.date, "left")
+    out = out.withColumn("_m", F.coalesce(F.col("_n") - F.col("_own").isNotNull().cast("int"), F.lit(0)))
+
+    def value_at(place: Column) -> Column:
+        return F.try_element_at("_at", place + F.coalesce((place >= F.col("_own")).cast("int"), F.lit(0)))
+
+    def at(q: float) -> Column:
+        place = (F.col("_m") - 1) * q
+        low = F.floor(place).cast("int")
+        a = value_at(low)
+        return F.when(F.col("_m") > 0, a + (F.coalesce(value_at(low + 1), a) - a) * (place - low))
+
+    return out.withColumns({f"{prefix}median": at(0.5), f"{prefix}iqr": at(0.75) - at(0.25), f"{prefix}count": F.col("_m").cast("bigint")}).drop("_at", "_n", "_own", "_m")
 
 
 def same_date(queries: DataFrame, panel: DataFrame, value: str, spec: PanelSpec = SPEC) -> DataFrame:

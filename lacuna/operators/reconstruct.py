@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.scalar import quantile_higher
 from lacuna.operators import asof, season
+from lacuna.operators.ranks import order_statistics
 from lacuna.shipping import ship
 from lacuna.sources.panel import SPEC, PanelSpec
+from lacuna.staging import staged
 
 METHODS = ("nearest_left", "nearest_right", "mean_neighbors", "linear", "seasonal_crop", "pchip", "akima")
 COMPOSITE_WEIGHTS = {"A": 0.50, "B": 0.25, "C": 0.15, "D": 0.10}
@@ -182,25 +183,27 @@ def interval_bins(rows: DataFrame) -> Column:
 
 def residual_radii(rows: DataFrame, error: Column, label: Column | None = None, levels: tuple[float, ...] = (0.8, 0.95), least: int = 60) -> DataFrame:
     """(label, level, radius, n): finite-sample quantiles, of the kind 'higher', of absolute errors by bin of at least
-    `least` rows, and of all rows under the label 'global'."""
+    `least` rows, and of all rows under the label 'global'. No bin is gathered or sorted whole."""
     df = rows.select((label if label is not None else F.lit("all")).alias("label"), F.abs(error).alias("e")).where("e is not null")
-    both = df.withColumn("label", F.explode(F.array("label", F.lit("global"))))
-    # ranks within a bin come from a count per distinct error, so no bin is gathered into one row
-    grouped = both.groupBy("label", "e").agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy("e")
-    ranked = grouped.withColumns({"upto": F.sum("k").over(order), "n": F.sum("k").over(Window.partitionBy("label"))})
-    level = ranked.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    return radii_of(df, [], levels, least)
+
+
+def radii_of(errors: DataFrame, pools: list[str], levels: tuple[float, ...], least: int) -> DataFrame:
+    """(pools, label, level, radius, n) of errors (pools, label, e), as residual_radii has them, for each pool."""
+    both = staged(errors.withColumn("label", F.explode(F.array("label", F.lit("global")))), "errors")
+    sizes = both.groupBy(*pools, "label").agg(F.count(F.lit(1)).alias("n")).where((F.col("label") == "global") | (F.col("n") >= least))
+    asked = sizes.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
     q = F.least(F.lit(1.0), F.ceil((F.col("n") + 1) * F.col("level")) / F.col("n"))
-    place = F.ceil(q * (F.col("n") - 1)) + 1
-    out = level.where(F.col("upto") >= place).groupBy("label", "level").agg(F.min("e").alias("radius"), F.first("n").alias("n"))
-    return out.where((F.col("label") == "global") | (F.col("n") >= least))
+    asked = asked.withColumn("place", F.ceil(q * (F.col("n") - 1)) + 1)
+    return order_statistics(both, [*pools, "label"], "e", asked).select(*pools, "label", "level", F.col("value").alias("radius"), "n")
 
 
 def q_higher(rows: DataFrame, value: Column, q: float) -> DataFrame:
-    """One row: the q-quantile, of the kind 'higher', of a bounded table's values."""
-    return rows.agg(quantile_higher(F.sort_array(F.collect_list(value)), q).alias("value"))
+    """One row: the q-quantile, of the kind 'higher', of a table's values; none of an empty table."""
+    df = staged(rows.select(F.lit("all").alias("label"), value.alias("e")), "values")
+    n = df.where("e is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    asked = n.select("label", (F.ceil(F.lit(q) * (F.col("n") - 1)) + 1).alias("place"))
+    return order_statistics(df, ["label"], "e", asked).select("value")
 
 
 def intervals(rows: DataFrame, prediction: str, label: Column, radii: DataFrame, level: float = 0.95) -> DataFrame:

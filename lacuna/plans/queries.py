@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import scalar
 from lacuna.operators import anomaly, asof, donors, evaluate, harmonize, hygiene, mask, neighbors, reconstruct, season, windows
 from lacuna.sources import panel as P
+from lacuna.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,13 +84,18 @@ def r6(*columns: str) -> str:
     return ", ".join(f"round({c.split(' AS ')[0]} + 1e-9, 6) + 0.0 AS {c.split(' AS ')[-1]}" for c in columns)
 
 
+def _panel(spark: SparkSession, sf_dir: str, weather: bool = False) -> DataFrame:
+    """The panel written once, for queries whose branches would each derive it anew from the tables."""
+    return staged(P.nation_day(spark, sf_dir, weather), "panel")
+
+
 def _masked(spark: SparkSession, sf_dir: str, weather: bool = False) -> DataFrame:
-    return P.masked(P.hash_gaps(P.nation_day(spark, sf_dir, weather)))
+    return P.masked(P.hash_gaps(_panel(spark, sf_dir, weather)))
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden rows with pred_* of five methods, their true source and distance bin."""
-    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    panel = P.hash_gaps(_panel(spark, sf_dir))
     source = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
     rows = reconstruct.all_baselines(reconstruct.context(P.masked(panel.withColumn("source", source))))
     return rows.withColumn("left_bin", scalar.distance_bin(F.col("left_days")))
@@ -177,14 +183,14 @@ def invalid_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PANEL_SQL} SELECT entity, count(*) FILTER (hidden) AS gaps, count(target) AS visible, {r6('sum(target) AS total')} FROM masked GROUP BY entity")
 def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     out = mask.apply_mask(panel, P.hash_gaps(panel).where("hidden"), ["target", "s2", "landsat", "modis"])
     return rounded(out.groupBy("entity").agg(F.count(F.when(F.col("is_gap"), 1)).alias("gaps"), F.count("target").alias("visible"), F.sum("target").alias("total")), "total")
 
 
 @query(f"WITH {PANEL_SQL} SELECT entity, date FROM drawn WHERE hidden AND (s2 IS NOT NULL OR modis IS NOT NULL)")
 def censored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    panel = P.hash_gaps(_panel(spark, sf_dir))
     return mask.censored(panel, P.masked(panel), ["s2", "modis"])
 
 
@@ -192,7 +198,7 @@ def censored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
   f AS (SELECT a.entity AS x, b.entity AS y2, a.target AS t, b.target + CASE WHEN doy = 40 THEN 1 ELSE 0 END AS u FROM a FULL JOIN (SELECT entity, date, target, doy FROM b) b USING (entity, date))
   SELECT count(*) FILTER (y2 IS NULL) AS only_left, count(*) FILTER (x IS NULL) AS only_right, CAST(0 AS BIGINT) AS repeated, count(*) FILTER (abs(t - u) > 1e-12) AS differing FROM f""".replace("CASE WHEN doy = 40", "CASE WHEN b.doy = 40"))
 def key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     shifted = panel.where(F.year("date") > 1995).withColumn("target", F.col("target") + F.when(F.dayofyear("date") == 40, 1).otherwise(0))
     return mask.key_differences(panel.where(F.year("date") < 2000), shifted, "target")
 
@@ -414,7 +420,7 @@ _DELIVERED_SQL = """obs AS (SELECT *, CASE WHEN s2 IS NOT NULL THEN 's2' WHEN la
 @query(f"""WITH {PANEL_SQL}, {_DELIVERED_SQL} SELECT entity, date, source, {r6("mu AS reference_mean", "sd AS reference_std", "z AS z_score")}, CAST(n AS BIGINT) AS reference_years,
   CASE WHEN z IS NULL THEN 'insufficient_or_invalid' WHEN z < -2 THEN 'strong_negative_candidate' WHEN z < -1 THEN 'negative_candidate' ELSE 'usual' END AS status FROM zs""")
 def anomaly_points_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.delivered_points(P.nation_day(spark, sf_dir)).where("target is not null")
+    out = anomaly.delivered_points(_panel(spark, sf_dir)).where("target is not null")
     return rounded(out.select("entity", "date", "source", "reference_mean", "reference_std", "z_score", F.col("reference_years").cast("bigint").alias("reference_years"), "status"), "reference_mean", "reference_std", "z_score")
 
 
@@ -423,7 +429,7 @@ def anomaly_points_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
   i AS (SELECT *, sum(b) OVER (PARTITION BY entity ORDER BY date) AS i FROM b)
   SELECT entity, min(date) AS start_date, max(date) AS end_date, count(*) AS observed_points, CAST(max(date) - min(date) AS BIGINT) AS duration_days, {r6("min(z) AS min_z")} FROM i WHERE c GROUP BY entity, i HAVING count(*) >= 2 AND max(date) - min(date) >= 8""")
 def events_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.delivered_events(anomaly.delivered_points(P.nation_day(spark, sf_dir)))
+    out = anomaly.delivered_events(anomaly.delivered_points(_panel(spark, sf_dir)))
     return rounded(out.select("entity", "start_date", "end_date", "observed_points", "duration_days", "min_z"), "min_z")
 
 
@@ -444,18 +450,19 @@ def _levels(name: str, keys: str) -> str:
 _LOYO_SQL = f"""asked AS (SELECT entity, category, date, y, {_SEASON_DAY} AS d, target FROM panel),
   spread AS (SELECT entity, category, y AS ry, (sd - 1 + delta + 366) % 366 + 1 AS d, v FROM (SELECT entity, category, y, {_SEASON_DAY} AS sd, target AS v FROM panel WHERE target IS NOT NULL), (SELECT unnest(generate_series(-10, 10)) AS delta)),
   {_levels("g", "")}, {_levels("c", "category")}, {_levels("p", "entity, category")},
-  l1 AS (SELECT a.*, g.n AS n0, g.q AS q0, g.s AS s0, CASE WHEN c.n IS NULL THEN g.q[3] ELSE c.n / (c.n + 3) * c.q[3] + (1 - c.n / (c.n + 3)) * g.q[3] END AS e1, CASE WHEN c.n IS NULL THEN g.q[1] ELSE c.n / (c.n + 3) * c.q[1] + (1 - c.n / (c.n + 3)) * g.q[1] END AS t1,
+  l1 AS (SELECT a.*, g.n AS n0, g.q AS q0, g.s AS s0, CASE WHEN c.n IS NULL THEN g.q[3] ELSE c.n / (c.n + 3) * c.q[3] + (1 - c.n / (c.n + 3)) * g.q[3] END AS e1, CASE WHEN c.n IS NULL THEN g.q[1] ELSE c.n / (c.n + 3) * c.q[1] + (1 - c.n / (c.n + 3)) * g.q[1] END AS t1, CASE WHEN c.n IS NULL THEN g.q[2] ELSE c.n / (c.n + 3) * c.q[2] + (1 - c.n / (c.n + 3)) * g.q[2] END AS t2, CASE WHEN c.n IS NULL THEN g.q[4] ELSE c.n / (c.n + 3) * c.q[4] + (1 - c.n / (c.n + 3)) * g.q[4] END AS t4, CASE WHEN c.n IS NULL THEN g.q[5] ELSE c.n / (c.n + 3) * c.q[5] + (1 - c.n / (c.n + 3)) * g.q[5] END AS t5,
       CASE WHEN c.n IS NULL THEN g.s ELSE c.n / (c.n + 3) * c.s + (1 - c.n / (c.n + 3)) * g.s END AS s1, c.n AS n1, p.n AS n2, p.q AS q2, p.s AS s2_ FROM asked a LEFT JOIN g USING (entity, date) LEFT JOIN c USING (entity, date) LEFT JOIN p USING (entity, date)),
-  loyo AS (SELECT entity, date, target, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN e1 ELSE n2 / (n2 + 3) * q2[3] + (1 - n2 / (n2 + 3)) * e1 END AS expected, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t1 ELSE n2 / (n2 + 3) * q2[1] + (1 - n2 / (n2 + 3)) * t1 END AS q10,
+  loyo AS (SELECT entity, date, target, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN e1 ELSE n2 / (n2 + 3) * q2[3] + (1 - n2 / (n2 + 3)) * e1 END AS expected, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t1 ELSE n2 / (n2 + 3) * q2[1] + (1 - n2 / (n2 + 3)) * t1 END AS q10, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t2 ELSE n2 / (n2 + 3) * q2[2] + (1 - n2 / (n2 + 3)) * t2 END AS q25, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t4 ELSE n2 / (n2 + 3) * q2[4] + (1 - n2 / (n2 + 3)) * t4 END AS q75, CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN t5 ELSE n2 / (n2 + 3) * q2[5] + (1 - n2 / (n2 + 3)) * t5 END AS q90,
       CASE WHEN n0 IS NULL THEN NULL WHEN n2 IS NULL THEN s1 ELSE n2 / (n2 + 3) * s2_ + (1 - n2 / (n2 + 3)) * s1 END AS scale, CASE WHEN n0 IS NULL THEN 0 ELSE coalesce(n2, n1, n0) END AS years,
       CASE WHEN n0 IS NULL THEN 'insufficient' WHEN n2 IS NOT NULL THEN 'polygon' WHEN n1 IS NOT NULL THEN 'crop' ELSE 'global' END AS level FROM l1)"""
 
 
-@query(f"WITH {PANEL_SQL}, {_LOYO_SQL} SELECT entity, date, {r6('expected', 'scale AS climatology_scale', 'q10')}, years AS reference_years, level AS reference_level FROM loyo")
+@query(f"WITH {PANEL_SQL}, {_LOYO_SQL} SELECT entity, date, {r6('expected', 'scale AS climatology_scale', 'q10', 'q25', 'expected AS q50', 'q75', 'q90')}, years AS reference_years, level AS reference_level FROM loyo")
 def climatology_loyo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     out = season.leave_one_year_out(panel, panel, "target")
-    return rounded(out.select("entity", "date", "expected", "climatology_scale", "q10", "reference_years", "reference_level"), "expected", "climatology_scale", "q10")
+    names = ["expected", "climatology_scale", "q10", "q25", "q50", "q75", "q90"]
+    return rounded(out.select("entity", "date", *names, "reference_years", "reference_level"), *names)
 
 
 _SCORE_SQL = f"""{_LOYO_SQL}, src AS (SELECT entity, date, CASE WHEN s2 IS NOT NULL THEN 's2' WHEN landsat IS NOT NULL THEN 'landsat' ELSE 'modis' END AS source, CASE WHEN (CASE WHEN s2 < 0.2 THEN 1 ELSE 0 END) + (CASE WHEN landsat < 0.2 THEN 1 ELSE 0 END) + (CASE WHEN modis < 0.2 THEN 1 ELSE 0 END) >= 2 THEN true ELSE false END AS multi FROM panel),
@@ -465,7 +472,7 @@ _SCORE_SQL = f"""{_LOYO_SQL}, src AS (SELECT entity, date, CASE WHEN s2 IS NOT N
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row counts as observed; sensors below 0.2 count as negative."""
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     low = sum((F.when(F.col(s) < 0.2, 1).otherwise(0) for s in P.SPEC.sensors), F.lit(0))
     source = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
     rows = season.leave_one_year_out(panel, panel, "target").withColumns({"is_observed": F.lit(True), "sensor_negative_count": low, "selected_source": source})
@@ -504,7 +511,7 @@ def event_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL_SQL}, {_EVENTS_SQL}, s AS (SELECT entity, count(*) AS rows FROM panel GROUP BY entity), x AS (SELECT entity, count(*) AS events, count(*) FILTER (zm < -2 AND dur >= 7 AND conf >= 0.55) AS critical, max(area * conf) AS max_score, max(conf) AS max_confidence FROM ev GROUP BY entity)
   SELECT entity, rows, rows AS observed, coalesce(events, 0) AS events, coalesce(critical, 0) AS critical, {r6("max_score", "max_confidence")} FROM s LEFT JOIN x USING (entity)""")
 def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _scored(spark, sf_dir)
+    points = staged(_scored(spark, sf_dir), "scored")
     return rounded(anomaly.summary(points, anomaly.advanced_events(points)), "max_score", "max_confidence")
 
 
@@ -522,13 +529,13 @@ _IQR_SQL = """prs AS (SELECT 's2' AS source, s2 AS a, s2 AS b FROM panel UNION A
 
 @query(f"WITH {PANEL_SQL}, {_IQR_SQL} SELECT source, {r6('slope')}, round(\"offset\" + 1e-9, 6) + 0.0 AS \"offset\", n_pairs, status FROM maps")
 def iqr_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(harmonize.iqr_affine(P.nation_day(spark, sf_dir)), "slope", "offset")
+    return rounded(harmonize.iqr_affine(_panel(spark, sf_dir)), "slope", "offset")
 
 
 @query(f"""WITH {PANEL_SQL}, {_IQR_SQL}, e AS (SELECT source, a, b, slope * a + "offset" AS m FROM prs JOIN maps USING (source) WHERE source <> 's2' AND a IS NOT NULL AND b IS NOT NULL)
   SELECT source, count(*) AS n, {r6("avg(abs(a - b)) AS mae_raw", "sqrt(avg((a - b) ** 2)) AS rmse_raw", "quantile_cont(a - b, 0.5) AS median_bias_raw", "avg(abs(m - b)) AS mae_harmonized", "sqrt(avg((m - b) ** 2)) AS rmse_harmonized", "quantile_cont(m - b, 0.5) AS median_bias_harmonized")} FROM e GROUP BY source""")
 def sensor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     out = harmonize.alignment(panel, harmonize.iqr_affine(panel))
     return rounded(out, *[c for c in out.columns if c not in ("source", "n")])
 
@@ -536,7 +543,7 @@ def sensor_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL_SQL}, {_IQR_SQL}, w AS (SELECT max(slope) FILTER (source = 'landsat') AS sl, max("offset") FILTER (source = 'landsat') AS ol, max(slope) FILTER (source = 'modis') AS sm, max("offset") FILTER (source = 'modis') AS om FROM maps)
   SELECT entity, date, {r6("0.5 * target + 0.25 * (target * sl + ol) + 0.125 * (target * sm + om) + 0.125 * target AS harmonized")}, 'partial_or_identity' AS harmonization_status FROM panel, w""")
 def harmonize_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     rows = panel.select("entity", "date", "target", F.lit(0.5).alias("p_s2"), F.lit(0.25).alias("p_landsat"), F.lit(0.125).alias("p_modis"))
     out = harmonize.mixture(rows, "target", harmonize.iqr_affine(panel))
     return rounded(out.select("entity", "date", "harmonized", "harmonization_status"), "harmonized")
@@ -545,12 +552,12 @@ def harmonize_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def irls_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust lines have no closed form in SQL; tests hold them against known lines."""
-    return harmonize.fit_robust(P.nation_day(spark, sf_dir))
+    return harmonize.fit_robust(_panel(spark, sf_dir))
 
 
 @query()
 def harmonize_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     source = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
     return harmonize.apply_robust(panel.withColumn("source", source), harmonize.fit_robust(panel), "target", "source")
 
@@ -699,11 +706,27 @@ def donor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")), "most")
 
 
-@query()
+_USER_DAY_SQL = """ud AS (SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS date, CAST(user_id % 4 AS VARCHAR) AS category,
+    CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'view') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'view'), 0) AS s2, CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'click') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'click'), 0) AS landsat,
+    CAST(sum(CAST(value AS DECIMAL(16, 4))) FILTER (event_type = 'purchase') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'purchase'), 0) AS modis FROM events GROUP BY 1, 2, 3),
+  up AS (SELECT *, coalesce(s2, landsat, modis) AS target FROM ud)"""
+
+
+@query(f"""WITH {_USER_DAY_SQL}, m AS (SELECT entity, date, target, target IS NOT NULL AND substr(md5(concat_ws('|', entity, CAST(date AS VARCHAR), '17')), 1, 2) < '26' AS hidden FROM up),
+  s AS (SELECT entity, date, target AS t, target - 0.5 AS v FROM m WHERE NOT hidden AND target BETWEEN -1 AND 1),
+  p AS (SELECT a.entity, b.entity AS donor, count(*) AS n, sum(b.v) AS sx, sum(a.v) AS sy, sum(b.v * b.v) AS sxx, sum(a.v * a.v) AS syy, sum(a.v * b.v) AS sxy FROM s a JOIN s b ON a.date = b.date AND a.entity <> b.entity GROUP BY 1, 2 HAVING count(*) >= 12),
+  c AS (SELECT entity, donor, n, sx / n + 0.5 AS mx, sy / n + 0.5 AS my, sxx - sx * sx / n AS xx, syy - sy * sy / n AS yy, sxy - sx * sy / n AS xy FROM p),
+  f AS (SELECT entity, donor, n, my, mx, greatest(0.2, least(1.8, (xy + 0.15) / (xx + 0.15))) AS slope, xy / sqrt(greatest(xx * yy, 1e-10)) AS r FROM c),
+  k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, donor) AS k FROM (SELECT *, my - slope * mx AS icpt, r ** 4 * n / (n + 30) AS w FROM f WHERE r >= 0.2)),
+  d AS (SELECT q.entity, q.date, sum((icpt + slope * s.t) * w) FILTER (k <= 3) / sum(w) FILTER (k <= 3) AS donor_3, count(*) FILTER (k <= 3) AS n3, sum((icpt + slope * s.t) * w) FILTER (k <= 10) / sum(w) FILTER (k <= 10) AS donor_10, count(*) FILTER (k <= 10) AS n10
+    FROM m q JOIN k ON k.entity = q.entity AND k.k <= 10 JOIN s ON s.entity = k.donor AND s.date = q.date WHERE q.hidden GROUP BY 1, 2),
+  g AS (SELECT entity, avg(w) AS conf FROM k WHERE k <= 3 GROUP BY entity)
+  SELECT m.entity, m.date, {r6("donor_3", "donor_10", "conf AS donor_confidence")}, coalesce(n3, 0) AS donor_3_n, coalesce(n10, 0) AS donor_10_n FROM m LEFT JOIN d USING (entity, date) LEFT JOIN g ON g.entity = m.entity WHERE m.hidden""")
 def donor_top3_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' days; the fit and choice of donors are tested against a direct computation."""
-    panel = P.masked(P.hash_gaps(P.user_day(spark, sf_dir)))
-    return donors.donors(panel.where("hidden"), panel, "target")
+    """Users' days."""
+    panel = P.masked(P.hash_gaps(staged(P.user_day(spark, sf_dir), "panel")))
+    out = donors.donors(panel.where("hidden"), panel, "target")
+    return rounded(out.select("entity", "date", "donor_3", "donor_3_n", "donor_10", "donor_10_n", "donor_confidence"), "donor_3", "donor_10", "donor_confidence")
 
 
 # --- folds -------------------------------------------------------------------------------------------------
@@ -721,12 +744,28 @@ def fold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT 'A' AS mode, CASE seed WHEN 11 THEN 0 WHEN 29 THEN 1 WHEN 47 THEN 2 WHEN 71 THEN 3 ELSE 4 END AS repeat, entity, date, substr(md5(concat_ws('|', entity, CAST(seed AS VARCHAR))), 1, 2) >= '80' AS seen FROM h WHERE k <= 1200
   UNION ALL SELECT 'C', 0, entity, date, true FROM l WHERE k <= 1200""")
 def fold_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask.folds(P.nation_day(spark, sf_dir)).where("mode in ('A', 'C')").select("mode", "repeat", "entity", "date", "seen")
+    return mask.folds(_panel(spark, sf_dir)).where("mode in ('A', 'C')").select("mode", "repeat", "entity", "date", "seen")
 
 
-@query()
+_FOLD_SQL = f"""v AS (SELECT entity, date, y FROM panel WHERE target IS NOT NULL),
+  h AS (SELECT seed, entity, date, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), CAST(seed AS VARCHAR))), entity, date) AS k FROM v, (SELECT unnest([11, 29, 47, 71, 97]) AS seed)),
+  l AS (SELECT entity, date, y, row_number() OVER (ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '2011')), entity, date) AS k FROM v WHERE y = (SELECT max(y) FROM v)),
+  gs AS (SELECT entity, count(*) AS n FROM v GROUP BY entity), go AS (SELECT entity, (row_number() OVER (ORDER BY n DESC, entity) - 1) % 10 AS lap FROM gs),
+  gg AS (SELECT v.*, CAST(CASE WHEN lap < 5 THEN lap ELSE 9 - lap END AS INT) AS fold FROM v JOIN go USING (entity)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '1011')), entity, date) AS k, least(1200, floor(count(*) OVER (PARTITION BY fold) / 3)) AS n FROM gg),
+  d1 AS (SELECT *, count(*) OVER (PARTITION BY entity, y) AS n, row_number() OVER (PARTITION BY entity, y ORDER BY date DESC) AS back, md5(concat_ws('|', entity, CAST(y AS VARCHAR), '3011')) AS pick FROM gg),
+  d2 AS (SELECT *, dense_rank() OVER (PARTITION BY entity ORDER BY pick) AS r, CAST('0x' || substr(pick, 1, 8) AS BIGINT) % 3 + 2 AS len FROM d1 WHERE n >= 7),
+  d3 AS (SELECT *, min(date) OVER (PARTITION BY entity) - 15 AS cut FROM d2 WHERE r = 1 AND back <= len),
+  d AS (SELECT * FROM d3 JOIN (SELECT entity, min(date) AS first FROM v GROUP BY entity) USING (entity) WHERE first < cut),
+  folds AS (SELECT 'A' AS mode, CASE seed WHEN 11 THEN 0 WHEN 29 THEN 1 WHEN 47 THEN 2 WHEN 71 THEN 3 ELSE 4 END AS repeat, 0 AS fold, entity, date, 'transductive' AS context_policy, CAST(NULL AS DATE) AS cutoff_date, substr(md5(concat_ws('|', entity, CAST(seed AS VARCHAR))), 1, 2) >= '80' AS seen FROM h WHERE k <= 1200
+    UNION ALL SELECT 'B', 0, fold, entity, date, 'transductive', NULL, false FROM b WHERE k <= n
+    UNION ALL SELECT 'C', 0, 0, entity, date, 'past_only', make_date(y, 1, 1), true FROM l WHERE k <= 1200
+    UNION ALL SELECT 'D', 0, fold, entity, date, 'one_sided_hard', cut, false FROM d)"""
+
+
+@query(f"WITH {PANEL_SQL}, {_FOLD_SQL} SELECT * FROM folds")
 def fold_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask.folds(P.nation_day(spark, sf_dir))
+    return mask.folds(_panel(spark, sf_dir))
 
 
 @query(f"""WITH {PANEL_SQL}, n AS (SELECT entity, y, date, row_number() OVER (PARTITION BY entity, y ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '5'))) - 1 + CAST('0x' || substr(md5(concat_ws('|', entity, CAST(y AS VARCHAR), '5')), 1, 8) AS BIGINT) AS k FROM panel)
@@ -739,15 +778,17 @@ def mask_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL_SQL}, v AS (SELECT entity, date, y FROM panel WHERE target IS NOT NULL), l AS (SELECT entity, date, row_number() OVER (ORDER BY md5(concat_ws('|', entity, CAST(date AS VARCHAR), '2011')), entity, date) AS k FROM v WHERE y = (SELECT max(y) FROM v))
   SELECT p.y AS year, count(*) FILTER (p.y >= (SELECT max(y) FROM v)) AS hidden, count(l.entity) AS scored, count(*) AS n FROM panel p LEFT JOIN (SELECT * FROM l WHERE k <= 1200) l ON l.entity = p.entity AND l.date = p.date GROUP BY p.y""")
 def context_past_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     rows = mask.context_of(panel, mask.folds(panel).where("mode = 'C'"))
     return rows.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.when(F.col("hidden"), 1)).alias("hidden"), F.count(F.when(F.col("scored"), 1)).alias("scored"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH {PANEL_SQL}, {_FOLD_SQL}, f AS (SELECT * FROM folds WHERE mode = 'D' AND fold = 0), c AS (SELECT entity, min(cutoff_date) AS cut FROM f GROUP BY entity),
+  r AS (SELECT p.*, (SELECT max(o.date) FROM panel o WHERE o.entity = p.entity AND o.target IS NOT NULL AND o.date < c.cut) AS remote, EXISTS (SELECT 1 FROM f WHERE f.entity = p.entity AND f.date = p.date) AS scored FROM panel p JOIN c USING (entity))
+  SELECT entity, count(*) FILTER (target IS NOT NULL AND NOT scored AND date = remote) AS visible, count(*) FILTER (scored) AS scored FROM r GROUP BY entity""")
 def context_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode D, fold 0: one visible observation per entity of the fold."""
-    panel = P.nation_day(spark, sf_dir)
+    panel = _panel(spark, sf_dir)
     fold = mask.folds(panel).where("mode = 'D' and fold = 0")
     return mask.context_of(panel, fold).join(fold.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count(F.when(~F.col("hidden") & F.col("target").isNotNull(), 1)).alias("visible"), F.count(F.when(F.col("scored"), 1)).alias("scored"))
 
@@ -813,9 +854,10 @@ def submission_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hygiene.submission_violations(rows.select("anon_polygon_id", day.alias("date"), p.alias("primary_ndvi_pred")), gaps).select("type", "n")
 
 
-@query()
+@query("""SELECT count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws(chr(31), l_linenumber, l_linestatus, l_orderkey, l_partkey, l_returnflag, l_suppkey)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM lineitem""")
 def row_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hygiene.row_digest(P.read(spark, sf_dir, "nation"))
+    """Of the columns whose text is the same in every engine."""
+    return hygiene.row_digest(P.read(spark, sf_dir, "lineitem").select("l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey"))
 
 
 # --- geometry, learners, streams ---------------------------------------------------------------------------
@@ -901,7 +943,7 @@ def export_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CONTEXT_SQL} SELECT entity, p.date, p.hidden AS is_reconstructed, {r6("coalesce(q.pred_linear, p.target) AS reconstructed")} FROM drawn p LEFT JOIN preds q USING (entity, date)""")
 def product_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed values as they are, predictions at hidden keys."""
-    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    panel = P.hash_gaps(_panel(spark, sf_dir))
     pred = _predicted(spark, sf_dir).select("entity", "date", "pred_linear")
     joined = panel.join(pred, ["entity", "date"], "left").select("entity", "date", F.col("hidden").alias("is_reconstructed"), F.coalesce("pred_linear", "target").alias("reconstructed"))
     return rounded(joined, "reconstructed")
@@ -910,7 +952,7 @@ def product_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-1)}, e AS (SELECT entity, i, min(date) AS s, max(date) AS e FROM isl WHERE c GROUP BY entity, i HAVING count(*) >= 2)
   SELECT concat_ws(':', e.entity, CAST(s AS VARCHAR), CAST(e AS VARCHAR)) AS event_id, count(p.date) FILTER (NOT p.hidden) AS observed, count(p.date) FILTER (p.hidden) AS reconstructed FROM e JOIN drawn p ON p.entity = e.entity AND p.date BETWEEN s AND e GROUP BY 1""")
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = P.hash_gaps(P.nation_day(spark, sf_dir))
+    panel = P.hash_gaps(_panel(spark, sf_dir))
     events = anomaly.baseline_events(anomaly.baseline_points(panel, "target", threshold=-1.0))
     return anomaly.event_points(events, panel.withColumn("is_observed", ~F.col("hidden"))).select("event_id", "observed", "reconstructed")
 
@@ -965,6 +1007,6 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT entity, s AS start_date, e AS end_date, {r6("iou")}, CASE WHEN iou > 0 THEN CAST(d AS INT) END AS delay_days FROM m""")
 def event_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known events against shifted ones, some of them missing."""
-    known = anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0)).select("entity", "start_date", "end_date")
+    known = staged(anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0)).select("entity", "start_date", "end_date"), "known-events")
     found = known.where(F.month("start_date") != 6).select("entity", F.date_add("start_date", 1).alias("start_date"), F.date_add("end_date", 2).alias("end_date"))
     return rounded(evaluate.overlap(found, known), "iou")

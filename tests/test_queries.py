@@ -8,7 +8,7 @@ from lacuna.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["panel_profile", "temporal_block", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations"]
+CHOSEN = ["panel_profile", "temporal_block", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations", "climatology_loyo", "anomaly_points_baseline", "same_date_excl_self", "fold_all_modes", "composed_prediction", "coverage_out_of_fold", "quality_report", "requested_run_slots", "run_templates"]
 
 
 def plain(v):
@@ -39,6 +39,12 @@ def test_no_join_forms_all_pairs(spark):
         assert "CartesianProduct" not in plan
 
 
+def test_panel_is_derived_once(spark):
+    for name in ("reconstruction_report", "metric_grouping_sets", "bootstrap_rmse", "climatology_loyo", "events_advanced", "features_core"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") <= 2, name
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert {r.source for r in rows} == {"s2", "landsat", "modis"}
