@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b: bigint): nodes share a root, itself one of them, just if
     they are connected.
 
-    In each round every node is hooked to the neighbour, or itself, that a hash of the round ranks first, and
-    the edges are drawn anew between those. As ranks are as good as random a chain loses a fixed share of
-    its nodes in each round, so rounds grow with the logarithm of the longest chain. A node's neighbours
-    are only ever reduced to their minimum. No edges give no rows; self-loops and repeats are fine.
+    In each round every node is hooked to the node within two steps, or itself, that a hash of the round ranks first, and
+    the edges are drawn anew between those. A star is one node after a round. As ranks are as good as random a chain
+    loses a fixed share of its nodes, so rounds grow with the logarithm of the longest chain. A node's
+    neighbours are only ever reduced to their minimum. No edges give no rows; self-loops and repeats are fine.
     """
     edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
     hooks: list[tuple[DataFrame, int]] = []
@@ -33,8 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
             return F.struct(F.xxhash64(F.lit(seed), c).alias("r"), F.col(c).alias("v"))
 
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        hook = staged(best.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["v"].alias("to")), "hooks")
-        n = hook.count()
+        best = staged(best.select(F.col("a").alias("b"), F.least(F.col("m"), rank("a")).alias("m")), "best-neighbours")
+        n = best.count()
+        # every node is its neighbours' neighbour, so its own rank is among theirs
+        hook = _bring(both, best, "b", "inner", n).groupBy("a").agg(F.min("m").alias("m"))
+        hook = staged(hook.select(F.col("a").alias("node"), F.col("m.v").alias("to")), "hooks")
         hooks.append((hook, n))
         one = _bring(edges, hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a", "inner", n)
         two = _bring(one, hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b", "inner", n)
