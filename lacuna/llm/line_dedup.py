@@ -9,7 +9,7 @@ from lacuna.llm import host_lines as H
 from lacuna.llm.common import BROADCAST_ROWS
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", ratio: float = 0.1, least_pages: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", ratio: float = 0.06, least_pages: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with the boilerplate lines dropped from text_col, and n_lines and n_dropped (bigint).
 
     A line is boilerplate on its host if at least least_pages of the host's pages hold it and they are more

@@ -86,7 +86,7 @@ _LINES = f"""
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
       WITH {_LINES},
-      bad AS (SELECT c.source, norm FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_docs >= 5 AND n_docs > host_docs * 0.1),
+      bad AS (SELECT c.source, norm FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE n_docs >= 5 AND n_docs > host_docs * 0.06),
       marked AS (SELECT rid, i, line, b.norm IS NOT NULL AS dropped FROM lines l LEFT JOIN bad b ON b.norm = l.norm AND b.source IS NOT DISTINCT FROM l.source),
       joined AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS rest, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped FROM marked GROUP BY rid)
       SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE rest END AS text, CASE WHEN text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_dropped

@@ -76,7 +76,7 @@ def plain_dedup(rows):
     held = Counter((r[3], x) for r in rows for x in {norm(x) for x in (r[1] or "").split("\n")} - {""})
     out = []
     for i, t, lang, host, n in rows:
-        new = t if t is None else "\n".join(x for x in t.split("\n") if not (held[host, norm(x)] >= 5 and held[host, norm(x)] > 0.1 * hosts[host]))
+        new = t if t is None else "\n".join(x for x in t.split("\n") if not (held[host, norm(x)] >= 5 and held[host, norm(x)] > 0.06 * hosts[host]))
         out.append((i, new, lang, host, n if new == t else len(new)))
     return out
 
