@@ -7,6 +7,7 @@ numbers, and its ids are gathered from the array at once. Only chunks that were
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -20,23 +21,6 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-class _Numbers(dict):
-    """Numbers of chunks. A chunk not met before gets the next one; a long one is not kept: it is numbered
-    below zero, for the texts at hand alone."""
-
-    def __init__(self, longest: int):
-        super().__init__()
-        self.longest, self.fresh, self.once = longest, [], []
-
-    def __missing__(self, chunk: str) -> int:
-        if len(chunk) > self.longest:
-            self.once.append(" " + chunk)
-            return -len(self.once)
-        n = self[chunk] = len(self)
-        self.fresh.append(" " + chunk)
-        return n
-
-
 class _Places(dict):
     """The place of each word among the distinct ones."""
 
@@ -54,7 +38,7 @@ class ChunkStore:
 
     def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.splitter, self.encode_words = splitter, encode_words
-        self.numbers = _Numbers(self.LONGEST)
+        self.numbers: dict[str, int] = {}
         self.flat, self.starts, self.sizes, self.met = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
     def _pieces(self, fresh: list[str], once: list[str]) -> tuple[list[str], np.ndarray]:
@@ -82,29 +66,38 @@ class ChunkStore:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
         numbers, splitter = self.numbers, self.splitter
-        numbers.fresh, numbers.once = [], []
-        known, once = numbers.__getitem__, numbers.once
-        rows: list[np.ndarray] = []  # numbers of chunks; below zero those of `once`
-        per_text = np.zeros(len(texts), np.int64)
+        parts: list[tuple[int, str | int, list[str]]] = []  # text, its first chunk or a special id, the other chunks
         for i, text in enumerate(texts):
             for plain, special in splitter.parts(text):
                 if plain:
                     head, *rest = splitter.chunks(plain)
-                    once.append(head)
-                    row = np.empty(len(rest) + 1, np.int64)
-                    row[0] = -len(once)
-                    row[1:] = np.fromiter(map(known, rest), np.int64, len(rest))
-                    rows.append(row)
-                    per_text[i] += len(row)
+                    parts.append((i, head, rest))
                 if special is not None:
-                    once.append(special)
-                    rows.append(np.array([-len(once)]))
-                    per_text[i] += 1
+                    parts.append((i, special, []))
+        new = set(chain.from_iterable(rest for _, _, rest in parts)).difference(numbers)
+        long = [c for c in new if len(c) > self.LONGEST]  # not kept: numbered below zero, for the texts at hand alone
+        fresh = list(new.difference(long) if long else new)
+        numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
+        once: list[str | int] = [" " + c for c in long]
+        numbers.update(zip(long, range(-1, -1 - len(long), -1)))
+        known = numbers.__getitem__
+        rows: list[np.ndarray] = []
+        per_text = np.zeros(len(texts), np.int64)
+        for i, head, rest in parts:
+            once.append(head)
+            row = np.empty(len(rest) + 1, np.int64)
+            row[0] = -len(once)
+            row[1:] = np.fromiter(map(known, rest), np.int64, len(rest))
+            rows.append(row)
+            per_text[i] += len(row)
+        for c in long:
+            del numbers[c]
+        fresh = [" " + c for c in fresh]
         if not rows:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        n = len(numbers.fresh)
+        n = len(fresh)
         plain_at = np.array([not isinstance(x, int) for x in once], bool)
-        flat, sizes = self._encoded(numbers.fresh, [x for x in once if not isinstance(x, int)])
+        flat, sizes = self._encoded(fresh, [x for x in once if not isinstance(x, int)])
         split = int(sizes[:n].sum())
         kept = np.concatenate([self.flat, flat[:split]])
         kept_sizes = np.concatenate([self.sizes, sizes[:n]])
@@ -133,8 +126,7 @@ class ChunkStore:
         if len(often) > self.KEEP // 2:
             often = np.sort(often[np.argsort(self.met[often], kind="stable")[-(self.KEEP // 2) :]])
         names = list(self.numbers)
-        self.numbers = _Numbers(self.LONGEST)
-        self.numbers.update(zip(map(names.__getitem__, often.tolist()), range(len(often))))
+        self.numbers = dict(zip(map(names.__getitem__, often.tolist()), range(len(often))))
         self.flat = gather(self.flat, self.starts[often], self.sizes[often])
         self.sizes, self.met = self.sizes[often], self.met[often] // 2
         self.starts = np.cumsum(self.sizes) - self.sizes

@@ -52,13 +52,30 @@ _OTHERS = [c for c in map(chr, range(0x3001)) if c != " " and re.match(f"[{SPACE
 _BETWEEN = re.compile(f" (?<=[^{SPACE}] )(?=[^{SPACE}])")
 
 
+def _up_to(ranges: str, last: int) -> str:
+    """Those ranges, or parts of them, that are not beyond a character."""
+    pairs = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U([0-9a-f]{8})-\\U([0-9a-f]{8})", ranges)]
+    return "".join(f"\\U{a:08x}-\\U{min(b, last):08x}" for a, b in pairs if a <= last)
+
+
+def _pattern(letter: str, number: str) -> re.Pattern[str]:
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
 class Splitter:
     def __init__(self, known: Classes):
-        letter, number = known.letters, known.numbers
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.pieces = self.pattern.findall
+        # a class with characters beyond 16 bits is slow for all texts, so only texts with such characters go through it
+        self._every = _pattern(known.letters, known.numbers)
+        self._narrow = _pattern(_up_to(known.letters, 0xFFFF), _up_to(known.numbers, 0xFFFF))
+        self._ascii = _pattern(_up_to(known.letters, 0x7F), _up_to(known.numbers, 0x7F))
         self.special = dict(known.special)
-        self._find = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._ascii.findall(text)
+        wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+        return (self._every if wide else self._narrow).findall(text)
 
     def chunks(self, text: str) -> list[str]:
         """The text cut at every space between two other characters; all chunks but the first have lost
@@ -68,10 +85,10 @@ class Splitter:
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """(plain text, id of the special string after it or None) in order."""
-        if not self._find or not any(s in text for s in self.special):
+        if not self._special or not any(s in text for s in self.special):
             return [(text, None)]
         out, at = [], 0
-        for m in self._find.finditer(text):
+        for m in self._special.finditer(text):
             out.append((text[at : m.start()], self.special[m[0]]))
             at = m.end()
         return [*out, (text[at:], None)]

@@ -162,16 +162,13 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path).model
         self.every_letter = {b: c for c, b in byte_letters().items()}
-        self.letters = self.every_letter | {10: "\n"}
+        self.letters = self.every_letter | {0: "\0"}
         self.encode = ChunkStore(pretokens.Splitter(known), self._words).encode
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        broken = [w for w in words if "\n" in w]  # all others are respelt in one go
-        lines = "\n".join(w for w in words if "\n" not in w) if broken else "\n".join(words)
-        spelt = lines.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split("\n")
-        if broken:
-            rest = iter(spelt)
-            spelt = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.every_letter) if "\n" in w else next(rest) for w in words]
+        spelt = "\0".join(words).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split("\0")
+        if len(spelt) != len(words):  # some have this character themselves
+            spelt = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.every_letter) for w in words]
         found = list(map(self.model.tokenize, spelt))
         return np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 

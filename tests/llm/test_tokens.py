@@ -22,7 +22,7 @@ def random_text(r):
         if kind < 0.3:
             out.append(chr(r.randrange(32, 127)))
         elif kind < 0.45:
-            out.append(r.choice([" ", "  ", "\n", "\t", "\u3000", "\xa0", "\x85", "\x1c", "'", "<|endoftext|>", "'ll", "'S", "e", "the", "²", "Ⅷ"]))
+            out.append(r.choice([" ", "  ", "\n", "\t", "\u3000", "\xa0", "\x85", "\x1c", "\0", "'", "<|endoftext|>", "'ll", "'S", "e", "the", "²", "Ⅷ"]))
         elif kind < 0.7:
             out.append(chr(r.choice([r.randrange(0x80, 0x3000), r.randrange(0x3000, 0xD800), r.randrange(0xE000, 0x10000)])))
         else:
