@@ -92,3 +92,11 @@ def masked(panel: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """Rows with `hidden` lose every dynamic value; `truth` keeps the target."""
     out = panel.withColumn("truth", F.col(spec.target))
     return out.withColumns({c: F.when(~F.col("hidden"), F.col(c)) for c in spec.dynamic if c in panel.columns})
+
+
+def masked_but(panel: DataFrame, static: tuple[str, ...], spec: PanelSpec = SPEC) -> DataFrame:
+    """As `masked`, but hidden rows keep only the keys, the category and the columns named static: whatever else a panel comes to have,
+    provenance and quality columns included, is hidden unless it is allowed."""
+    kept = {spec.entity, spec.date, spec.category, "hidden", *static}
+    out = panel.withColumn("truth", F.col(spec.target))
+    return out.withColumns({c: F.when(~F.col("hidden"), F.col(c)) for c in panel.columns if c not in kept})
