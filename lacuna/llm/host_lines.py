@@ -34,7 +34,11 @@ def with_lines(docs: DataFrame, text: str, host: str | None) -> DataFrame:
 
 def line_counts(lined: DataFrame, least: int) -> DataFrame:
     """HOST, a, b, n_docs: for each line that at least `least` rows of its host hold, how many hold it."""
-    rows = lined.select(HOST, F.explode(F.array_distinct(F.array_compact(LINES))).alias("x"))
+    # array_distinct compares all pairs of structs: sorted, repeats stand beside each other
+    ordered = F.sort_array(F.array_compact(LINES))
+    before = F.concat(F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")), ordered)
+    once = F.array_compact(F.zip_with(ordered, before, lambda x, y: F.when(x.isNotNull() & ~x.eqNullSafe(y), x)))
+    rows = lined.select(HOST, F.explode(once).alias("x"))
     return rows.groupBy(HOST, "x.a", "x.b").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
 
 
