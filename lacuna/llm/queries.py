@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe_automaton, decontamination, line_dedup, pii, quality, secrets, simhash, token_counts, token_files, warc
+from lacuna.llm import bpe_automaton, decontamination, fill_middle, line_dedup, pii, quality, secrets, simhash, token_counts, token_files, warc
 from lacuna.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), key.encode()).select("doc_id", "text", "n_entities")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
