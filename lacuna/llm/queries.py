@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe_automaton, decontamination, fill_middle, line_dedup, pii, quality, secrets, simhash, token_counts, token_files, warc
+from lacuna.llm import bpe_automaton, decontamination, fill_middle, line_dedup, manifest, pii, quality, secrets, simhash, token_counts, token_files, warc
 from lacuna.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return manifest.audit(docs, manifest.lowered_in_fifths(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
     "op12_fill_middle": op12_fill_middle,
+    "op13_manifest": op13_manifest,
 }
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
