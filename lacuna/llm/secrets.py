@@ -24,7 +24,10 @@ from lacuna.llm.common import ship, text_slices
 #: In the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token", "pem", "key64", "keyhex")
 _ASSIGN = re.compile("""(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-_WORD = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
+#: One of these stands in every assignment, in lower case.
+_WORDS = ("passw", "secret", "token", "apikey", "api_key")
+#: The shortest header of a signed token, {"alg":""}, has so many characters.
+_HEADER_CHARS = 14
 _ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 _HEX = re.compile("[0-9a-f]{24,}")
 _DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
@@ -149,7 +152,7 @@ def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
         while k + 2 < len(parts):
             step = 1
             for begin in dict.fromkeys((parts[k].find("eyJ"), parts[k].rfind("eyJ"))):
-                if begin >= 0 and is_signed_token(".".join([parts[k][begin:], *parts[k + 1 : k + 3]])):
+                if begin >= 0 and len(parts[k]) - begin >= _HEADER_CHARS and is_signed_token(".".join([parts[k][begin:], *parts[k + 1 : k + 3]])):
                     yield at + begin, at + sum(map(len, parts[k : k + 3])) + 2
                     step = 3
                     break
@@ -178,19 +181,25 @@ def is_pem_key(body: str) -> bool:
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end) of all spans, in order; code points, end exclusive."""
     out: list[tuple[int, int, int]] = []
-    if _WORD.search(text):
+    lower = text.lower()
+    if any(w in lower for w in _WORDS):
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    # what the other patterns find holds no white space
+    longest = max(map(len, text.split()), default=0)
+    if longest >= 24:
+        out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "eyJ" in text:
         out += [(a, 3, b) for a, b in signed_tokens(text)]
     whole: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         whole = [m.span() for m in _PEM.finditer(text) if is_pem_key(m[2])]
         out += [(a, 4, b) for a, b in whole]
-    keys = {(m.start(), 5, m.end()) for pattern in _KEY64 for m in pattern.finditer(text) if _is_key(from_base64(m[0]))}
-    if "30" in text:
+    keys: set[tuple[int, int, int]] = set()
+    if longest >= 40:
+        keys |= {(m.start(), 5, m.end()) for pattern in _KEY64 for m in pattern.finditer(text) if _is_key(from_base64(m[0]))}
+    if longest >= 64 and "30" in text:
         keys |= {(m.start(), 6, m.end()) for m in _KEYHEX.finditer(text) if len(m[1]) % 2 == 0 and _is_key(bytes.fromhex(m[1]))}
     # what stands within a PEM block is that key, not another one
     starts = [a for a, _ in whole]
@@ -206,8 +215,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: id_col, n_assign, n_access, n_hex (base spans), base_sha256 (of the base spans as
     kind:start:end, joined by commas), spans (all spans, joined likewise).
 
-    No shuffle. A null or empty text has no spans. Null or repeated ids pass through row by row; other
-    columns are not read. Spans of different kinds may overlap.
+    No shuffle. A null or empty text has no spans. Null or repeated ids and repeated rows pass through row by row; other
+    columns are not read. Spans of different kinds may overlap. Empty tables give none.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -15,7 +15,7 @@ def took(f):
 def test_secrets():
     for text in ("eyJ" * 1_700_000, "eyJ." * 1_250_000, "-----BEGIN PRIVATE KEY-----" * 180_000, "password" * 600_000):
         _, seconds = took(lambda: secrets.scan(text))
-        assert seconds < 30, text[:30]
+        assert seconds < 15, text[:30]
 
 
 def test_addresses():
