@@ -143,8 +143,8 @@ def test_repeated_and_null_ids_and_long_words(spark):
     key = base64.b64encode(b"\x30\x2e" + b"\x02\x01\x00" + b"\x04\x20" + bytes(range(32)) + b"\xa0\x07\x06\x05" + b"\x2b\x81\x04\x00\x0a").decode()
     texts = ["PassWord: abcdef x", "AKIA" + "A" * 20, "f" * 24, "Key token=abcdef", f"k {key} e", "x" * 300, None, ""]
     rows = [(i, t, "n") for i in (None, 1, 1) for t in texts * 2]
-    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, spans string").repartition(3))
-    want = sorted((repr(i), ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in secrets.scan(t or ""))) for i, t, _ in rows)
+    got = S.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, spans string").repartition(3))
+    want = sorted((repr(i), ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in S.scan(t or ""))) for i, t, _ in rows)
     assert sorted((repr(r.doc_id), r.spans) for r in got.collect()) == want
-    assert [bool(secrets.scan(t or "")) for t in texts] == [True] * 5 + [False] * 3
-    assert secrets.find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert [bool(S.scan(t or "")) for t in texts] == [True] * 5 + [False] * 3
+    assert S.find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
