@@ -21,7 +21,7 @@ def calendar(rows: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """rows with year, month, doy, iso_week and the day's phase in several periods, from the absolute day."""
     day = F.datediff(spec.date, F.lit("2000-01-01").cast("date"))
     doy = F.dayofyear(spec.date)
-    phases = {f"{f}_{p:g}": fun(2 * math.pi * day / p) for p in (5, 8, 10, 16, 32, 365.25, 182.625) for f, fun in (("sin", F.sin), ("cos", F.cos))}
+    phases = {f"{f}_{p:g}".replace(".", "_"): fun(2 * math.pi * day / p) for p in (5, 8, 10, 16, 32, 365.25, 182.625) for f, fun in (("sin", F.sin), ("cos", F.cos))}
     return rows.withColumns({"year": F.year(spec.date), "month": F.month(spec.date), "doy": doy, "iso_week": F.weekofyear(spec.date), "sin_doy": F.sin(2 * math.pi * doy / 365.25), "cos_doy": F.cos(2 * math.pi * doy / 365.25), **phases})
 
 
