@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.spatial import meets_box
+
 TYPE = "array<array<array<array<double>>>>"
 MOST_VERTICES, LEAST_HA, MOST_HA = 10_000, 0.1, 50_000.0
 #: WGS 84 and UTM. Fixed values.
@@ -124,9 +126,9 @@ def checked(rows: DataFrame, geojson: str) -> DataFrame:
 
 
 def in_box(rows: DataFrame, geometry: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Rows whose envelope meets the box (minx, miny, maxx, maxy)."""
+    """Rows whose geometry has a point in common with the box (minx, miny, maxx, maxy); envelopes are tried first."""
     minx, miny, maxx, maxy = box
-    if not (minx <= maxx and miny <= maxy):
-        raise ValueError("an empty box")
+    meets = meets_box(F.col(geometry), box)
     b = bounds(F.col(geometry))
-    return rows.where((b["minx"] <= maxx) & (b["maxx"] >= minx) & (b["miny"] <= maxy) & (b["maxy"] >= miny))
+    near = (b["minx"] <= maxx) & (b["maxx"] >= minx) & (b["miny"] <= maxy) & (b["maxy"] >= miny)
+    return rows.where(F.when(near, meets).otherwise(False))
