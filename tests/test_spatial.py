@@ -111,3 +111,75 @@ def test_a_large_geometry_is_cut(spark):
     assert cells.count() > 5000 and most < 600
     got = {x.b for x in spatial.intersecting(df, None, "k", "g").where("a = 0").collect()}
     assert got == {k for k, g in rows[1:] if meet(rows[0][1], g)} and 20 < len(got) < 140
+
+
+def parity_area(ring, n=400):
+    """The area of what a closed ring holds by parity, counted on a fine raster of scan lines."""
+    ys = [p[1] for p in ring]
+    lo, hi = min(ys), max(ys)
+    area = 0.0
+    for k in range(n):
+        y = lo + (hi - lo) * (k + 0.5) / n
+        xs = sorted(a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in zip(ring, ring[1:]) if (a[1] <= y) != (b[1] <= y))
+        area += sum(b - a for a, b in zip(xs[::2], xs[1::2])) * (hi - lo) / n
+    return area
+
+
+def flat_area(g):
+    def ring(r):
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2
+
+    return sum(ring(p[0]) - sum(map(ring, p[1:])) for p in g)
+
+
+def crossed(ring):
+    n = len(ring) - 1
+    pairs = [(ring[i], ring[i + 1], ring[j], ring[j + 1]) for i in range(n) for j in range(i + 2, n) if (i, j) != (0, n - 1)]
+    return any(touch((*a, *b), (*c, *d)) for a, b, c, d in pairs)
+
+
+def test_repair_against_brute_force(spark):
+    r = random.Random(6)
+    rings = []
+    for k in range(60):
+        ring = [[r.uniform(0, 1), r.uniform(0, 1)] for _ in range(r.choice([4, 5, 6, 9, 15]))]
+        rings.append([*ring, ring[0]])
+    whole = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    rings += [whole, [[0, 0], [2, 0], [1, 1], [2, 2], [0, 2], [1, 1], [0, 0]], [[0, 0], [2, 0], [2, 2], [1, 0], [0, 2], [0, 0]], [[0, 0], [2, 0], [3, 0], [2, 0], [2, 2], [0, 0]], [[0, 0], [1, 1], [2, 2], [1, 1], [0, 0]]]
+    rings = [[[float(v) for v in p] for p in ring] for ring in rings]
+    df = spark.createDataFrame([(k, [[ring]]) for k, ring in enumerate(rings)], KIND).repartition(2)
+    got = {x.k: x.geometry for x in geo.repaired(df, "k", "g").collect()}
+    assert sorted(got) == [k for k, ring in enumerate(rings) if crossed(ring) or k == 63]
+    assert got[64] is None and flat_area(got[63]) == 2.0 and len(got[61]) == 2
+    for k, g in got.items():
+        if g is not None:
+            assert flat_area(g) == pytest.approx(parity_area(rings[k]), rel=0.02, abs=1e-3), k
+            again = spark.createDataFrame([(0, [p]) for p in g], KIND) if k < 12 else None
+            if again is not None:  # no ring of the result crosses itself or another one
+                assert all(len({tuple(q) for q in ring}) == len(ring) - 1 for p in g for ring in p)
+                left = geo.crossings(again.withColumn("k", again.k + 0), "k", "g").where("r = s").collect()
+                assert not [x for x in left if min(abs(x.x - q[0]) + abs(x.y - q[1]) for p in g for ring in p for q in ring) > 1e-9]
+
+
+def test_rings_that_cross_are_refused(spark):
+    hole = box(0.5, 0.5, 2.0, 0.2)[0]
+    text = '{"type":"Polygon","coordinates":%s}'
+    import json
+
+    shapes_ = [[box(0, 0, 0.01, 0.01)[0], box(0.002, 0.002, 0.004, 0.004)[0]], [box(0, 0, 0.01, 0.01)[0], box(0.005, 0.005, 0.02, 0.002)[0]], [box(0, 0, 1, 1)[0], hole]]
+    got = geo.checked(spark.createDataFrame([(k, text % json.dumps(g)) for k, g in enumerate(shapes_)], "k int, g string"), "g").orderBy("k").collect()
+    assert [x.code for x in got] == [None, "INVALID_GEOMETRY", "INVALID_GEOMETRY"] and [x.repaired for x in got] == [False, True, True]
+
+
+def test_many_vertices_take_little_time(spark):
+    import json
+    import math
+    import time
+
+    turns = [2 * math.pi * k / 9000 for k in range(9000)]
+    ring = [[10 + (0.1 + 0.01 * math.sin(40 * t)) * math.cos(t), 10 + (0.1 + 0.01 * math.sin(40 * t)) * math.sin(t)] for t in turns]
+    ring[100], ring[103] = ring[103], ring[100]
+    df = spark.createDataFrame([(0, json.dumps({"type": "Polygon", "coordinates": [[*ring, ring[0]]]}))], "k int, g string")
+    start = time.time()
+    x = geo.checked(df, "g").first()
+    assert x.repaired and x.code is None and time.time() - start < 60
