@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators.ranks import few, medians
+from lacuna.operators.ranks import few, medians, quantiles
 from lacuna.shipping import ship
 from lacuna.sources.panel import SPEC, PanelSpec
 from lacuna.staging import settled, staged
@@ -21,8 +21,9 @@ def iqr_affine(rows: DataFrame, least: int = 30, spec: PanelSpec = SPEC) -> Data
     ref = spec.sensors[0]
     pairs = reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("source"), F.col(s).alias("x"), F.col(ref).alias("y")) for s in spec.sensors])
     pairs = pairs.where("x between -1 and 1 and y between -1 and 1")
-    probs = "array(0.25D, 0.5D, 0.75D)"
-    agg = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("n_pairs"), F.expr(f"percentile(x, {probs})").alias("x"), F.expr(f"percentile(y, {probs})").alias("y"))
+    ends = pairs.select("source", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("p")).select("source", "p.*")
+    found = quantiles(ends, ["source", "axis"], "v", (0.25, 0.5, 0.75))
+    agg = found.groupBy("source").agg(F.max("n").alias("n_pairs"), *[F.max(F.when(F.col("axis") == a, F.col("q"))).alias(a) for a in ("x", "y")])
     every = rows.sparkSession.createDataFrame([(s,) for s in spec.sensors], "source string")
     out = every.join(agg, "source", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)).cast("bigint"))
     dx, dy = F.get("x", 2) - F.get("x", 0), F.get("y", 2) - F.get("y", 0)
@@ -49,11 +50,11 @@ def alignment(rows: DataFrame, maps: DataFrame, spec: PanelSpec = SPEC) -> DataF
     ref, *others = spec.sensors
     pairs = reduce(DataFrame.unionAll, [rows.select(F.lit(s).alias("source"), F.col(s).alias("x"), F.col(ref).alias("y")) for s in others]).where("x is not null and y is not null")
     pairs = pairs.join(F.broadcast(maps.select("source", "slope", "offset")), "source").withColumn("m", F.col("slope") * F.col("x") + F.col("offset"))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for name, c in (("raw", "x"), ("harmonized", "m")):
-        e = F.col(c) - F.col("y")
-        aggs += [F.avg(F.abs(e)).alias(f"mae_{name}"), F.sqrt(F.avg(e * e)).alias(f"rmse_{name}"), F.percentile(e, F.lit(0.5)).alias(f"median_bias_{name}")]
-    return pairs.groupBy("source").agg(*aggs)
+    errors = F.array(*[F.struct(F.lit(name).alias("name"), (F.col(c) - F.col("y")).alias("e")) for name, c in (("raw", "x"), ("harmonized", "m"))])
+    rows = pairs.select("source", F.explode(errors).alias("p")).select("source", "p.*")
+    found = quantiles(rows, ["source", "name"], "e", (0.5,), (F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse")))
+    values = {"mae": F.col("mae"), "rmse": F.col("rmse"), "median_bias": F.get("q", 0)}
+    return found.groupBy("source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, v)).alias(f"{k}_{name}") for name in ("raw", "harmonized") for k, v in values.items()])
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> tuple[float, float, float] | None:

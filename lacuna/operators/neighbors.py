@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import cleaned, out_of_range, quantile
+from lacuna.operators.ranks import quantiles
 from lacuna.sources.panel import SPEC, PanelSpec
 
 
@@ -65,7 +66,9 @@ def same_date(queries: DataFrame, panel: DataFrame, value: str, spec: PanelSpec
     those of the row's category."""
     out = queries
     for label, keys in (("all", [spec.date]), ("crop", [spec.date, spec.category])):
-        agg = panel.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias(f"date_{label}_mean"), F.stddev_samp(value).alias(f"date_{label}_std"), F.count(value).alias(f"date_{label}_count"), F.expr(f"percentile({value}, 0.5D)").alias(f"date_{label}_median"))
+        seen = panel.where(F.col(value).isNotNull()).select(*keys, value)
+        agg = quantiles(seen, keys, value, (0.5,), (F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")))
+        agg = agg.select(*keys, F.col("_mean").alias(f"date_{label}_mean"), F.col("_std").alias(f"date_{label}_std"), F.col("n").alias(f"date_{label}_count"), F.get("q", 0).alias(f"date_{label}_median"))
         out = out.join(agg, keys, "left")
     return out
 

@@ -54,3 +54,43 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     n = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     asked = n.select(*keys, F.explode(F.array(F.floor((F.col("n") - 1) / 2) + 1, F.floor(F.col("n") / 2) + 1)).alias("place"))
     return order_statistics(rows, keys, value, asked).groupBy(*keys).agg(F.avg("value").alias("median"))
+
+
+#: A group of at most so many values may be gathered in one task.
+LARGE = 100_000
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, probs: tuple[float, ...], aggs: tuple[Column, ...] = (), large: int | None = None) -> DataFrame:
+    """(keys, n: how many values, q: their exact quantiles by linear interpolation, and further aggregates of the rows), a row per group.
+
+    Groups of more than `large` values are not gathered: order_statistics finds their places, for all of them (and so for all
+    grouping sets that rows were spread over) at once. Keys may be null. rows are staged, so they are derived once.
+    """
+    large = LARGE if large is None else large
+    rows = staged(rows, "quantile-rows")
+    places = [F.lit(float(p)) for p in probs]
+    exact = F.percentile(F.col(value).cast("double"), F.array(*places)).alias("q")
+    n = F.count(value).alias("n")
+    if rows.count() <= large:  # no group has more
+        return rows.groupBy(*keys).agg(n, exact, *aggs)
+    sizes = staged(rows.groupBy(*keys).agg(n, *aggs).withColumn("_g", F.struct(*keys) if keys else F.struct(F.lit(0).alias("_"))), "group-sizes")
+    big = sizes.where(F.col("n") > large).select("_g", "n")
+    many = big.count()
+    if not many:
+        return rows.groupBy(*keys).agg(n, exact, *aggs)
+    keyed = rows.select(F.struct(*keys).alias("_g") if keys else F.struct(F.lit(0).alias("_")).alias("_g"), F.col(value).alias("_value"))
+    names = few(big.select("_g"), many)
+    small = keyed.join(names, "_g", "left_anti").groupBy("_g").agg(F.percentile(F.col("_value").cast("double"), F.array(*places)).alias("q"))
+    spots = F.array_distinct(F.flatten(F.transform(F.array(*places), lambda p: F.array(F.floor((F.col("n") - 1) * p) + 1, F.ceil((F.col("n") - 1) * p) + 1))))
+    found = order_statistics(keyed.join(names, "_g", "left_semi"), ["_g"], "_value", big.select("_g", F.explode(spots).alias("place")))
+    # as many entries as places were asked for
+    held = found.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("_m")).join(few(big, many), "_g")
+
+    def at(p: Column) -> Column:
+        spot = (F.col("n") - 1) * p
+        low, high = F.floor(spot), F.ceil(spot)
+        a, b = F.element_at("_m", low + 1), F.element_at("_m", high + 1)
+        return F.when(low == high, a).otherwise((high - spot) * a + (spot - low) * b)
+
+    both = small.unionAll(held.select("_g", F.transform(F.array(*places), at).alias("q")))
+    return sizes.join(both, "_g", "left").select(*keys, "n", "q", *[c for c in sizes.columns if c not in (*keys, "n", "_g")])

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import quantile, season_bin, season_day
+from lacuna.operators.ranks import quantiles
 from lacuna.sources.panel import SPEC, PanelSpec
 from lacuna.staging import staged
 
@@ -27,19 +28,15 @@ def _keys(spec: PanelSpec) -> dict[str, list[str]]:
 
 def robust_priors(rows: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """(level, entity, category, season, year, median, iqr, n) of the targets: eight groupings in one pass
-    over one expanded shuffle. Columns that a level does not use are null."""
+    over one expanded shuffle, none of them gathered beyond ranks.LARGE values. Columns that a level does not use are null."""
     sets = _keys(spec)
     df = rows.where(F.col(spec.target).isNotNull()).select(spec.entity, spec.category, season_bin(F.col(spec.date)).alias("season"), F.year(spec.date).alias("year"), F.col(spec.target).alias("y"))
     columns = [spec.entity, spec.category, "season", "year"]
-    grouped = df.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *columns)
-    agg = grouped.agg(F.expr("percentile(y, array(0.25D, 0.5D, 0.75D))").alias("q"), F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(columns)])
-    level = F.lit(None).cast("string")
-    for name, keys in sets.items():
-        used = F.lit(True)
-        for i, c in enumerate(columns):
-            used = used & (F.col(f"_g{i}") == (0 if c in keys else 1))
-        level = F.when(used, name).otherwise(level)
-    return agg.select(level.alias("level"), *columns, F.get("q", 1).alias("median"), (F.get("q", 2) - F.get("q", 0)).alias("iqr"), "n")
+    none = {c: F.lit(None).cast(df.schema[c].dataType) for c in columns}
+    levels = F.array(*[F.struct(F.lit(name).alias("level"), *[(F.col(c) if c in keys else none[c]).alias(c) for c in columns]) for name, keys in sets.items()])
+    spread = df.select(F.explode(levels).alias("x"), "y").select("x.*", "y")
+    agg = quantiles(spread, ["level", *columns], "y", (0.25, 0.5, 0.75))
+    return agg.select("level", *columns, F.get("q", 1).alias("median"), (F.get("q", 2) - F.get("q", 0)).alias("iqr"), "n")
 
 
 def prior_lookup(queries: DataFrame, priors: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
@@ -137,7 +134,7 @@ def leave_one_year_out(queries: DataFrame, reference: DataFrame, value: str, spe
     levels = F.array(F.struct(F.lit("crop").alias("l"), none.alias("e"), F.col(c).cast("string").alias("c")), F.struct(F.lit("polygon").alias("l"), F.col(e).cast("string").alias("e"), F.col(c).cast("string").alias("c")))
     spread = own.select(F.explode(levels).alias("x"), "_ry", "_d", "m").select("x.*", "_ry", "_d", "m")
     spread = spread.unionAll(alone.select(F.lit("global"), none, none, "_ry", "_d", "m"))
-    annual = spread.groupBy("l", "e", "c", "_ry", "_d").agg(F.expr("percentile(m, 0.5D)").alias("m"))
+    annual = quantiles(spread, ["l", "e", "c", "_ry", "_d"], "m", (0.5,)).withColumn("m", F.get("q", 0))
     by_day = staged(annual.groupBy("l", "e", "c", "_d").agg(F.collect_list(F.struct("_ry", "m")).alias("_all")), "climatology")
     q = queries.select(e, c, F.year(spec.date).alias("_y"), season_day(F.col(spec.date)).alias("_d")).distinct()
     for name, keys in (("global", []), ("crop", [c]), ("polygon", [e, c])):
@@ -163,8 +160,8 @@ def leave_one_year_out(queries: DataFrame, reference: DataFrame, value: str, spe
 def doy_profile(rows: DataFrame, value: str, keys: list[str], spec: PanelSpec = SPEC, radius: int = 12, least: int = 3) -> DataFrame:
     """(keys, doy 1..366, median, support): the cyclic rolling median of a value over days of the year."""
     spread = rows.where(F.col(value).isNotNull()).select(*keys, F.explode(_circular(F.dayofyear(spec.date), radius)).alias("doy"), F.col(value).alias("v"))
-    agg = spread.groupBy(*keys, "doy").agg(F.expr("percentile(v, 0.5D)").alias("median"), F.count(F.lit(1)).alias("support"))
-    return agg.withColumn("median", F.when(F.col("support") >= least, F.col("median")))
+    agg = quantiles(spread, [*keys, "doy"], "v", (0.5,))
+    return agg.select(*keys, "doy", F.when(F.col("n") >= least, F.get("q", 0)).alias("median"), F.col("n").alias("support"))
 
 
 def profile_prior(queries: DataFrame, rows: DataFrame, value: str, spec: PanelSpec = SPEC, radius: int = 12, least: int = 6) -> DataFrame:

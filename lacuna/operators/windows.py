@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators import asof
+from lacuna.operators.ranks import quantiles
 from lacuna.sources.panel import SPEC, PanelSpec
 
 
@@ -62,4 +63,5 @@ def centred(grid: DataFrame, values: list[str], half: int = 30, spec: PanelSpec
 def scaler(rows: DataFrame, values: list[str], floor: float = 0.01) -> DataFrame:
     """One row per value: its median and population deviation (floored)."""
     pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(v).alias("channel"), F.col(v).alias("v")) for v in values])).alias("x")).select("x.*")
-    return pairs.where("v is not null").groupBy("channel").agg(F.expr("percentile(v, 0.5D)").alias("centre"), F.greatest(F.stddev_pop("v"), F.lit(floor)).alias("scale"))
+    found = quantiles(pairs.where("v is not null"), ["channel"], "v", (0.5,), (F.stddev_pop("v").alias("_s"),))
+    return found.select("channel", F.get("q", 0).alias("centre"), F.greatest("_s", F.lit(floor)).alias("scale"))

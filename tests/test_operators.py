@@ -177,3 +177,24 @@ def test_unknown_columns_are_hidden(spark):
     rows = spark.createDataFrame([("e", DAY, "c", 0.5, "sensor", 7, True), ("f", DAY, "c", 0.6, "sensor", 8, False)], "entity string, date date, category string, target double, provenance string, doy int, hidden boolean")
     got = {x.entity: (x.target, x.provenance, x.doy, x.truth) for x in P.masked_but(rows, ("doy",)).collect()}
     assert got == {"e": (None, None, 7, 0.5), "f": (0.6, "sensor", 8, 0.6)}
+
+
+@pytest.mark.parametrize("large", [10**9, 50, 0])
+def test_quantiles_of_groups_of_any_size(spark, large):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]), r.choice([1, 2, 3]), r.choice([None, 0.5, r.gauss(0, 1), r.random() ** 9])) for _ in range(2000)] + [("one", 1, 2.5), ("none", 1, None), ("flat", 1, 1.0), ("flat", 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(5)
+    for keys in (["k"], ["k", "j"], []):
+        got = ranks.quantiles(df, keys, "v", (0.0, 0.1, 0.5, 0.975, 1.0), (F.max("j").alias("most"),), large)
+        want = df.groupBy(*keys).agg(F.count("v").alias("n"), F.expr("percentile(v, array(0.0D, 0.1D, 0.5D, 0.975D, 1.0D))").alias("q"), F.max("j").alias("most"))
+        plain = lambda d: sorted((*[str(x[k]) for k in keys], x.n, x.most, str(x.q and [round(y, 12) for y in x.q])) for x in d.collect())
+        assert plain(got) == plain(want)
+
+
+def test_no_task_holds_a_hot_group(spark):
+    """A million distinct values of one group: no operator of the plan that is read has a percentile over them."""
+    df = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 1000).alias("v")).unionAll(spark.range(10).select(F.lit("cold"), F.col("id").cast("double")))
+    found = ranks.quantiles(df, ["k"], "v", (0.25, 0.5, 0.75))
+    got = {x.k: (x.n, [round(v, 9) for v in x.q]) for x in found.collect()}
+    values = np.sort(np.array([(k * 7919) % 1_000_003 for k in range(1_000_000)]) / 1000)
+    assert got == {"hot": (1_000_000, [round(float(v), 9) for v in np.quantile(values, (0.25, 0.5, 0.75))]), "cold": (10, [2.25, 4.5, 6.75])}
