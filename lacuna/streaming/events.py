@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Which state may follow which. Fixed values.
 TRANSITIONS = {
-    "QUEUED": ("FETCHING", "FAILED"), "FETCHING": ("PREPROCESSING", "PARTIAL", "FAILED"), "PREPROCESSING": ("RECONSTRUCTING", "FAILED"),
-    "RECONSTRUCTING": ("ANALYZING", "PARTIAL", "FAILED"), "ANALYZING": ("COMPLETED", "PARTIAL", "FAILED"), "PARTIAL": ("COMPLETED", "FAILED"), "COMPLETED": (), "FAILED": (),
+    "QUEUED": ("FETCHING", "FAILED"), "FETCHING": ("PREPROCESSING", "PARTIAL", "FAILED"), "PARTIAL": ("PREPROCESSING", "FAILED"), "PREPROCESSING": ("RECONSTRUCTING", "FAILED"),
+    "RECONSTRUCTING": ("ANALYZING", "FAILED"), "ANALYZING": ("COMPLETED", "FAILED"), "COMPLETED": (), "FAILED": (),
 }
 
 
