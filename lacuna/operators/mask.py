@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.ranks import few, numbered
@@ -145,3 +145,71 @@ def run_lengths(rows: DataFrame, seed: int, longest: int = 5, spec: PanelSpec =
     runs = runs.withColumn("_begin", upto - F.col("_size") - 1)
     taken = runs.select(spec.entity, "_year", "run", F.explode(F.sequence(F.col("_begin").cast("int"), (F.col("_begin") + F.col("_size") - 1).cast("int"))).alias("_at"))
     return df.join(taken, [spec.entity, "_year", "_at"], "left").drop("_year", "_at")
+
+
+def _in_category(rows: DataFrame, order: Column, more: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with `name`: their number, from 0, in their _category, in an order that is total; and (_category, {name}_of: how many)."""
+    made = staged(numbered(rows, [F.col("_category"), order, *more], "_number"), "numbered-in-category")
+    groups = staged(made.groupBy("_category").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias(f"{name}_of")), "categories")
+    made = made.join(few(groups.select("_category", "_first"), groups.count()), "_category")
+    return made.withColumn(name, F.col("_number") - F.col("_first")).drop("_number", "_first"), groups.drop("_first")
+
+
+#: The longest run of a template, and how many runs of one length a year may hold at most: every second of 366 days.
+LONGEST, MOST_RUNS = 8, 183
+
+
+def matched_runs(panel: DataFrame, templates: DataFrame, seed: int, spec: PanelSpec = SPEC) -> DataFrame:
+    """(template, length, entity, year, first_date, last_date): every template with where it was placed, the last two null if it was not.
+
+    templates: template (unique), length (more than LONGEST counts as that), month, and the panel's category. A template is dealt to an
+    entity's year of its category (of all, if the category has none), in hashed order, in turn. In one scan in that order each takes the
+    free stretch of observed rows whose first month is nearest to its own (the earliest of those), and keeps the rows beside it
+    visible, so that no two runs touch. As places only become fewer, a year looks at MOST_RUNS + 1 templates of a length at most; those
+    behind them could not be placed.
+    """
+
+    def drawn(*parts: Column) -> Column:
+        return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+
+    category = F.coalesce(F.col(spec.category).cast("string"), F.lit(""))
+    seen = panel.where(F.col(spec.target).isNotNull()).select(F.col(spec.entity).alias("entity"), F.year(spec.date).alias("year"), F.col(spec.date).alias("date"), category.alias("_category"))
+    slots = staged(seen.groupBy("entity", "year").agg(F.min("_category").alias("_category"), F.sort_array(F.collect_set("date")).alias("dates")), "slots")
+    years, counts = _in_category(slots.select("entity", "year", "_category"), drawn(F.col("entity"), F.col("year").cast("string")), [F.col("entity"), F.col("year")], "_turn")
+    whole = years.select("entity", "year", F.lit(None).cast("string").alias("_category"), F.lit(0).alias("_turn"))
+    everywhere = numbered(whole.drop("_turn"), [drawn(F.col("entity"), F.col("year").cast("string")), F.col("entity"), F.col("year")], "_turn").withColumn("_category", F.lit("*"))
+    total = slots.count()
+    asked = templates.select("template", F.least(F.col("length"), F.lit(LONGEST)).cast("int").alias("length"), F.col("month").cast("int").alias("month"), category.alias("_category"))
+    known = few(counts, counts.count())
+    placed = asked.join(known, "_category", "left").withColumn("_category", F.when(F.col("_turn_of").isNull(), "*").otherwise(F.concat(F.lit("c"), "_category"))).withColumn("_years", F.coalesce("_turn_of", F.lit(total))).drop("_turn_of")
+    order = drawn(F.col("template").cast("string"))
+    placed, _ = _in_category(placed.withColumn("_order", order), F.col("_order"), [F.col("template")], "_k")
+    places = years.withColumn("_category", F.concat(F.lit("c"), "_category")).select("entity", "year", "_category", "_turn").unionByName(everywhere.select("entity", "year", "_category", "_turn"))
+    dealt = staged(placed.withColumn("_turn", F.pmod("_k", F.greatest(F.col("_years"), F.lit(1)))).join(places, ["_category", "_turn"], "left").select("template", "length", "month", "_order", "entity", "year"), "dealt")
+    rank = F.row_number().over(Window.partitionBy("entity", "year", "length").orderBy("_order", "template"))
+    tried = dealt.where("entity is not null").withColumn("_rank", rank).where(F.col("_rank") <= MOST_RUNS + 1)
+    each = tried.groupBy("entity", "year").agg(F.array_sort(F.collect_list(F.struct("_order", "template", "length", "month"))).alias("asked"))
+    scanned = each.join(slots.select("entity", "year", "dates"), ["entity", "year"])
+    kind = templates.schema["template"].dataType.simpleString()
+    start = F.struct(F.transform("dates", lambda d: F.lit(False)).alias("taken"), F.array().cast(f"array<struct<template:{kind},at:int,length:int>>").alias("made"))
+
+    def place(s: Column, t: Column) -> Column:
+        def score(i: Column) -> Column:
+            apart = F.abs(F.month(F.get("dates", i)) - t["month"])
+            return F.struct(F.least(apart, 12 - apart).alias("apart"), i.alias("at"))
+
+        room = F.size("dates") - t["length"]
+        starts = F.when(room >= 0, F.sequence(F.lit(0), room)).otherwise(F.array().cast("array<int>"))
+        free = F.filter(starts, lambda i: ~F.exists(F.slice(s["taken"], i + 1, t["length"]), lambda x: x))
+
+        def put(at: Column) -> Column:
+            taken = F.transform(s["taken"], lambda x, i: x | F.coalesce(i.between(at - 1, at + t["length"]), F.lit(False)))
+            one = F.array(F.struct(t["template"].alias("template"), at.alias("at"), t["length"].alias("length")))
+            return F.struct(taken.alias("taken"), F.when(at.isNull(), s["made"]).otherwise(F.concat(s["made"], one)).alias("made"))
+
+        # an array of one, so that the place is looked for once
+        return F.get(F.transform(F.array(F.array_min(F.transform(free, score))["at"]), put), 0)
+
+    runs = scanned.withColumn("_r", F.explode(F.aggregate("asked", start, place)["made"]))
+    runs = runs.select(F.col("_r.template").alias("template"), F.get("dates", F.col("_r.at")).alias("first_date"), F.get("dates", F.col("_r.at") + F.col("_r.length") - 1).alias("last_date"))
+    return dealt.select("template", "length", "entity", "year").join(runs, "template", "left")

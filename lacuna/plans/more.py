@@ -254,3 +254,37 @@ def source_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("s2").isNotNull(), "s2").when(F.col("landsat").isNotNull(), "landsat").otherwise("modis")
     rows = learn.training_rows(_panel(spark, sf_dir).withColumn("source", label))
     return learn.source_classifier(staged(rows, "training"), "source").select("entity", "date", "source", "source_guess")
+
+
+_TEMPLATES = """t0 AS (SELECT entity, date, month(date) AS month, category, row_number() OVER (ORDER BY entity, date) AS template FROM masked WHERE hidden),
+  asked AS (SELECT template, CAST(template % 9 + 1 AS INT) AS length0, month, CASE WHEN template % 50 = 0 THEN 'NOWHERE' ELSE category END AS category FROM t0 WHERE substr(md5(concat_ws('|', entity, CAST(date AS VARCHAR), 't')), 1, 1) IN ('0', '1'))"""
+
+
+@query(f"""WITH RECURSIVE {PANEL_SQL}, {_TEMPLATES},
+  tmpl AS (SELECT template, least(length0, 8) AS length, month, category, md5(concat_ws('|', CAST(template AS VARCHAR), '5')) AS o FROM asked),
+  slots AS (SELECT entity, y, min(category) AS category, list(date ORDER BY date) AS dates FROM masked WHERE target IS NOT NULL GROUP BY entity, y),
+  turns AS (SELECT *, md5(concat_ws('|', entity, CAST(y AS VARCHAR), '5')) AS o FROM slots),
+  years AS (SELECT entity, y, category, row_number() OVER (PARTITION BY category ORDER BY o, entity, y) - 1 AS turn, count(*) OVER (PARTITION BY category) AS n FROM turns
+    UNION ALL SELECT entity, y, '*', row_number() OVER (ORDER BY o, entity, y) - 1, count(*) OVER () FROM turns),
+  homes AS (SELECT t.*, CASE WHEN t.category IN (SELECT category FROM slots) THEN t.category ELSE '*' END AS home FROM tmpl t),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY o, template) - 1 AS k FROM homes),
+  dealt AS (SELECT r.template, r.length, r.month, r.o, z.entity, z.y FROM ranked r JOIN (SELECT DISTINCT category, n FROM years) c ON c.category = r.home JOIN years z ON z.category = r.home AND z.turn = r.k % c.n),
+  lined AS (SELECT *, row_number() OVER (PARTITION BY entity, y ORDER BY o, template) AS step FROM dealt),
+  scan AS (
+    SELECT entity, y, 0 AS step, [false FOR d IN dates] AS taken, CAST(NULL AS BIGINT) AS template, CAST(NULL AS BIGINT) AS at FROM slots
+    UNION ALL
+    SELECT entity, y, step, CASE WHEN spot IS NULL THEN taken ELSE [taken[i + 1] OR (i >= spot % 1000 - 1 AND i <= spot % 1000 + length) FOR i IN range(len(taken))] END, template, spot % 1000
+    FROM (SELECT s.entity, s.y, l.step, s.taken, l.template, l.length,
+        list_min([least(abs(month(z.dates[i + 1]) - l.month), 12 - abs(month(z.dates[i + 1]) - l.month)) * 1000 + i FOR i IN range(len(s.taken) - l.length + 1) IF NOT list_contains(s.taken[i + 1:i + l.length], true)]) AS spot
+      FROM scan s JOIN lined l ON l.entity = s.entity AND l.y = s.y AND l.step = s.step + 1 JOIN slots z ON z.entity = s.entity AND z.y = s.y))
+  SELECT d.template, d.length, d.entity, CAST(d.y AS INT) AS year, z.dates[s.at + 1] AS first_date, z.dates[s.at + d.length] AS last_date
+  FROM dealt d JOIN scan s ON s.template = d.template JOIN slots z ON z.entity = d.entity AND z.y = d.y""")
+def matched_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs like those of the hidden rows, placed among the visible ones."""
+    from lacuna.operators.ranks import numbered
+
+    panel = staged(_masked(spark, sf_dir), "masked")
+    rows = numbered(panel.where("hidden").select("entity", "date", "category"), [F.col("entity"), F.col("date")], "n").withColumn("template", F.col("n") + 1)
+    drawn = F.substring(F.md5(F.concat_ws("|", "entity", F.col("date").cast("string"), F.lit("t"))), 1, 1)
+    asked = rows.where(drawn.isin("0", "1")).select("template", (F.col("template") % 9 + 1).cast("int").alias("length"), F.month("date").alias("month"), F.when(F.col("template") % 50 == 0, "NOWHERE").otherwise(F.col("category")).alias("category"))
+    return mask.matched_runs(panel, asked, 5)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import staging
-from lacuna.operators import compose, evaluate, harmonize, neighbors, ranks, reports, requests
+from lacuna.operators import compose, evaluate, harmonize, mask, neighbors, ranks, reports, requests
 from lacuna.sources import files
 
 DAY = datetime.date(2000, 1, 1)
@@ -198,3 +198,34 @@ def test_no_task_holds_a_hot_group(spark):
     got = {x.k: (x.n, [round(v, 9) for v in x.q]) for x in found.collect()}
     values = np.sort(np.array([(k * 7919) % 1_000_003 for k in range(1_000_000)]) / 1000)
     assert got == {"hot": (1_000_000, [round(float(v), 9) for v in np.quantile(values, (0.25, 0.5, 0.75))]), "cold": (10, [2.25, 4.5, 6.75])}
+
+
+def test_matched_runs_do_not_touch_and_all_are_told(spark):
+    r = random.Random(4)
+    rows = [(f"e{e}", DAY + datetime.timedelta(d), ["a", "b", None][e % 3], r.choice([None, 1.0, 2.0])) for e in range(5) for d in range(0, 500, r.choice([1, 3, 9]))]
+    panel = spark.createDataFrame(rows, "entity string, date date, category string, target double")
+    asked = [(k, r.choice([1, 2, 4, 8, 30]), r.randrange(1, 13), r.choice(["a", "b", None, "none such"])) for k in range(400)]
+    got = mask.matched_runs(panel, spark.createDataFrame(asked, "template bigint, length int, month int, category string"), 3).collect()
+    assert sorted(x.template for x in got) == list(range(400))
+    seen = {}
+    for e, d, _, v in rows:
+        if v is not None:
+            seen.setdefault((e, d.year), []).append(d)
+    by = {}
+    for x in got:
+        if x.first_date:
+            days = seen[x.entity, x.year]
+            a, b = days.index(x.first_date), days.index(x.last_date)
+            assert b - a + 1 == x.length == min(8, asked[x.template][1])
+            by.setdefault((x.entity, x.year), []).append((a, b))
+    for runs in by.values():
+        runs.sort()
+        assert all(b + 1 < c for (_, b), (c, _) in zip(runs, runs[1:]))
+    # what was not placed has no room left for a single row of its length
+    for x in got:
+        if x.first_date is None:
+            taken = {k for a, b in by.get((x.entity, x.year), []) for k in range(a - 1, b + 2)}
+            n = len(seen[x.entity, x.year])
+            assert not any(all(k + j not in taken for j in range(x.length)) for k in range(n - x.length + 1))
+    assert 30 < sum(len(v) for v in by.values()) < 400
+    assert mask.matched_runs(panel, spark.createDataFrame([], "template bigint, length int, month int, category string"), 3).count() == 0
