@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.scalar import cleaned, out_of_range, source_label
 from lacuna.operators import asof, donors, learn, neighbors, reconstruct, season
 from lacuna.sources.panel import SPEC, PanelSpec
+from lacuna.staging import staged
 
 
 def refuse_leaks(masked: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
@@ -96,20 +97,22 @@ def core(masked: DataFrame, spec: PanelSpec = SPEC, kinds: dict[str, str] | None
 def delivered(masked: DataFrame, spec: PanelSpec = SPEC, with_donors: bool = True) -> DataFrame:
     """Delivered feature table: calendar phases, same-year neighbours of every channel, seasonal means, same-date statistics, donors,
     and differences between them."""
-    panel = refuse_leaks(masked, spec).withColumn("_y", F.year(spec.date))
+    panel = staged(refuse_leaks(masked, spec).withColumn("_y", F.year(spec.date)), "delivered-panel")
     rows = panel
     names = {spec.target: "primary", **{s: s for s in spec.sensors}}
     for c, prefix in names.items():
         rows = temporal(rows, c, prefix, 4, spec)
     for c in [c for c in spec.weather if c in panel.columns]:
         rows = temporal(rows, c, c, 2, spec, clip=False)
-    rows = learn.calendar(rows.where("hidden"), spec)
+    # what follows joins narrow tables to hidden rows alone: written between blocks, no plan holds them all
+    rows = staged(learn.calendar(rows.where("hidden"), spec), "delivered")
     for c, prefix in names.items():
         rows = season.gaussian(rows, panel, c, f"clim_{prefix}", spec)
-        rows = neighbors.same_date(rows, panel, c, spec).withColumnsRenamed({f"date_{x}_{s}": f"date_{x}_{prefix}_{s}" for x in ("all", "crop") for s in ("mean", "std", "count", "median")})
+        rows = staged(neighbors.same_date(rows, panel, c, spec).withColumnsRenamed({f"date_{x}_{s}": f"date_{x}_{prefix}_{s}" for x in ("all", "crop") for s in ("mean", "std", "count", "median")}), "delivered")
     for s in spec.sensors:
         if with_donors:
             rows = donors.donors(rows, panel, s, spec).withColumnsRenamed({"donor_3": f"donor_{s}_3", "donor_10": f"donor_{s}_10", "donor_3_n": f"donor_{s}_3_n", "donor_10_n": f"donor_{s}_10_n", "donor_confidence": f"donor_{s}_confidence"})
+    rows = staged(rows, "delivered")
     made: dict[str, Column] = {}
     for s in spec.sensors:
         made |= {f"{s}_minus_primary": F.col(f"{s}_linear") - F.col("primary_linear"), f"{s}_minus_clim": F.col(f"{s}_linear") - F.col(f"clim_{s}_mean"), f"{s}_phase16_prev": F.cos(2 * math.pi * F.col(f"{s}_prev1_days") / 16), f"{s}_phase16_next": F.cos(2 * math.pi * F.col(f"{s}_next1_days") / 16)}
