@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_drawn_keys: dict[str, str] = {}
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secret is the session's spark.lacuna.pii.key; where it is unset, as in tests, a known word stands in."""
-    key = spark.conf.get("spark.lacuna.pii.key", "for tests alone")
+    """The secret is the session's spark.lacuna.pii.key; where it is unset one is drawn for the application, so that nobody can
+    make the surrogates again."""
+    key = spark.conf.get("spark.lacuna.pii.key", None) or _drawn_keys.setdefault(spark.sparkContext.applicationId, os.urandom(16).hex())
     return pii.replace(table(spark, sf_dir, "documents"), key.encode()).select("doc_id", "text", "n_entities")
 
 
