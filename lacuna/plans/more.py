@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.operators import anomaly, asof, compose, evaluate, mask, reconstruct, reports, requests, season
-from lacuna.plans.queries import _EVENTS_SQL, _FOLD_SQL, _USER_DAY_SQL, CONTEXT_SQL, PANEL_SQL, _masked, _panel, _predicted, _scored, query, r6, rounded
+from lacuna.plans.queries import _EVENTS_SQL, _FOLD_SQL, _USER_DAY_SQL, _USER_SQL, CONTEXT_SQL, PANEL_SQL, _masked, _panel, _predicted, _scored, query, r6, rounded
 from lacuna.sources import files
 from lacuna.sources import panel as P
 from lacuna.staging import new_path, staged
@@ -288,3 +288,59 @@ def matched_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = F.substring(F.md5(F.concat_ws("|", "entity", F.col("date").cast("string"), F.lit("t"))), 1, 1)
     asked = rows.where(drawn.isin("0", "1")).select("template", (F.col("template") % 9 + 1).cast("int").alias("length"), F.month("date").alias("month"), F.when(F.col("template") % 50 == 0, "NOWHERE").otherwise(F.col("category")).alias("category"))
     return mask.matched_runs(panel, asked, 5)
+
+
+_CHANNELS, _HALF, _BOUNDS = ("target", "s2", "landsat"), 7, (5.0, 120.0)
+
+
+def _window_sql(mode: str) -> str:
+    """All numbers of a row's window, each summed over its days with the day's place as weight."""
+    seen = ", ".join(f"CASE WHEN {c} BETWEEN {_BOUNDS[0]} AND {_BOUNDS[1]} THEN {c} END AS v_{c}, coalesce({c} NOT BETWEEN {_BOUNDS[0]} AND {_BOUNDS[1]}, false) AS b_{c}" for c in _CHANNELS)
+    near = ", ".join(f"last_value(CASE WHEN v_{c} IS NOT NULL THEN day END IGNORE NULLS) OVER b AS l_{c}, first_value(CASE WHEN v_{c} IS NOT NULL THEN day END IGNORE NULLS) OVER a AS r_{c}" for c in _CHANNELS)
+    x = "v_target" if mode == "filled" else "(v_target - prior)"
+    ends = f"last_value({x} IGNORE NULLS) OVER b AS lv, first_value({x} IGNORE NULLS) OVER a AS rv"
+    line = "CASE WHEN r_target = l_target THEN lv ELSE coalesce((lv * (r_target - day) + rv * (day - l_target)) / (r_target - l_target), lv, rv) END"
+    base = f"coalesce({line}, prior)" if mode == "filled" else f"prior + coalesce({line}, 0)"
+    z = "(({0}) - (SELECT centre FROM sc WHERE channel = '{1}')) / (SELECT scale FROM sc WHERE channel = '{1}')"
+    own = [f"coalesce({z.format(f'v_{c}', c)}, 0)" for c in _CHANNELS] + [f"CAST(v_{c} IS NOT NULL AS DOUBLE)" for c in _CHANNELS] + [f"CAST(b_{c} AS DOUBLE)" for c in _CHANNELS]
+    own += [f"ln(1 + least(366, coalesce(day - l_{c}, 366)))" for c in _CHANNELS] + [f"ln(1 + least(366, coalesce(r_{c} - day, 366)))" for c in _CHANNELS]
+    phase = "2 * pi() * (dayofyear(date) - 1) / dayofyear(make_date(year(date), 12, 31))"
+    own += [f"sin({phase})", f"cos({phase})", "1.0", z.format(base, "target"), z.format("prior", "target"), "1.0"]
+    made = ", ".join(f"{f} AS f{k}" for k, f in enumerate(own))
+    out = r6(*[f"sum((v.day - q.day + {_HALF + 1}) * v.f{k}) AS f{k}" for k in range(len(own))])
+    return f"""WITH {_USER_SQL}, sp3 AS (SELECT sp.*, up.landsat FROM sp LEFT JOIN up USING (entity, date)), u AS (SELECT unnest(['target', 's2', 'landsat']) AS channel, unnest([target, s2, landsat]) AS v FROM up),
+      sc AS (SELECT channel, quantile_cont(v, 0.5) AS centre, greatest(stddev_pop(v), 0.01) AS scale FROM u WHERE v IS NOT NULL GROUP BY channel),
+      pr AS (SELECT category, quantile_cont(target, 0.5) AS prior FROM up WHERE target IS NOT NULL GROUP BY category),
+      se AS (SELECT entity, y, date, day, prior, {seen} FROM sp3 JOIN pr USING (category)),
+      ne AS (SELECT *, {near}, {ends} FROM se WINDOW b AS (PARTITION BY entity, y ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY entity, y ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+      own AS (SELECT entity, y, date, day, {made} FROM ne)
+      SELECT q.entity, q.date, {out} FROM own q JOIN own v ON v.entity = q.entity AND v.y = q.y AND abs(v.day - q.day) <= {_HALF} GROUP BY q.entity, q.date"""
+
+
+def _window_rows(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    from lacuna.operators import windows
+    from lacuna.operators.ranks import few, quantiles
+
+    panel = staged(P.user_day(spark, sf_dir), "user-days")
+    found = quantiles(panel.where("target is not null").select("category", "target"), ["category"], "target", (0.5,))
+    priors = staged(found.select("category", F.get("q", 0).alias("prior")), "category-priors")
+    grid = windows.spine(panel).join(few(priors, priors.count()), "category")
+    out = windows.features(grid, list(_CHANNELS), windows.scaler(panel, list(_CHANNELS)), F.col("prior"), F.lit(1.0), _BOUNDS, _HALF, mode)
+    size = 5 * len(_CHANNELS) + 6
+
+    def total(k: int):
+        return F.aggregate(F.transform("window", lambda x, j: (j + 1) * F.get(x, k)), F.lit(0.0), lambda s, x: s + x)
+
+    ok = F.when((F.size("window") == 2 * _HALF + 1) & F.forall("window", lambda x: F.size(x) == size), F.col("entity"))
+    return rounded(out.select(ok.alias("entity"), "date", *[total(k).alias(f"f{k}") for k in range(size)]), *[f"f{k}" for k in range(size)])
+
+
+@query(_window_sql("filled"))
+def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole windows of 5C + 6 numbers a day."""
+    return _window_rows(spark, sf_dir, "filled")
+
+
+@query(_window_sql("anchored"))
+def window_features_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _window_rows(spark, sf_dir, "anchored")
