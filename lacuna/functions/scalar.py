@@ -58,10 +58,6 @@ def season_bin(date: Column, days: int = 15) -> Column:
     return F.floor((F.dayofyear(date) - 1) / days).cast("int")
 
 
-def epoch_day(date: Column) -> Column:
-    return F.unix_date(date)
-
-
 def bool_of(text: Column) -> Column:
     """True/False/1/0 in any case and spacing; anything else raises an error."""
     low = F.lower(F.trim(text))

@@ -71,14 +71,8 @@ def brier(rows: DataFrame, label: str, classes: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(label) == best).cast("double")).alias("accuracy"), F.avg(score).alias("brier"))
 
 
-def bootstrap(rows: DataFrame, block: str, sums: dict[str, Column], draws: int, seed: int = 1981) -> DataFrame:
-    """(draw, n and the sums) of `draws` resamples of whole blocks, with replacement. Slot i of draw b takes the block
-    whose number is a hash of (seed, b, i) modulo the number of blocks, so every engine repeats it.
-
-    Blocks are first reduced to their sums, and numbered by order of name; only numbers meet the draws.
-    """
-    totals = block_sums(rows, block, sums)
-    return draw_blocks(totals, list(sums), draws, seed)
+#: Slots of a draw that one row spreads.
+SLOTS = 10_000
 
 
 def block_sums(rows: DataFrame, block: str, sums: dict[str, Column]) -> DataFrame:
@@ -88,11 +82,15 @@ def block_sums(rows: DataFrame, block: str, sums: dict[str, Column]) -> DataFram
 
 
 def draw_blocks(totals: DataFrame, sums: list[str], draws: int, seed: int) -> DataFrame:
-    """(draw, n and the sums). A draw's slots are spread and added up where they are made: the blocks' sums come to
+    """(draw, n and the sums). Slot i of draw b takes the block whose number is a hash of (seed, b, i) modulo the number of blocks, so every
+    engine repeats it. A draw's slots are spread and added up where they are made: the blocks' sums come to
     them as a broadcast table if they are few, and only partial sums by draw are shuffled."""
     size = totals.count()
     spark = totals.sparkSession
-    slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("slot")) if size else spark.range(0).select(F.col("id").alias("draw"), F.col("id").alias("slot"))
+    # no row of a draw holds more slots than a range
+    ranges = -(-size // SLOTS)
+    first = F.pmod("id", F.lit(max(1, ranges))) * SLOTS
+    slots = spark.range(draws * ranges).select(F.floor(F.col("id") / max(1, ranges)).alias("draw"), F.explode(F.sequence(first, F.least(first + SLOTS, F.lit(size)) - 1)).alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("bigint") % max(1, size)
     return slots.withColumn("number", pick).join(few(totals, size), "number").groupBy("draw").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
 

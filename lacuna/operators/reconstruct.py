@@ -198,14 +198,6 @@ def radii_of(errors: DataFrame, pools: list[str], levels: tuple[float, ...], lea
     return order_statistics(both, [*pools, "label"], "e", asked).select(*pools, "label", "level", F.col("value").alias("radius"), "n")
 
 
-def q_higher(rows: DataFrame, value: Column, q: float) -> DataFrame:
-    """One row: the q-quantile, of the kind 'higher', of a table's values; none of an empty table."""
-    df = staged(rows.select(F.lit("all").alias("label"), value.alias("e")), "values")
-    n = df.where("e is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    asked = n.select("label", (F.ceil(F.lit(q) * (F.col("n") - 1)) + 1).alias("place"))
-    return order_statistics(df, ["label"], "e", asked).select("value")
-
-
 def intervals(rows: DataFrame, prediction: str, label: Column, radii: DataFrame, level: float = 0.95) -> DataFrame:
     """rows with lower and upper: the prediction less and plus its bin's radius, or all rows' where its bin has none."""
     of_level = radii.where(F.col("level") == level)

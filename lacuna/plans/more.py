@@ -344,3 +344,22 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_window_sql("anchored"))
 def window_features_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_rows(spark, sf_dir, "anchored")
+
+
+@query(f"""WITH {PANEL_SQL}, u AS (SELECT unnest(['target', 's2', 'landsat', 'modis', 'truth', 'category']) AS name, unnest([target IS NOT NULL, s2 IS NOT NULL, landsat IS NOT NULL, modis IS NOT NULL, truth IS NOT NULL, category IS NOT NULL]) AS there FROM masked WHERE hidden)
+  SELECT name FROM u GROUP BY name HAVING NOT bool_or(there)""")
+def gap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that no hidden row has: what a mask has to hide."""
+    found = mask.mask_columns(_masked(spark, sf_dir).where("hidden"), ["target", "s2", "landsat", "modis", "truth", "category"])
+    return spark.createDataFrame([(c,) for c in found], "name string")
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderkey % 4 < 2 AND o_orderkey % 5 > 0) AS gaps, count(*) FILTER (o_orderkey % 4 >= 2 AND o_orderkey % 5 > 0) AS others, count(*) FILTER (o_orderkey % 5 = 0) AS unknown FROM orders GROUP BY 1""")
+def parsed_gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags as texts in several spellings, read as booleans."""
+    from lacuna.functions.scalar import bool_of
+
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, None).otherwise(F.get(F.array(*map(F.lit, (" TRUE", "1", "false ", "0"))), (k % 4).cast("int")))
+    rows = P.read(spark, sf_dir, "orders").withColumn("gap", bool_of(text))
+    return rows.groupBy("o_orderpriority").agg(F.count(F.when(F.col("gap"), 1)).alias("gaps"), F.count(F.when(~F.col("gap"), 1)).alias("others"), F.count(F.when(F.col("gap").isNull(), 1)).alias("unknown"))

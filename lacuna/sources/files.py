@@ -106,7 +106,8 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
     first = spark.read.text(path).limit(1).first()
     if first and ";" in first[0]:
         raise ValueError("fields must be parted by commas")
-    return spark.read.csv(path, header=True, inferSchema=False)
+    rows = spark.read.csv(path, header=True, inferSchema=False)
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])  # a byte order mark is no part of a name
 
 
 def write_submission(predictions: DataFrame, path: str, decimals: int | None = 10) -> None:
