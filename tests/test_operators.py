@@ -111,7 +111,7 @@ def test_each_panel_file_has_its_own_order(spark, tmp_path):
     other = [*names[1:], names[0]]
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.csv").write_text("\n".join([",".join(names), *panel_lines(names, 1)]) + "\n")
-    (tmp_path / "d" / "b.csv").write_text("﻿" + "\n".join([",".join(f'"{n}"' for n in other), *panel_lines(other, 2)]) + "\n")
+    (tmp_path / "d" / "b.csv").write_text("\ufeff" + "\n".join([",".join(f'"{n}"' for n in other), *panel_lines(other, 2)]) + "\n")
     got = files.read_panel(spark, str(tmp_path / "d"), "test").collect()
     assert [(x.anon_polygon_id, x.s2_ndvi, x.s2_evi, x.s2_ndwi, x.is_synthetic_gap) for x in got] == [("p", 0.1, 0.9, None, False)] * 2
     assert files.control_totals(files.read_panel(spark, str(tmp_path / "d"), "test")).first()[:] == (2, 1, datetime.date(2020, 1, 1), datetime.date(2020, 1, 2), 2, 2.0, 0)
@@ -229,3 +229,21 @@ def test_matched_runs_do_not_touch_and_all_are_told(spark):
             assert not any(all(k + j not in taken for j in range(x.length)) for k in range(n - x.length + 1))
     assert 30 < sum(len(v) for v in by.values()) < 400
     assert mask.matched_runs(panel, spark.createDataFrame([], "template bigint, length int, month int, category string"), 3).count() == 0
+
+
+def test_window_modes_and_byte_order_marks(spark, tmp_path):
+    from lacuna.operators import windows
+
+    with pytest.raises(ValueError):
+        windows.features(spark.range(1), ["v"], spark.range(1), F.lit(0.0), F.lit(0.0), mode="other")
+    (tmp_path / "s.csv").write_text("\ufeffanon_polygon_id,date,primary_ndvi_pred\na,2022-01-01,0.5\n", encoding="utf-8")
+    assert files.read_submission(spark, str(tmp_path / "s.csv")).columns == ["anon_polygon_id", "date", "primary_ndvi_pred"]
+
+
+def test_draws_do_not_depend_on_how_slots_are_cut(spark, monkeypatch):
+    totals = spark.createDataFrame([(str(k), 1, float(k), k) for k in range(25)], "_block string, n bigint, v double, number bigint")
+    want = sorted(map(tuple, evaluate.draw_blocks(totals, ["v"], 7, 3).collect()))
+    for slots in (1, 4, 25):
+        monkeypatch.setattr(evaluate, "SLOTS", slots)
+        assert sorted(map(tuple, evaluate.draw_blocks(totals, ["v"], 7, 3).collect())) == want and all(x[1] == 25 for x in want)
+    assert evaluate.draw_blocks(totals.limit(0), ["v"], 7, 3).count() == 0
