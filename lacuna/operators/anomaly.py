@@ -171,13 +171,17 @@ def explained(events: DataFrame) -> DataFrame:
     return events.withColumn("explanation", F.concat(F.lit("Sustained negative deviation"), F.when(F.size("reason_codes") > 0, F.concat(F.lit(": "), said)).otherwise(F.lit("")), F.lit(". No cause is established.")))
 
 
-def warnings(points: DataFrame, value: str, least_years: int = 3, spec: PanelSpec = SPEC) -> DataFrame:
-    """(entity, warnings): what weakens an entity's result."""
+def warnings(points: DataFrame, value: str, least_years: int = 3, spec: PanelSpec = SPEC, asked: DataFrame | None = None) -> DataFrame:
+    """(entity, warnings): what weakens an entity's result. Entities that were asked for and have no row have EMPTY_SERIES alone."""
     thin = F.col("reference_years") < least_years
     weak = ~F.col("is_observed") & F.col(value).isNotNull() & (F.col("confidence") <= 0.2)
     flags = points.groupBy(spec.entity).agg(F.max(thin).alias("a"), F.max(F.col(value).isNull()).alias("b"), F.max(weak).alias("c"))
     names = (("a", "INSUFFICIENT_REFERENCE_YEARS"), ("b", "MISSING_HARMONIZED_VALUES"), ("c", "LOW_RECONSTRUCTION_SUPPORT"))
-    return flags.select(spec.entity, F.array_compact(F.array(*[F.when(F.col(k), F.lit(n)) for k, n in names])).alias("warnings"))
+    out = flags.select(spec.entity, F.array_compact(F.array(*[F.when(F.col(k), F.lit(n)) for k, n in names])).alias("warnings"))
+    if asked is None:
+        return out
+    empty = asked.select(spec.entity).distinct().join(out, spec.entity, "left_anti")
+    return out.unionAll(empty.select(spec.entity, F.array(F.lit("EMPTY_SERIES"))))
 
 
 def event_points(events: DataFrame, points: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:

@@ -41,6 +41,12 @@ def nearest(panel: DataFrame, value: str, spec: PanelSpec = SPEC, by: list[str]
     return out.withColumns({f"{prefix}left_value": F.col("_l.v"), f"{prefix}left_days": day - F.col("_l.day"), f"{prefix}right_value": F.col("_r.v"), f"{prefix}right_days": F.col("_r.day") - day}).drop("_l", "_r")
 
 
+def with_context(queries: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
+    """Rows of `nearest`; one that has no value on either side is an error, as its entity has no observation to go by."""
+    alone = F.col("left_days").isNull() & F.col("right_days").isNull()
+    return queries.withColumn("left_value", F.when(alone, F.raise_error(F.concat(F.lit("no observation of "), F.col(spec.entity))).cast("double")).otherwise(F.col("left_value")))
+
+
 def linear(left: Column, left_days: Column, right: Column, right_days: Column) -> Column:
     """Interpolated by days; with one neighbour its value; else null."""
     return F.coalesce((left * right_days + right * left_days) / (left_days + right_days), left, right)
