@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from lacuna.operators.asof import calendar_runs
 from lacuna.sources.panel import SPEC, PanelSpec
@@ -36,16 +37,45 @@ def load_series(panel: DataFrame, entity: str, start: str, end: str, spec: Panel
     return panel.where((F.col(spec.entity) == entity) & F.col(spec.date).between(F.lit(start).cast("date"), F.lit(end).cast("date"))).withColumn(spec.category, F.coalesce(spec.category, F.lit("unknown")))
 
 
-def violations(panel: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
-    """(rule, n) for each rule that rows break: blank keys, repeated keys, no category, values on gap rows."""
-    e, d = F.col(spec.entity), F.col(spec.date)
-    rules: dict[str, Column] = {"blank_entity": e.isNull() | (F.trim(e) == ""), "missing_date": d.isNull(), "missing_category": F.col(spec.category).isNull()}
-    if "is_gap" in panel.columns:
-        rules["value_on_gap_row"] = F.col("is_gap") & reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in spec.dynamic if c in panel.columns])
-    counts = panel.agg(*[F.count(F.when(rule, 1)).alias(name) for name, rule in rules.items()])
-    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in rules])).alias("x")).select("x.*")
-    repeated = panel.groupBy(*spec.keys).count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n"))
-    return rows.unionAll(repeated.select(F.lit("duplicate_key"), "n")).where("n > 0")
+def violations(panel: DataFrame, spec: PanelSpec = SPEC, required: tuple[str, ...] = (), numeric: tuple[str, ...] | None = None) -> DataFrame:
+    """(rule, n) for each rule that rows break, all but repeated keys from one aggregation.
+
+    Of the table, with n = 1: missing_column:c and not_numeric:c (text, say, where numbers belong), gap_flag_not_boolean, date_not_a_date. Of rows:
+    blank keys, no date, a date with a time of day, no category, infinities and NaN (not_finite:c), a null gap flag, values
+    on gap rows, and rows whose key has stood before. numeric: the target, sensors and weather that are there, unless given.
+    """
+    kinds = {f.name: f.dataType for f in panel.schema.fields}
+    numeric = tuple(c for c in spec.dynamic if c in kinds) if numeric is None else numeric
+    broken = [f"missing_column:{c}" for c in dict.fromkeys((*spec.keys, spec.category, *required)) if c not in kinds]
+    broken += [f"not_numeric:{c}" for c in numeric if c in kinds and not isinstance(kinds[c], NumericType)]
+    rules: dict[str, Column] = {}
+    if spec.entity in kinds:
+        rules["blank_entity"] = F.col(spec.entity).isNull() | (F.trim(F.col(spec.entity).cast("string")) == "")
+    if spec.date in kinds:
+        d = F.col(spec.date)
+        rules["missing_date"] = d.isNull()
+        if isinstance(kinds[spec.date], (TimestampType, TimestampNTZType)):
+            rules["date_with_time"] = F.coalesce(d != F.date_trunc("day", d), F.lit(False))
+        elif not isinstance(kinds[spec.date], (DateType, NumericType)):
+            broken.append("date_not_a_date")
+    if spec.category in kinds:
+        rules["missing_category"] = F.col(spec.category).isNull()
+    rules |= {f"not_finite:{c}": F.isnan(c) | (F.abs(c) == float("inf")) for c in numeric if isinstance(kinds.get(c), (DoubleType, FloatType))}
+    if "is_gap" in kinds:
+        if isinstance(kinds["is_gap"], BooleanType):
+            rules["null_gap_flag"] = F.col("is_gap").isNull()
+            rules["value_on_gap_row"] = F.col("is_gap") & reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in numeric if c in kinds], F.lit(False))
+        else:
+            broken.append("gap_flag_not_boolean")
+    spark = panel.sparkSession
+    out = spark.createDataFrame([(name, 1) for name in broken], "rule string, n bigint")
+    if rules:
+        counts = panel.agg(*[F.count(F.when(rule, 1)).alias(f"_{k}") for k, rule in enumerate(rules.values())])
+        out = out.unionAll(counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{k}").alias("n")) for k, n in enumerate(rules)])).alias("x")).select("x.*"))
+    if set(spec.keys) <= kinds.keys():
+        repeated = panel.groupBy(*spec.keys).count().where("count > 1").agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("n"))
+        out = out.unionAll(repeated.select(F.lit("duplicate_key"), "n"))
+    return out.where("n > 0")
 
 
 def always_missing(rows: DataFrame, columns: list[str]) -> DataFrame:

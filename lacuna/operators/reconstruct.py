@@ -55,63 +55,76 @@ def midpoint_chain(rows: DataFrame, kind: str = "midpoint") -> Column:
     return F.coalesce(F.col(f"primary_{kind}"), F.col("clim_primary_mean"), F.lit(0.5))
 
 
-def pchip(x: np.ndarray, y: np.ndarray, q: float) -> float:
-    """Monotone piecewise cubic through increasing x, at q within their range: slopes at inner points are weighted
+def pchip(x: np.ndarray, y: np.ndarray, q: np.ndarray | float) -> np.ndarray:
+    """Monotone piecewise cubics through increasing x (along the last axis), at q within their ranges: slopes at inner points are weighted
     harmonic means of the neighbouring secants (Fritsch and Butland), ends take a three-point formula."""
     h, d = np.diff(x), np.diff(y) / np.diff(x)
-    if len(x) == 2:
-        return float(y[0] + d[0] * (q - x[0]))
+    if x.shape[-1] == 2:
+        return y[..., 0] + d[..., 0] * (q - x[..., 0])
     m = np.zeros_like(y)
-    a, b = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
-    ok = d[:-1] * d[1:] > 0
+    a, b = 2 * h[..., 1:] + h[..., :-1], h[..., 1:] + 2 * h[..., :-1]
+    ok = d[..., :-1] * d[..., 1:] > 0
     with np.errstate(divide="ignore", invalid="ignore"):
-        m[1:-1] = np.where(ok, (a + b) / (a / d[:-1] + b / d[1:]), 0.0)
+        m[..., 1:-1] = np.where(ok, (a + b) / (a / d[..., :-1] + b / d[..., 1:]), 0.0)
 
-    def end(h0: float, h1: float, d0: float, d1: float) -> float:
-        s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
-        if s * d0 <= 0:
-            return 0.0
-        return 3 * d0 if d0 * d1 < 0 and abs(s) > 3 * abs(d0) else s
+    def end(i: int, j: int) -> np.ndarray:
+        s = ((2 * h[..., i] + h[..., j]) * d[..., i] - h[..., i] * d[..., j]) / (h[..., i] + h[..., j])
+        steep = (d[..., i] * d[..., j] < 0) & (np.abs(s) > 3 * np.abs(d[..., i]))
+        return np.where(s * d[..., i] <= 0, 0.0, np.where(steep, 3 * d[..., i], s))
 
-    m[0], m[-1] = end(h[0], h[1], d[0], d[1]), end(h[-1], h[-2], d[-1], d[-2])
+    m[..., 0], m[..., -1] = end(0, 1), end(-1, -2)
     return _hermite(x, y, m, q)
 
 
-def akima(x: np.ndarray, y: np.ndarray, q: float) -> float:
-    """Akima's spline of 1970 through increasing x, at q within their range."""
+def akima(x: np.ndarray, y: np.ndarray, q: np.ndarray | float) -> np.ndarray:
+    """Akima's splines of 1970 through increasing x (along the last axis), at q within their ranges."""
     d = np.diff(y) / np.diff(x)
-    d = np.concatenate([[3 * d[0] - 2 * d[1], 2 * d[0] - d[1]], d, [2 * d[-1] - d[-2], 3 * d[-1] - 2 * d[-2]]])
+    first, last = d[..., :1], d[..., -1:]
+    d = np.concatenate([3 * first - 2 * d[..., 1:2], 2 * first - d[..., 1:2], d, 2 * last - d[..., -2:-1], 3 * last - 2 * d[..., -2:-1]], axis=-1)
     w = np.abs(np.diff(d))
-    left, right = w[2:], w[:-2]
+    left, right = w[..., 2:], w[..., :-2]
     total = left + right
-    flat = total <= 1e-9 * max(total.max(), 0)
-    m = np.where(flat, (d[1:-2] + d[2:-1]) / 2, (left * d[1:-2] + right * d[2:-1]) / np.where(flat, 1, total))
+    flat = total <= 1e-9 * np.maximum(total.max(axis=-1, keepdims=True), 0)
+    m = np.where(flat, (d[..., 1:-2] + d[..., 2:-1]) / 2, (left * d[..., 1:-2] + right * d[..., 2:-1]) / np.where(flat, 1, total))
     return _hermite(x, y, m, q)
 
 
-def _hermite(x: np.ndarray, y: np.ndarray, m: np.ndarray, q: float) -> float:
-    k = min(max(int(np.searchsorted(x, q, "right")) - 1, 0), len(x) - 2)
-    h = x[k + 1] - x[k]
-    t = (q - x[k]) / h
-    return float((2 * t**3 - 3 * t**2 + 1) * y[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * y[k + 1] + (t**3 - t**2) * h * m[k + 1])
+def _hermite(x: np.ndarray, y: np.ndarray, m: np.ndarray, q: np.ndarray | float) -> np.ndarray:
+    q = np.asarray(q, float)
+    k = np.clip((x <= q[..., None]).sum(axis=-1) - 1, 0, x.shape[-1] - 2)[..., None]
+
+    def at(v: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(v, i, axis=-1)[..., 0]
+
+    h = at(x, k + 1) - at(x, k)
+    t = (q - at(x, k)) / h
+    return (2 * t**3 - 3 * t**2 + 1) * at(y, k) + (t**3 - 2 * t**2 + t) * h * at(m, k) + (3 * t**2 - 2 * t**3) * at(y, k + 1) + (t**3 - t**2) * h * at(m, k + 1)
 
 
 def splines(rows: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
-    """rows (from asof.neighbors with k = 4) with pchip (at least three points, both sides) and akima (five)."""
+    """rows (from asof.neighbors with k = 4) with pchip (at least three points, both sides) and akima (five). Rows of equal numbers of points are
+    one matrix: a batch has a handful of them."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for left, right, day in batches:
-            out = []
-            for a, b, q in zip(left, right, day):
-                points = sorted((p["day"], p["v"]) for p in [*a, *b])
-                x, y = np.array([p[0] for p in points], float), np.array([p[1] for p in points], float)
-                both = len(a) > 0 and len(b) > 0
-                out.append((pchip(x, y, q) if both and len(x) >= 3 else None, akima(x, y, q) if both and len(x) >= 5 else None))
+        for days, values, day in batches:
+            n = days.map(len).to_numpy()
+            out = np.full((len(n), 2), np.nan)
+            for size in np.unique(n[n >= 3]).tolist():
+                which = np.flatnonzero(n == size)
+                x, y = (np.concatenate(c.iloc[which].tolist()).astype(float).reshape(-1, size) for c in (days, values))
+                q = day.iloc[which].to_numpy(float)
+                out[which, 0] = pchip(x, y, q)
+                if size >= 5:
+                    out[which, 1] = akima(x, y, q)
             yield pd.DataFrame(out, columns=["pchip", "akima"])
 
     spline = F.pandas_udf(_typed(run), "pchip double, akima double")
-    return rows.withColumn("_s", spline("left", "right", F.unix_date(spec.date))).withColumns({"pchip": F.col("_s.pchip"), "akima": F.col("_s.akima")}).drop("_s")
+    both = (F.size("left") > 0) & (F.size("right") > 0)
+    points = F.when(both, F.array_sort(F.concat("left", "right"))).otherwise(F.slice("left", 1, 0))  # without both sides no curve
+    packed = rows.withColumn("_p", points)
+    made = packed.withColumn("_s", spline(F.transform("_p", lambda p: p["day"]), F.transform("_p", lambda p: p["v"]), F.unix_date(spec.date)))
+    return made.withColumns({c: F.nanvl(f"_s.{c}", F.lit(None).cast("double")) for c in ("pchip", "akima")}).drop("_s", "_p")
 
 
 def _typed(run):

@@ -363,3 +363,20 @@ def parsed_gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(k % 5 == 0, None).otherwise(F.get(F.array(*map(F.lit, (" TRUE", "1", "false ", "0"))), (k % 4).cast("int")))
     rows = P.read(spark, sf_dir, "orders").withColumn("gap", bool_of(text))
     return rows.groupBy("o_orderpriority").agg(F.count(F.when(F.col("gap"), 1)).alias("gaps"), F.count(F.when(~F.col("gap"), 1)).alias("others"), F.count(F.when(F.col("gap").isNull(), 1)).alias("unknown"))
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN ' ' ELSE 'c' || (o_custkey % 40) END AS entity, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR * (CASE WHEN o_orderkey % 9 = 0 THEN 5 ELSE 0 END) AS date,
+    CASE WHEN o_orderkey % 31 <> 0 THEN o_orderpriority END AS category, CASE WHEN o_orderkey % 17 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN o_orderkey % 13 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS target,
+    CASE WHEN o_orderkey % 19 <> 0 THEN o_orderkey % 11 < 2 END AS is_gap FROM orders),
+  r AS (SELECT unnest(['blank_entity', 'date_with_time', 'missing_category', 'not_finite:target', 'null_gap_flag', 'value_on_gap_row', 'duplicate_key', 'missing_column:doy', 'not_numeric:s2']) AS rule,
+    unnest([count(*) FILTER (trim(entity) = ''), count(*) FILTER (date <> date_trunc('day', date)), count(*) FILTER (category IS NULL), count(*) FILTER (isnan(target) OR isinf(target)), count(*) FILTER (is_gap IS NULL), count(*) FILTER (is_gap), count(*) - count(DISTINCT (entity, date)), 1, 1]) AS n FROM o)
+  SELECT rule, CAST(n AS BIGINT) AS n FROM r WHERE n > 0""")
+def panel_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a panel that breaks most rules: of its columns, its keys, its values and its flags. Every row has s2, as text."""
+    from lacuna.operators import hygiene
+
+    k = F.col("o_orderkey")
+    late = F.col("o_orderdate").cast("timestamp") + F.when(k % 9 == 0, F.expr("interval 5 hours")).otherwise(F.expr("interval 0 hours"))
+    value = F.when(k % 17 == 0, float("inf")).when(k % 13 == 0, float("nan")).when(k % 11 != 0, F.col("o_totalprice").cast("double"))
+    rows = P.read(spark, sf_dir, "orders").select(F.when(k % 50 == 0, " ").otherwise(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("entity"), late.alias("date"), F.when(k % 31 != 0, F.col("o_orderpriority")).alias("category"), value.alias("target"), F.col("o_orderstatus").alias("s2"), F.when(k % 19 != 0, k % 11 < 2).alias("is_gap"))
+    return hygiene.violations(rows, required=("doy",))

@@ -397,7 +397,7 @@ _BASE_SQL = """r AS (SELECT entity, category, y AS ry, doy AS rdoy, target AS v
 
 @query(f"WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-2)} SELECT entity, date, years AS n_reference_years, {r6('m AS climatology_median', 'mad AS climatology_mad', 'residual', 'z AS robust_z')}, c AS candidate FROM cand")
 def anomaly_points_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.baseline_points(P.nation_day(spark, sf_dir), "target")
+    out = anomaly.baseline_points(_panel(spark, sf_dir), "target")
     names = ["climatology_median", "climatology_mad", "residual", "robust_z"]
     return rounded(out.select("entity", "date", "n_reference_years", *names, "candidate"), *names)
 
@@ -405,7 +405,7 @@ def anomaly_points_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL_SQL}, {_BASE_SQL.format(threshold=-1)}, e AS (SELECT entity, i, min(date) AS s, max(date) AS e, count(*) AS n, avg(-residual) AS mag, min(z) AS mz FROM isl WHERE c GROUP BY entity, i HAVING count(*) >= 2)
   SELECT concat_ws(':', entity, CAST(s AS VARCHAR), CAST(e AS VARCHAR)) AS event_id, entity, s AS start_date, e AS end_date, n AS n_points, CAST(e - s + 1 AS BIGINT) AS duration_days, {r6("mag AS magnitude", "mz AS min_z", "mag * (e - s + 1) AS severity")} FROM e""")
 def events_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0))
+    out = anomaly.baseline_events(anomaly.baseline_points(_panel(spark, sf_dir), "target", threshold=-1.0))
     return rounded(out.select("event_id", "entity", "start_date", "end_date", "n_points", "duration_days", "magnitude", "min_z", "severity"), "magnitude", "min_z", "severity")
 
 
@@ -1007,6 +1007,6 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT entity, s AS start_date, e AS end_date, {r6("iou")}, CASE WHEN iou > 0 THEN CAST(d AS INT) END AS delay_days FROM m""")
 def event_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known events against shifted ones, some of them missing."""
-    known = staged(anomaly.baseline_events(anomaly.baseline_points(P.nation_day(spark, sf_dir), "target", threshold=-1.0)).select("entity", "start_date", "end_date"), "known-events")
+    known = staged(anomaly.baseline_events(anomaly.baseline_points(_panel(spark, sf_dir), "target", threshold=-1.0)).select("entity", "start_date", "end_date"), "known-events")
     found = known.where(F.month("start_date") != 6).select("entity", F.date_add("start_date", 1).alias("start_date"), F.date_add("end_date", 2).alias("end_date"))
     return rounded(evaluate.overlap(found, known), "iou")

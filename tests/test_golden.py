@@ -92,6 +92,74 @@ def test_splines():
     assert reconstruct.akima(x, x**2, 3.0) == pytest.approx(9)
 
 
+def plain_pchip(x: np.ndarray, y: np.ndarray, q: float) -> float:
+    """Monotone piecewise cubic through increasing x, at q within their range: slopes at inner points are weighted
+    harmonic means of the neighbouring secants (Fritsch and Butland), ends take a three-point formula."""
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    if len(x) == 2:
+        return float(y[0] + d[0] * (q - x[0]))
+    m = np.zeros_like(y)
+    a, b = 2 * h[1:] + h[:-1], h[1:] + 2 * h[:-1]
+    ok = d[:-1] * d[1:] > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m[1:-1] = np.where(ok, (a + b) / (a / d[:-1] + b / d[1:]), 0.0)
+
+    def end(h0: float, h1: float, d0: float, d1: float) -> float:
+        s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        if s * d0 <= 0:
+            return 0.0
+        return 3 * d0 if d0 * d1 < 0 and abs(s) > 3 * abs(d0) else s
+
+    m[0], m[-1] = end(h[0], h[1], d[0], d[1]), end(h[-1], h[-2], d[-1], d[-2])
+    return plain_hermite(x, y, m, q)
+
+
+def plain_akima(x: np.ndarray, y: np.ndarray, q: float) -> float:
+    """Akima's spline of 1970 through increasing x, at q within their range."""
+    d = np.diff(y) / np.diff(x)
+    d = np.concatenate([[3 * d[0] - 2 * d[1], 2 * d[0] - d[1]], d, [2 * d[-1] - d[-2], 3 * d[-1] - 2 * d[-2]]])
+    w = np.abs(np.diff(d))
+    left, right = w[2:], w[:-2]
+    total = left + right
+    flat = total <= 1e-9 * max(total.max(), 0)
+    m = np.where(flat, (d[1:-2] + d[2:-1]) / 2, (left * d[1:-2] + right * d[2:-1]) / np.where(flat, 1, total))
+    return plain_hermite(x, y, m, q)
+
+
+def plain_hermite(x: np.ndarray, y: np.ndarray, m: np.ndarray, q: float) -> float:
+    k = min(max(int(np.searchsorted(x, q, "right")) - 1, 0), len(x) - 2)
+    h = x[k + 1] - x[k]
+    t = (q - x[k]) / h
+    return float((2 * t**3 - 3 * t**2 + 1) * y[k] + (t**3 - 2 * t**2 + t) * h * m[k] + (3 * t**2 - 2 * t**3) * y[k + 1] + (t**3 - t**2) * h * m[k + 1])
+
+
+def test_splines_of_many_rows_equal_plain_ones(spark):
+    r = np.random.default_rng(3)
+    for n in range(3, 9):
+        x = np.cumsum(r.integers(1, 40, (200, n)), axis=1).astype(float)
+        y = np.where(r.random((200, 1)) < 0.2, 0.5, r.choice([0.1, 0.2, 0.4, 0.9], (200, n)))
+        q = x[:, 0] + r.random(200) * (x[:, -1] - x[:, 0])
+        q[:20] = x[:20, 1]
+        want = [plain_pchip(a, b, c) for a, b, c in zip(x, y, q)]
+        assert np.allclose(reconstruct.pchip(x, y, q), want, atol=1e-12)
+        if n >= 5:
+            assert np.allclose(reconstruct.akima(x, y, q), [plain_akima(a, b, c) for a, b, c in zip(x, y, q)], atol=1e-12)
+
+
+def test_spline_columns(spark):
+    """Numbers of points from none to eight, one side only, and null where there is no curve."""
+    shape = "array<struct<day:int,v:double>>"
+    sides = [(a, b) for a in range(5) for b in range(5)]
+    rows = [("2020-01-01", [(18262 - 3 * k - 1, 0.1 * k) for k in range(a)], [(18262 + 2 * k + 1, 0.3 - 0.1 * (k % 2)) for k in range(b)], a, b) for a, b in sides]
+    df = spark.createDataFrame(rows, f"d string, left {shape}, right {shape}, a int, b int").withColumn("date", F.to_date("d"))
+    for g in reconstruct.splines(df).collect():
+        points = sorted((p.day, p.v) for p in [*g.left, *g.right])
+        x, y = np.array([p[0] for p in points], float), np.array([p[1] for p in points])
+        curve = g.a and g.b
+        assert g.pchip == (pytest.approx(plain_pchip(x, y, 18262)) if curve and len(x) >= 3 else None)
+        assert g.akima == (pytest.approx(plain_akima(x, y, 18262)) if curve and len(x) >= 5 else None)
+
+
 def test_scores_and_weights(spark):
     assert spark.range(1).select(scalar.gap_score(F.lit(0.06))).first()[0] == pytest.approx(12)
     rows = spark.createDataFrame([(float(i), float(i) + 0.5, float(i) - 0.5, "A") for i in range(20)], "y double, a double, b double, mode string")
