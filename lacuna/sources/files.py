@@ -6,17 +6,24 @@ import csv
 import hashlib
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType, StructField, StructType
 
+from lacuna.staging import remove
+
 KEYS = ("anon_polygon_id", "date")
 VALUES = ("s2_ndvi", "s2_evi", "s2_ndwi", "landsat_ndvi", "landsat_evi", "landsat_ndwi", "modis_ndvi", "modis_evi", "era5_temp_c", "era5_precip_mm", "year", "doy", "primary_ndvi", "ndvi_climatology_mean", "ndvi_climatology_std", "n_reference_years")
 KINDS = {"train": (*KEYS, *VALUES, "ndvi_zscore", "status", "crop_type"), "test": (*KEYS, *VALUES, "crop_type", "is_synthetic_gap")}
 
 
+#: Files whose header is read at the same time.
+OPEN_FILES = 32
+
+
 def schema_of(kind: str) -> StructType:
     types = {"anon_polygon_id": StringType(), "date": DateType(), "status": StringType(), "crop_type": StringType(), "is_synthetic_gap": BooleanType()}
     return StructType([StructField(c, types.get(c, DoubleType())) for c in KINDS[kind]])
@@ -38,17 +45,22 @@ def _matching(spark: SparkSession, path: str) -> tuple[object, list]:
 
 
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header line, as CSV quotes it."""
+    """The files of each header line, as CSV quotes it. Only the first line of a file is read, of many files at a time: a task's reader
+    would have to go through a whole split for it."""
     store, places = _matching(spark, path)
-    out: dict[tuple[str, ...], list[str]] = {}
-    for place in places:
+
+    def first_line(place) -> str:
         stream = store.open(place)
         try:
-            line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+            return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
         finally:
             stream.close()
-        names = tuple(next(csv.reader([(line or "").lstrip("\ufeff").strip()]), []))
-        out.setdefault(names, []).append(place.toString())
+
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        for place, line in zip(places, pool.map(first_line, places)):
+            names = tuple(next(csv.reader([line.lstrip("\ufeff").strip()]), []))
+            out.setdefault(names, []).append(place.toString())
     return out
 
 
@@ -114,8 +126,8 @@ def write_submission(predictions: DataFrame, path: str, decimals: int | None = 1
     """id, date and prediction in key order; with fixed decimals, or (None) so that they read back as the same numbers. A row without
     a finite prediction is an error.
 
-    Written beside the path, read again and counted, and only then put in its place: whatever fails before, the old
-    output stays.
+    Written beside the path, read again and compared with what was meant, row by row in one grouping, and only then put in its place:
+    whatever fails before, the old output stays.
     """
     spark = predictions.sparkSession
     p = F.col("primary_ndvi_pred").cast("double")
@@ -123,8 +135,11 @@ def write_submission(predictions: DataFrame, path: str, decimals: int | None = 1
     text = F.format_string(f"%.{decimals}f", p) if decimals is not None else p.cast("string")
     rows = predictions.select("anon_polygon_id", F.date_format("date", "yyyy-MM-dd").alias("date"), F.when(bad, F.raise_error(F.lit("a prediction is no number"))).otherwise(text).alias("primary_ndvi_pred"))
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    rows.repartitionByRange("anon_polygon_id", "date").sortWithinPartitions("anon_polygon_id", "date").write.csv(beside, header=True)
-    if read_submission(spark, beside).where(F.expr("try_cast(primary_ndvi_pred as double)").isNotNull()).count() != predictions.count():
+    ordered = rows.repartitionByRange("anon_polygon_id", "date").sortWithinPartitions("anon_polygon_id", "date")
+    ordered.write.csv(beside, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    both = rows.withColumn("_n", F.lit(1)).unionAll(read_submission(spark, beside).select(*rows.columns, F.lit(-1)))
+    if not both.groupBy(*rows.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty():
+        remove(spark, beside)
         raise ValueError("what was written is not what was meant")
     place, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside))
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())

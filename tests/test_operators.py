@@ -247,3 +247,18 @@ def test_draws_do_not_depend_on_how_slots_are_cut(spark, monkeypatch):
         monkeypatch.setattr(evaluate, "SLOTS", slots)
         assert sorted(map(tuple, evaluate.draw_blocks(totals, ["v"], 7, 3).collect())) == want and all(x[1] == 25 for x in want)
     assert evaluate.draw_blocks(totals.limit(0), ["v"], 7, 3).count() == 0
+
+
+def test_submission_is_compared_before_it_takes_its_place(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out.csv")
+    rows = spark.createDataFrame([(" a", "2020-01-01", 0.25), ("b,c", "2020-01-02", -0.5), ('q"', "2020-01-02", 1.0)], "anon_polygon_id string, d string, primary_ndvi_pred double").withColumn("date", F.to_date("d"))
+    files.write_submission(rows, path, 4)
+    want = {(" a", "2020-01-01", "0.2500"), ("b,c", "2020-01-02", "-0.5000"), ('q"', "2020-01-02", "1.0000")}
+    assert {tuple(r) for r in files.read_submission(spark, path).collect()} == want
+    whole = files.read_submission
+    monkeypatch.setattr(files, "read_submission", lambda s, p: whole(s, p).withColumn("primary_ndvi_pred", F.lit("0.1000")))
+    with pytest.raises(ValueError, match="not what was meant"):
+        files.write_submission(rows, path, 4)
+    monkeypatch.undo()
+    assert {tuple(r) for r in files.read_submission(spark, path).collect()} == want
+    assert [p.name for p in tmp_path.iterdir()] == ["out.csv"]
