@@ -64,6 +64,41 @@ def looked_up(asked: DataFrame, known: DataFrame, spec: PanelSpec = SPEC) -> tup
     return found, marked.agg(F.count(F.lit(1)).alias("asked"), F.count("_known").alias("found"), (F.count(F.lit(1)) - F.count("_known")).alias("left_out"))
 
 
+def same_season(days: Column, side: int, spec: PanelSpec = SPEC) -> Column:
+    """Whether the nearest value, so many days before (side -1) or after (1) a row, lies in the row's year."""
+    d = F.col(spec.date)
+    return F.coalesce(F.year(F.date_add(d, (side * days).cast("int"))) == F.year(d), F.lit(False))
+
+
+def run_diagnostics(rows: DataFrame, prediction: str, members: dict[str, float], left: Column, right: Column, half_width: float, measured: bool) -> DataFrame:
+    """rows of a stored run with lower and upper (half_width to each side), disagreement and quality_flags, each of what the run does not know.
+
+    Disagreement is the members' deviation from their mean, weighted with their shares. It is there for all rows or, where one member of
+    one row is no number or there are not two members, for none: then it is 0 and the flags say so. left and right: whether there is context
+    on that side. measured: whether half_width comes from errors that were measured. The prediction is never clipped.
+    """
+    total = sum(members.values())
+    if any(w < 0 for w in members.values()) or (members and total <= 0):
+        raise ValueError("weights must be non-negative and not all zero")
+    whole = F.lit(len(members) >= 2)
+    for m in members:
+        whole = whole & _finite(F.col(m))
+    known = F.lit(False)
+    df = rows
+    if len(members) >= 2:
+        df = rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.bool_and(whole), F.lit(False)).alias("_known"))))  # one row
+        known = F.col("_known")
+    mean = sum((F.col(m) * (w / total) for m, w in members.items()), F.lit(0.0))
+    variance = sum((F.pow(F.col(m) - mean, F.lit(2.0)) * (w / total) for m, w in members.items()), F.lit(0.0))
+    rules = {
+        "interval_empirical_not_conformal": F.lit(True), "harmonization_not_applied": F.lit(True), "interval_width_from_documentation": F.lit(not measured), "model_disagreement_unavailable": ~known,
+        "no_same_season_context": ~left & ~right, "one_sided_context": left != right, "prediction_outside_physical_range": ~F.coalesce(F.col(prediction).between(-1, 1), F.lit(False)),
+    }
+    flags = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    out = df.withColumns({"lower": F.col(prediction) - half_width, "upper": F.col(prediction) + half_width, "disagreement": F.when(known, F.sqrt(variance)).otherwise(0.0), "quality_flags": flags})
+    return out.drop("_known")
+
+
 def series(panel: DataFrame, predictions: DataFrame, spec: PanelSpec = SPEC) -> DataFrame:
     """Every row of the panel with value, is_observed, is_reconstructed, lower, upper and method. A row that is neither observed nor
     predicted stays empty; an observed one stays as it is."""

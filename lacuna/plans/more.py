@@ -380,3 +380,20 @@ def panel_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(k % 17 == 0, float("inf")).when(k % 13 == 0, float("nan")).when(k % 11 != 0, F.col("o_totalprice").cast("double"))
     rows = P.read(spark, sf_dir, "orders").select(F.when(k % 50 == 0, " ").otherwise(F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))).alias("entity"), late.alias("date"), F.when(k % 31 != 0, F.col("o_orderpriority")).alias("category"), value.alias("target"), F.col("o_orderstatus").alias("s2"), F.when(k % 19 != 0, k % 11 < 2).alias("is_gap"))
     return hygiene.violations(rows, required=("doy",))
+
+
+_RUN_MEMBERS = {"pred_linear": 5.0, "pred_seasonal_crop": 3.0, "pred_mean_neighbors": 2.0}
+_RUN_MEAN = " + ".join(f"{w / 10} * {m}" for m, w in _RUN_MEMBERS.items())
+
+
+@query(f"""WITH {CONTEXT_SQL}, u AS (SELECT entity, date, 2 * ({_RUN_MEAN}) AS p, sqrt({" + ".join(f"{w / 10} * ({m} - ({_RUN_MEAN})) ** 2" for m, w in _RUN_MEMBERS.items())}) AS disagreement,
+    coalesce(year(date - CAST(left_days AS INT)) = y, false) AS l, coalesce(year(date + CAST(right_days AS INT)) = y, false) AS r FROM preds)
+  SELECT entity, date, {r6("p - 0.06 AS lower", "p + 0.06 AS upper", "disagreement")}, 'interval_empirical_not_conformal,harmonization_not_applied,interval_width_from_documentation' || CASE WHEN NOT l AND NOT r THEN ',no_same_season_context' WHEN l <> r THEN ',one_sided_context' ELSE '' END
+    || CASE WHEN p > 1 OR p < -1 THEN ',prediction_outside_physical_range' ELSE '' END AS quality_flags FROM u""")
+def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of three members whose prediction is twice their mean, so that some lie outside the physical range."""
+    rows = staged(_predicted(spark, sf_dir), "predicted")
+    mean = sum((w / 10 * F.col(m) for m, w in _RUN_MEMBERS.items()), F.lit(0.0))
+    left, right = compose.same_season(F.col("left_days"), -1), compose.same_season(F.col("right_days"), 1)
+    out = compose.run_diagnostics(rows.withColumn("prediction", 2 * mean), "prediction", _RUN_MEMBERS, left, right, 0.06, False)
+    return rounded(out.select("entity", "date", "lower", "upper", "disagreement", F.array_join("quality_flags", ",").alias("quality_flags")), "lower", "upper", "disagreement")

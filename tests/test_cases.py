@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lacuna.operators import anomaly, asof, cases
+from lacuna.operators import anomaly, asof, cases, compose
 
 START = dt.date(2020, 4, 1)
 
@@ -107,3 +107,24 @@ def test_empty_series_and_missing_context(spark):
     assert asof.with_context(near.where("entity = 'a'")).first().left_value == 0.4
     with pytest.raises(PySparkException, match="no observation of b"):
         asof.with_context(near).collect()
+
+
+def test_run_diagnostics(spark):
+    rows = spark.createDataFrame([("a", dt.date(2020, 5, 1), 0.2, 0.4, 0.3, 10, 20), ("b", dt.date(2020, 1, 3), 1.0, 1.4, 1.2, 10, None), ("c", dt.date(2020, 1, 3), 0.0, 0.0, 0.0, 10, 400)], "entity string, date date, x double, y double, p double, ld int, rd int")
+    left, right = compose.same_season(F.col("ld"), -1), compose.same_season(F.col("rd"), 1)
+    shared = ["interval_empirical_not_conformal", "harmonization_not_applied"]
+
+    def found(df, members, measured=True):
+        return {r.entity: r for r in compose.run_diagnostics(df, "p", members, left, right, 0.1, measured).collect()}
+
+    out = found(rows, {"x": 3.0, "y": 1.0})
+    assert out["a"].disagreement == pytest.approx((0.75 * 0.05**2 + 0.25 * 0.15**2) ** 0.5) and out["a"].quality_flags == shared
+    assert out["b"].quality_flags == [*shared, "no_same_season_context", "prediction_outside_physical_range"] and out["b"].upper == pytest.approx(1.3)
+    assert out["c"].quality_flags == [*shared, "no_same_season_context"]
+    for df, members in ((rows, {"x": 1.0}), (rows, {}), (rows.withColumn("y", F.when(F.col("entity") != "c", F.col("y"))), {"x": 1.0, "y": 1.0}), (rows.withColumn("y", F.lit(float("nan"))), {"x": 1.0, "y": 1.0})):
+        out = found(df, members, False)
+        assert all(r.disagreement == 0 and r.quality_flags[2:4] == ["interval_width_from_documentation", "model_disagreement_unavailable"] for r in out.values())
+    assert "one_sided_context" in found(rows.withColumn("date", F.lit(dt.date(2020, 12, 31))), {"x": 1.0, "y": 1.0})["a"].quality_flags
+    assert found(rows.where("false"), {"x": 1.0, "y": 1.0}) == {}
+    with pytest.raises(ValueError):
+        found(rows, {"x": 1.0, "y": -1.0})

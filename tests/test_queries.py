@@ -8,7 +8,7 @@ from lacuna.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["panel_profile", "temporal_block", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations", "climatology_loyo", "anomaly_points_baseline", "same_date_excl_self", "fold_all_modes", "composed_prediction", "coverage_out_of_fold", "quality_report", "requested_run_slots", "run_templates", "matched_templates", "fields_meeting", "fields_in_box", "sites_in_fields", "robust_scaler", "doy_profile", "synthetic_cases", "year_audit", "year_audit_alignment", "expert_mixture", "column_importance", "pruned_weights", "saved_priors", "asked_warnings", "panel_violations"]
+CHOSEN = ["panel_profile", "temporal_block", "gap_run_slots", "robust_priors", "reconstruction_report", "events_advanced", "metric_grouping_sets", "donor_pairs", "centred_window", "submission_violations", "climatology_loyo", "anomaly_points_baseline", "same_date_excl_self", "fold_all_modes", "composed_prediction", "coverage_out_of_fold", "quality_report", "requested_run_slots", "run_templates", "matched_templates", "fields_meeting", "fields_in_box", "sites_in_fields", "robust_scaler", "doy_profile", "synthetic_cases", "year_audit", "year_audit_alignment", "expert_mixture", "column_importance", "pruned_weights", "saved_priors", "asked_warnings", "panel_violations", "run_diagnostics"]
 
 
 def plain(v):
