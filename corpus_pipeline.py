@@ -31,9 +31,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates. Rows that repeat an id as a whole
-    count as one; a row with a null id stays only if its whole group has none. Near duplicates here have a
-    Jaccard similarity of at least 0.8 in word 5-grams, not op8's SimHash distance."""
-    return simhash.keep_first(docs, grouped=near_copies.near_copies)
+    count as one; a row with a null id stays only if its whole group has none. Near duplicates are linked by op8's SimHash
+    (at most three differing bits) or, what so small a distance misses, by a Jaccard similarity of at least 0.8 in word 5-grams."""
+    return simhash.keep_first(docs, grouped=near_copies.copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

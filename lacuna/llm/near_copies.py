@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm import common
-from lacuna.llm.common import few, maybe_in, settled, ship, staged
+from lacuna.llm.common import few, maybe_in, settled, ship, staged, text_slices
 from lacuna.llm.graph import components
-from lacuna.llm.simhash import labelled
+from lacuna.llm.simhash import fingerprint, labelled, links
 
 WORDS, BANDS, ROWS = 5, 32, 5
 #: Similarity, as a fraction of whole numbers.
@@ -69,27 +69,34 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
-def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bands: bool = False) -> DataFrame:
-    """(id, fp bigint: the node), and with_bands (n: how many shingles, key: a hash of the text, bands), per row of
-    docs. No shuffle."""
+def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bands: bool = False, with_fingerprint: bool = False) -> DataFrame:
+    """(id, fp bigint: the node), with_bands (n: how many shingles, key: a hash of the text, bands), and with_fingerprint
+    (sim: the SimHash as in simhash.py), per row of docs. No shuffle."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, fps, sizes, made = batch.column(1), [], [], []
-            for i in range(batch.num_rows):
-                found = shingles(texts[i].as_py())
-                fps.append(node(found))
-                sizes.append(len(found))
-                made.append(np.array(bands(found) if with_bands else [], np.uint64).view(np.int64))
-            columns, names = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"]
-            if with_bands:
-                columns += [pa.array(sizes, pa.int32()), batch.column(2), pa.array(made, pa.list_(pa.int64()))]
-                names += ["n", "key", "bands"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for start, texts in text_slices(batch, 1):
+                fps, sizes, made, sims = [], [], [], []
+                for text in texts:
+                    found = shingles(text)
+                    fps.append(node(found))
+                    sizes.append(len(found))
+                    if with_bands:
+                        made.append(np.array(bands(found), np.uint64).view(np.int64))
+                    if with_fingerprint:
+                        sims.append(fingerprint(text))
+                columns, names = [batch.column(0).slice(start, len(texts)), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"]
+                if with_bands:
+                    columns += [pa.array(sizes, pa.int32()), batch.column(2).slice(start, len(texts)), pa.array(made, pa.list_(pa.int64()))]
+                    names += ["n", "key", "bands"]
+                if with_fingerprint:
+                    columns.append(pa.array(np.array(sims, np.uint64).view(np.int64)))
+                    names.append("sim")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    more = ", n int, key bigint, bands array<bigint>" if with_bands else ""
+    more = (", n int, key bigint, bands array<bigint>" if with_bands else "") + (", sim bigint" if with_fingerprint else "")
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key")).mapInArrow(run, f"id {kind}, fp bigint{more}")
 
 
@@ -98,8 +105,9 @@ def _sets(docs: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x.as_py()).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["fp", "found"])
+            for start, texts in text_slices(batch, 1, 1_000_000):
+                made = [shingles(x).tobytes() for x in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(made, pa.binary())], names=["fp", "found"])
 
     texts, n = docs.select(F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text")), keys.count()
     if n > common.BROADCAST_ROWS:
@@ -257,3 +265,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = staged(nodes(docs, id_col, text_col, with_bands=True), "nodes")
     return labelled(rows.select("id", "fp"), settled(docs.sparkSession, "node-roots", lambda: roots_of(docs, rows, text_col)), id_col)
+
+
+def _same_fingerprints(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between the nodes that SimHash joins: each node of a component of fingerprints and its least one.
+    rows: nodes() with fingerprints."""
+    both = staged(rows.select("fp", "sim").distinct(), "node-fingerprints")
+    roots = settled(rows.sparkSession, "fingerprint-roots", lambda: components(links(staged(both.select("sim").distinct().toDF("fp"), "fingerprints-once"), radius)))
+    rooted = staged(both.join(few(roots.toDF("sim", "root"), roots.count()), "sim", "left").select("fp", F.coalesce("root", "sim").alias("root")), "node-components")
+    shared = staged(rooted.groupBy("root").agg(F.min("fp").alias("b"), F.max("fp").alias("hi")).where("b <> hi").select("root", "b"), "shared-components")
+    return rooted.join(few(shared, shared.count()), "root").where("fp <> b").select(F.col("fp").alias("a"), "b")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """As near_copies, but SimHash links count as well: op8's fingerprints that differ in at most `radius` bits. A component
+    is what links of both kinds reach."""
+    rows = staged(nodes(docs, id_col, text_col, with_bands=True, with_fingerprint=True), "nodes")
+
+    def build() -> DataFrame:
+        edges = staged(_same_fingerprints(rows, radius), "fingerprint-edges")
+        roots = roots_of(docs, rows, text_col)
+        return roots if edges.isEmpty() else _joined(roots, edges)
+
+    return labelled(rows.select("id", "fp"), settled(docs.sparkSession, "node-roots", build), id_col)

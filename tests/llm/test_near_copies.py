@@ -103,3 +103,19 @@ def test_recall_on_hard_groups(spark):
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if want[i] == want[j]]
     assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs) > 100
     assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+
+
+def test_fingerprints_link_too(spark):
+    """The pipeline's stage joins what op8's fingerprints link, and what only word 5-grams do; a chain may take both."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    new = [" ".join(f"w{r.randrange(9000)}" for _ in range(40)) for _ in range(3)]
+    far = [f"v{r.randrange(5000)}" for _ in range(200)]
+    edit = [w if k not in (20, 80, 140) else "edit" for k, w in enumerate(far)]
+    texts = [*("a b c d e f g " * 200 + x for x in new[:2]), " ".join(far), " ".join(edit), new[2]]
+    bits = [simhash.fingerprint(t) for t in texts]
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 < (bits[2] ^ bits[3]).bit_count() and plain_roots(texts) == [0, 1, 2, 2, 4]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, df, "").collect()) == [0, 2, 4]
+    assert corpus_pipeline.keep_one_of_each(spark, df.limit(0), "").count() == 0
