@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, Nume
 
 from lacuna.operators.asof import calendar_runs
 from lacuna.sources.panel import SPEC, PanelSpec
+from lacuna.staging import staged
 
 SUBMISSION = ("anon_polygon_id", "date", "primary_ndvi_pred")
 
@@ -113,21 +114,24 @@ def submission_violations(submission: DataFrame, gaps: DataFrame, examples: int
         return submission.sparkSession.createDataFrame([(kind, 1, [",".join(columns)])], "type string, n bigint, examples array<string>")
     s = submission.select(F.col(SUBMISSION[0]).alias("id"), F.col(SUBMISSION[1]).alias("raw"), F.col(SUBMISSION[2]).cast("string").alias("p"))
     day = F.when(F.col("raw").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_to_date(raw, 'yyyy-MM-dd')"))
-    s = s.withColumns({"day": day, "key": F.concat_ws("|", "id", "raw"), "low": F.lower(F.trim("p"))})
+    # both tables are read several times, so they are derived once
+    s = staged(s.withColumns({"day": day, "key": F.concat_ws("|", "id", "raw"), "low": F.lower(F.trim("p"))}), "submission")
+    asked = staged(gaps.select(F.col("anon_polygon_id").alias("id"), F.col("date").alias("day")).distinct(), "asked")
     number = F.expr("try_cast(p as double)")
     nan = F.col("p").isNull() | F.col("low").isin("nan", "na", "none", "null", "")
     inf = ~nan & F.col("low").rlike(r"^[+-]?inf")
     text = ~nan & ~inf & number.isNull()
     bad = {"invalid_date": F.col("day").isNull(), "nan_prediction": nan, "inf_prediction": inf, "string_prediction": text}
-    found = [s.where(rule).select(F.lit(kind).alias("type"), "key") for kind, rule in bad.items()]
+    found = [s.select(F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(kind)) for kind, rule in bad.items()]))).alias("type"), "key")]
     repeats = s.groupBy("id", "raw", "key").count().where("count > 1")
     found.append(repeats.select(F.lit("duplicate_key"), "key", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))).alias("k")).drop("k"))
     own = s.where("day is not null").select("id", "day").distinct()
-    asked = gaps.select(F.col("anon_polygon_id").alias("id"), F.col("date").alias("day")).distinct()
-    found += [a.join(b, ["id", "day"], "left_anti").select(F.lit(kind), F.concat_ws("|", "id", F.col("day").cast("string"))) for kind, a, b in (("missing_key", asked, own), ("extra_key", own, asked))]
+    met = own.withColumn("_own", F.lit(True)).join(asked.withColumn("_asked", F.lit(True)), ["id", "day"], "full")
+    apart = F.when(F.col("_own").isNull(), "missing_key").when(F.col("_asked").isNull(), "extra_key")
+    found.append(met.select(apart.alias("type"), F.concat_ws("|", "id", F.col("day").cast("string")).alias("key")).where("type is not null"))
     rows = reduce(DataFrame.unionAll, found)
     # the first examples per kind come from partial top lists, not from whole groups
-    ranked = rows.groupBy("type", "key").count()
+    ranked = staged(rows.groupBy("type", "key").count(), "violations")
     total = ranked.groupBy("type").agg(F.sum("count").alias("n"))
     from pyspark.sql import Window
 

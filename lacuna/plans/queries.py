@@ -846,7 +846,7 @@ def robust_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'inf_prediction', count(*) FROM k WHERE h >= '0c' AND h < '10' UNION ALL SELECT 'invalid_date', count(*) FROM k WHERE h >= 'fc' UNION ALL SELECT 'row_count_mismatch', 1) WHERE n > 0""")
 def submission_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A submission with some rows left out, some dates broken and some predictions that are no numbers."""
-    gaps = P.hash_gaps(P.nation_day(spark, sf_dir)).where("hidden").select(F.col("entity").alias("anon_polygon_id"), "date")
+    gaps = staged(P.hash_gaps(P.nation_day(spark, sf_dir)).where("hidden").select(F.col("entity").alias("anon_polygon_id"), "date"), "gaps")
     h = P.hash_byte("anon_polygon_id", "date", 3)
     rows = gaps.where(h >= "04")
     p = F.when(h < "08", "nan").when(h < "0c", "abc").when(h < "10", "-inf").otherwise("0.5")

@@ -233,3 +233,20 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     want = events.tumbling(rows.withColumn("ts", F.col("ts").cast("timestamp")))
     assert sorted(map(str, spark.table("tumbling").select("window_start", "event_type", "n").collect())) == sorted(map(str, want.select("window_start", "event_type", "n").collect()))
+
+
+def test_submissions_are_derived_once(spark, tmp_path):
+    """What a submission and its gaps come from is read once each, however many rules look at them."""
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    gaps = spark.createDataFrame([("a", dt.date(2020, 1, 1)), ("b", dt.date(2020, 1, 2)), ("c", dt.date(2020, 1, 3))], "anon_polygon_id string, date date").mapInArrow(seen, "anon_polygon_id string, date date")
+    names = ", ".join(f"{c} string" for c in hygiene.SUBMISSION)
+    rows = spark.createDataFrame([("a", "2020-01-01", "nan"), ("a", "2020-01-01", "1"), ("d", "2020-01-03", "x"), (None, "x", "inf")], names).mapInArrow(seen, names)
+    got = {r.type: (r.n, r.examples) for r in hygiene.submission_violations(rows, gaps).collect()}
+    assert got == {"nan_prediction": (1, ["a|2020-01-01"]), "string_prediction": (1, ["d|2020-01-03"]), "inf_prediction": (1, ["x"]), "invalid_date": (1, ["x"]), "duplicate_key": (1, ["a|2020-01-01"]), "missing_key": (2, ["b|2020-01-02", "c|2020-01-03"]), "extra_key": (1, ["d|2020-01-03"]), "row_count_mismatch": (1, ["got 4, expected 3"])}
+    assert n.value == 7
