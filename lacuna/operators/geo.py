@@ -19,6 +19,8 @@ from lacuna.staging import staged
 
 TYPE = "array<array<array<array<double>>>>"
 MOST_VERTICES, LEAST_HA, MOST_HA = 10_000, 0.1, 50_000.0
+#: A geometry of at most so many edges is tested for crossings edge by edge, without a grid.
+SMALL = 16
 #: WGS 84 and UTM. Fixed values.
 SEMI_MAJOR, FLATTENING, UTM_SCALE = 6378137.0, 1 / 298.257223563, 0.9996
 
@@ -62,33 +64,35 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon)
 
 
-def _project(point: Column, zone: Column) -> Column:
-    """Easting and northing without false offsets, by Krueger's series to the fourth order of the third flattening."""
+def _projected(ring: Column, zone: Column) -> Column:
+    """Eastings and northings (x, y) of a ring's points without false offsets, by Krueger's series to the fourth order of the third
+    flattening. Lambdas compute what they name twice, twice; so each step's numbers are elements of the next one's array."""
     n = FLATTENING / (2 - FLATTENING)
     a = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
     e = 2 * math.sqrt(n) / (1 + n)
-    lon = F.radians(F.get(point, 0) - (zone * 6 - 183))
-    sin = F.sin(F.radians(F.get(point, 1)))
-    t = F.sinh(F.atanh(sin) - e * F.atanh(e * sin))
-    xi, eta = F.atan2(t, F.cos(lon)), F.atanh(F.sin(lon) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, c in enumerate(alpha, 1):
-        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.struct((UTM_SCALE * a * x).alias("x"), (UTM_SCALE * a * y).alias("y"))
+    steps = F.transform(ring, lambda p: F.struct(F.radians(F.get(p, 0) - (zone * 6 - 183)).alias("lon"), F.sin(F.radians(F.get(p, 1))).alias("sin")))
+    steps = F.transform(steps, lambda p: F.struct(p["lon"].alias("lon"), F.sinh(F.atanh(p["sin"]) - e * F.atanh(e * p["sin"])).alias("t")))
+    steps = F.transform(steps, lambda p: F.struct(F.atan2(p["t"], F.cos(p["lon"])).alias("xi"), F.atanh(F.sin(p["lon"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta")))
+
+    def place(p: Column) -> Column:
+        x, y = p["eta"], p["xi"]
+        for j, c in enumerate(alpha, 1):
+            x = x + c * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            y = y + c * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        return F.struct((UTM_SCALE * a * x).alias("x"), (UTM_SCALE * a * y).alias("y"))
+
+    return F.transform(steps, place)
 
 
 def area_hectares(geometry: Column, zone: Column) -> Column:
     """Outer rings less holes, in the UTM zone's plane."""
 
-    def ring(r: Column) -> Column:
-        return F.abs(_shoelace(F.transform(r, lambda p: _project(p, zone)))) / 2
-
-    def polygon(p: Column) -> Column:
-        return F.aggregate(F.transform(p, ring), F.lit(0.0), lambda s, x: s - x) + 2 * ring(F.get(p, 0))
+    def polygon(areas: Column) -> Column:
+        return F.aggregate(areas, F.lit(0.0), lambda s, x: s - x) + 2 * F.get(areas, 0)
 
-    return F.aggregate(F.transform(geometry, polygon), F.lit(0.0), lambda s, x: s + x) / 10_000
+    areas = F.transform(geometry, lambda p: F.transform(p, lambda r: F.abs(_shoelace(_projected(r, zone))) / 2))
+    return F.aggregate(F.transform(areas, polygon), F.lit(0.0), lambda s, x: s + x) / 10_000
 
 
 def geometry_hash(geometry: Column) -> Column:
@@ -106,14 +110,24 @@ def crossings(rows: DataFrame, key: str, geometry: str) -> DataFrame:
     """key, r, i, s, j, x, y: points where edge i of ring r meets edge j of ring s (r, i before s, j) other than at an end that they
     share as neighbours. Rings and edges are numbered from 0 through the whole geometry; rings are closed, no point follows itself.
 
-    Edges are joined by the cells of a grid of the geometry's own size, about a dozen in each.
+    A geometry of at most SMALL edges has its pairs made in its own row, without a shuffle. The edges of others are joined by the cells
+    of a grid of the geometry's own size, about a dozen in each.
     """
     rings = rows.select(F.col(key).alias("key"), F.col(geometry).alias("g")).withColumn("all", edges_of(F.col("g"))).where("size(all) > 0")
-    rings = rings.withColumn("size", F.pow(F.lit(2.0), level_of("all"))).select("key", "size", F.posexplode(F.flatten("g")).alias("r", "ring"))
-    edges = rings.select("key", "size", "r", (F.size("ring") - 1).alias("n"), F.posexplode(edges_of(F.array(F.array("ring")))).alias("i", "e"))
+    large = rings.where(F.size("all") > SMALL).withColumn("size", F.pow(F.lit(2.0), level_of("all"))).select("key", "size", F.posexplode(F.flatten("g")).alias("r", "ring"))
+    edges = large.select("key", "size", "r", (F.size("ring") - 1).alias("n"), F.posexplode(edges_of(F.array(F.array("ring")))).alias("i", "e"))
     placed = staged(edge_cells(edges).select("key", "cx", "cy", "r", "i", "n", "e"), "edge-cells")
     one, two = placed.toDF("key", "cx", "cy", "r", "i", "n", "e"), placed.toDF("key", "cx", "cy", "s", "j", "_n", "f")
-    both = one.join(two, ["key", "cx", "cy"]).where((F.col("r") < F.col("s")) | (F.col("r") == F.col("s")) & (F.col("i") < F.col("j")))
+    names = ["key", "r", "i", "n", "e", "s", "j", "f"]
+    both = one.join(two, ["key", "cx", "cy"]).where((F.col("r") < F.col("s")) | (F.col("r") == F.col("s")) & (F.col("i") < F.col("j"))).select(names)
+
+    def numbered(ring: Column, r: Column) -> Column:
+        return F.transform(edges_of(F.array(F.array(ring))), lambda e, i: F.struct(r.alias("r"), i.alias("i"), (F.size(ring) - 1).alias("n"), e.alias("e")))
+
+    small = rings.where(F.size("all") <= SMALL).select("key", F.flatten(F.transform(F.flatten("g"), numbered)).alias("edges"))
+    firsts = small.select("key", "edges", F.posexplode("edges").alias("k", "a"))
+    pairs = firsts.select("key", "a", F.explode(F.slice("edges", F.col("k") + 2, F.size("edges"))).alias("b"))
+    both = both.unionAll(pairs.select("key", "a.r", "a.i", "a.n", "a.e", F.col("b.r").alias("s"), F.col("b.i").alias("j"), F.col("b.e").alias("f")))
     e, f = F.col("e"), F.col("f")
     after, before = F.col("j") == F.col("i") + 1, (F.col("i") == 0) & (F.col("j") == F.col("n") - 1)
     same = F.col("r") == F.col("s")
@@ -215,12 +229,11 @@ def repaired(rows: DataFrame, key: str, geometry: str) -> DataFrame:
     meets itself: it is cut where it does into loops, which by parity are outer rings and holes. Other rows have none."""
     ship(rows.sparkSession)
     met = staged(crossings(rows, key, geometry), "crossings")
-    apart = F.max(F.col("r") != F.col("s"))
-    one = met.select("key", F.struct("r", "i", "x", "y").alias("p")).unionAll(met.select("key", F.struct(F.col("s").alias("r"), F.col("j").alias("i"), "x", "y").alias("p")))
+    apart = (F.col("r") != F.col("s")).alias("apart")
+    one = met.select("key", apart, F.struct("r", "i", "x", "y").alias("p")).unionAll(met.select("key", apart, F.struct(F.col("s").alias("r"), F.col("j").alias("i"), "x", "y").alias("p")))
     # a geometry's crossings are one row, as its points are
-    cuts = one.groupBy("key").agg(F.collect_set("p").alias("cuts"))
-    mixed = met.groupBy("key").agg(apart.alias("mixed"))
-    wanted = rows.select(F.col(key).alias("key"), _rings(F.col(geometry)).alias("rings")).join(cuts, "key").join(mixed, "key")
+    cuts = one.groupBy("key").agg(F.collect_set("p").alias("cuts"), F.max("apart").alias("mixed"))
+    wanted = rows.select(F.col(key).alias("key"), _rings(F.col(geometry)).alias("rings")).join(cuts, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +267,8 @@ def checked(rows: DataFrame, geojson: str) -> DataFrame:
     A ring that meets itself is cut into loops (repaired is true then, and vertices, area and hash are those of what
     was made of it); different rings that cross have the code INVALID_GEOMETRY, as has what keeps no area.
     """
+    # parsing and areas are far more work than reading: a few large parts of a table would leave cores idle
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
     df = rows.withColumn("_g", from_geojson(F.col(geojson))).withColumns({"_t": F.col("_g.type"), "geometry": F.col("_g.coordinates")})
     # a point that follows itself adds nothing
     once = F.transform("geometry", lambda p: F.transform(p, lambda r: F.filter(r, lambda q, k: (k == 0) | (q != F.coalesce(F.get(r, k - 1), q)) | F.get(r, k - 1).isNull())))

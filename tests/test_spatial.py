@@ -183,3 +183,23 @@ def test_many_vertices_take_little_time(spark):
     start = time.time()
     x = geo.checked(df, "g").first()
     assert x.repaired and x.code is None and time.time() - start < 60
+
+
+def test_small_geometries_need_no_grid(spark, monkeypatch):
+    """Crossings of small geometries are made in their own rows, and are those of the grid; areas compute no step of the projection twice."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [(k, [[[*(p := [[r.randrange(6) / 2, r.randrange(6) / 2] for _ in range(7)]), p[0]]]]) for k in range(60)]
+    rows = [(k, [[[q for i, q in enumerate(g[0][0]) if not i or q != g[0][0][i - 1]]]]) for k, g in rows]
+    df = spark.createDataFrame(rows, KIND)
+    cells = []
+    kept = geo.staged
+    monkeypatch.setattr(geo, "staged", lambda d, name: (cells.append((x := kept(d, name)).count()), x)[1])
+    found = []
+    for small in (geo.SMALL, 0):
+        monkeypatch.setattr(geo, "SMALL", small)
+        found.append({tuple(x) for x in geo.crossings(df, "k", "g").collect()})
+    assert found[0] == found[1] and len(found[0]) > 100 and cells[0] == 0 < cells[1]
+    plan = df.select(geo.area_hectares(F.col("g"), F.lit(31)).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("ATANH") <= 3
