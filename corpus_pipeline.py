@@ -2,7 +2,7 @@
 
 quality rules -> line dedup -> near-dedup -> benchmark decontamination -> BPE encoding. Each stage
 works on all that its predecessor kept, is written as Parquet and read again; all but the last return
-the columns of `documents`.
+the columns of `documents`. Stages with Python code bound the session's Arrow batches by bytes, unless it does so itself.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import bpe_automaton, decontamination, line_dedup, near_copies, quality, simhash
+from lacuna.llm.common import bound_batches
 from lacuna.llm.queries import tokenizer_path
 from lacuna.staging import new_path, remove, temporary
 
@@ -33,16 +34,19 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each group of near duplicates. Rows that repeat an id as a whole
     count as one; a row with a null id stays only if its whole group has none. Near duplicates are linked by op8's SimHash
     (at most three differing bits) or, what so small a distance misses, by a Jaccard similarity of at least 0.8 in word 5-grams."""
+    bound_batches(spark)
     return simhash.keep_first(docs, grouped=near_copies.copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of `benchmark`."""
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their token ids and the hashes of the encoding and of what it decodes to."""
+    bound_batches(spark)
     return bpe_automaton.encode(docs, tokenizer_path(), ids=True)
 
 

@@ -122,8 +122,9 @@ class Automaton:
         self.number = np.array(number, np.int32)
 
     def _scanner(self, labels: list[bytes]) -> None:
-        """step: by row and byte the next node of a trie of the tokens, with its rows of longest ends (Aho and Corasick);
-        row: the row of a node; found: the longest token that ends at a node; shorter: of a token, the next one that ends with it."""
+        """page, step: the next node of a trie of the tokens by a node's row and a byte, with its rows of longest ends (Aho and Corasick). A row
+        is 16 pages of 16 bytes each; it shares all pages with the row of its longest end but those where it has children
+        of its own, so the table takes an eighth of one of whole rows. row: the row of a node; found: the longest token that ends at a node; shorter: of a token, the next one that ends with it."""
         token = {labels[t]: t for t in range(self.start) if self.born[t] >= -1}
         names = sorted({x[:k] for x in token for k in range(1, len(x) + 1)}, key=lambda x: (len(x), x))
         node = {x: i + 1 for i, x in enumerate(names)}
@@ -136,7 +137,8 @@ class Automaton:
         inner = np.unique(parent)
         self.row = np.zeros(n, np.int64)
         self.row[inner] = np.arange(len(inner))
-        self.step = np.zeros((len(inner), 256), np.int32)
+        self.page = np.zeros((len(inner), 16), np.int32)  # page 0 leads back to the root
+        pages, n_pages = [np.zeros((1, 16), np.int32)], 1
         self.found, fail = own.copy(), np.zeros(n, np.int64)
         leaf = np.ones(n, bool)
         leaf[inner] = False
@@ -144,20 +146,30 @@ class Automaton:
         for d in range(depth[-1] + 1):
             level = np.arange(bounds[d], bounds[d + 1])
             if d > 1:
-                fail[level] = self.step[self.row[fail[parent[level]]], byte[level]]
+                fail[level] = self._next(fail[parent[level]], byte[level])
             if d:
                 self.found[level] = np.where(own[level] >= 0, own[level], self.found[fail[level]])
                 end = level[leaf[level]]
                 self.row[end] = self.row[fail[end]]
                 rest = level[~leaf[level]]
-                self.step[self.row[rest]] = self.step[self.row[fail[rest]]]
+                self.page[self.row[rest]] = self.page[self.row[fail[rest]]]
             below = np.arange(bounds[d + 1], bounds[d + 2]) if d < depth[-1] else np.zeros(0, np.int64)
-            self.step[self.row[parent[below]], byte[below]] = below
+            if len(below):
+                at, which = np.unique(self.row[parent[below]] * 16 + (byte[below] >> 4), return_inverse=True)
+                made = self.step[self.page.reshape(-1)[at]] if d else np.zeros((len(at), 16), np.int32)
+                made[which, byte[below] & 15] = below
+                self.page.reshape(-1)[at] = np.arange(n_pages, n_pages + len(at))
+                pages, n_pages = [*pages, made], n_pages + len(at)
+                self.step = np.concatenate(pages)
         self.shorter = np.full(self.start, -1, np.int32)
         ends = np.flatnonzero(own >= 0)
         self.shorter[own[ends]] = self.found[fail[ends]]
         self.size = np.array([len(x) for x in labels], np.int64)
 
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        page = self.page.reshape(-1)[self.row[node] * 16 + (byte >> 4)]
+        return self.step.reshape(-1)[page * 16 + (byte & 15)]
+
     def follows(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether each state has the arc of the token beside it."""
         number = self.number[token]
@@ -175,11 +187,10 @@ class Automaton:
         start, left = begins[order], sizes[order]
         left = left[::-1]
         node = np.zeros(len(order), np.int32)
-        step = self.step.reshape(-1)
         for i in range(int(left[-1]) if len(left) else 0):
             n = len(order) - int(np.searchsorted(left, i, side="right"))  # words of more than i bytes
             at = start[:n] + i
-            node = step[self.row[node[:n]] * 256 + text[at]]
+            node = self._next(node[:n], text[at])
             token = self.found[node]
             back = at - self.size[token]
             while True:
@@ -212,11 +223,11 @@ class Automaton:
 
     def _encode_long(self, text: np.ndarray, begin: int, size: int, last: np.ndarray, rank: np.ndarray) -> None:
         """The same steps for one long word, byte by byte."""
-        step, row, found, shorter, length = memoryview(self.step.reshape(-1)), memoryview(self.row), memoryview(self.found), memoryview(self.shorter), memoryview(self.size)
+        page, step, row, found, shorter, length = memoryview(self.page.reshape(-1)), memoryview(self.step.reshape(-1)), memoryview(self.row), memoryview(self.found), memoryview(self.shorter), memoryview(self.size)
         arcs: dict[int, bool] = {}
         node, path, count = 0, [0] * size, [0] * size
         for i, b in enumerate(text[begin : begin + size].tobytes()):
-            node = step[row[node] * 256 + b]
+            node = step[page[row[node] * 16 + (b >> 4)] * 16 + (b & 15)]
             token = found[node]
             while True:
                 back = i - length[token]
@@ -293,7 +304,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sha = encoder(path, known), hashlib.sha256
         for batch in batches:
-            for start, texts in text_slices(batch, 1, 1_000_000):
+            for start, texts in text_slices(batch, 1, 500_000):
                 got, counts = enc.encode(texts)
                 a = [sha(x).hexdigest() for x in enc.written(got, counts)]
                 b = [sha(x).hexdigest() for x in enc.decoded(got, counts)]

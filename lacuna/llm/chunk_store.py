@@ -7,7 +7,6 @@ numbers, and its ids are gathered from the array at once. Only chunks that were
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 
@@ -18,28 +17,61 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     """The pieces flat[start : start + size], one after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(total)
+    return flat[at]
+
+
+class _Numbers(dict):
+    """The number of each kept chunk; one not met before gets the next, and is fresh. Long ones are numbered below zero and stand in `once`
+    behind what else does, with the space before them: they are for the texts at hand alone."""
+
+    def __init__(self, names: list[str], longest: int):
+        super().__init__(zip(names, range(len(names))))
+        self.longest, self.next = longest, len(names)
+        self.fresh: list[str] = []
+        self.long: list[str] = []
+        self.once: list[str | int] = []
+
+    def __missing__(self, chunk: str) -> int:
+        if len(chunk) > self.longest:
+            self.once.append(" " + chunk)
+            self.long.append(chunk)
+            n = -len(self.once)
+        else:
+            self.fresh.append(" " + chunk)
+            n, self.next = self.next, self.next + 1
+        self[chunk] = n
+        return n
 
 
-class _Places(dict):
-    """The place of each word among the distinct ones."""
+class _Room:
+    """An array that grows at its end; `n` of it are kept, what is put behind them is overwritten next time."""
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
+    def __init__(self, kind: type):
+        self.all, self.n = np.zeros(1024, kind), 0
+
+    def put(self, at: int, values: np.ndarray) -> int:
+        """Where the values end."""
+        end = at + len(values)
+        if end > len(self.all):
+            self.all = np.concatenate([self.all[:at], np.zeros(end + end // 4 - at, self.all.dtype)])
+        self.all[at:end] = values
+        return end
 
 
 class ChunkStore:
     """encode_words takes distinct pre-tokens and returns their ids one after the other, and how many each has.
 
-    Beyond KEEP chunks those that were met but once, and then the rarest, are forgotten."""
+    Beyond KEEP chunks those that were met but once, and then the rarest, are forgotten. A larger store finds few chunks more
+    and each look into it is slower, as it leaves the processor's cache."""
 
-    KEEP, LONGEST = 400_000, 64
+    KEEP, LONGEST = 150_000, 64
 
     def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.splitter, self.encode_words = splitter, encode_words
-        self.numbers: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.met = (np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
+        self.numbers = _Numbers([], self.LONGEST)
+        self.flat, self.starts, self.sizes, self.met = _Room(np.int32), _Room(np.int64), _Room(np.int32), _Room(np.int32)
 
     def _pieces(self, fresh: list[str], once: list[str]) -> tuple[list[str], np.ndarray]:
         """(pieces of all, up to which each goes). Chunks with the space before them fall into the same pieces when they stand
@@ -56,9 +88,10 @@ class ChunkStore:
     def _encoded(self, fresh: list[str], once: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, sizes) of chunks."""
         pieces, ends = self._pieces(fresh, once)
-        place = _Places()
+        distinct = list(dict.fromkeys(pieces))
+        place = dict(zip(distinct, range(len(distinct))))
         words = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        flat, sizes = self.encode_words(list(place))
+        flat, sizes = self.encode_words(distinct)
         starts = np.cumsum(sizes) - sizes
         total = np.concatenate([[0], np.cumsum(sizes[words])])
         return gather(flat, starts[words], sizes[words]), np.diff(total[ends])
@@ -66,41 +99,34 @@ class ChunkStore:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
         numbers, splitter = self.numbers, self.splitter
-        parts: list[tuple[int, str | int, list[str]]] = []  # text, its first chunk or a special id, the other chunks
+        numbers.fresh, numbers.long, numbers.once = fresh, long, once = [], [], []
+        known = numbers.__getitem__
+        kept = self.sizes.n
+        rows: list[np.ndarray] = []
+        per_text = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             for plain, special in splitter.parts(text):
                 if plain:
-                    head, *rest = splitter.chunks(plain)
-                    parts.append((i, head, rest))
+                    chunks = splitter.chunks(plain)
+                    row = np.empty(len(chunks), np.int64)
+                    rest = iter(chunks)
+                    once.append(next(rest))  # the first chunk has no space before it
+                    row[0] = -len(once)
+                    row[1:] = np.fromiter(map(known, rest), np.int64, len(chunks) - 1)
+                    rows.append(row)
+                    per_text[i] += len(row)
                 if special is not None:
-                    parts.append((i, special, []))
-        new = set(chain.from_iterable(rest for _, _, rest in parts)).difference(numbers)
-        long = [c for c in new if len(c) > self.LONGEST]  # not kept: numbered below zero, for the texts at hand alone
-        fresh = list(new.difference(long) if long else new)
-        numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
-        once: list[str | int] = [" " + c for c in long]
-        numbers.update(zip(long, range(-1, -1 - len(long), -1)))
-        known = numbers.__getitem__
-        rows: list[np.ndarray] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, head, rest in parts:
-            once.append(head)
-            row = np.empty(len(rest) + 1, np.int64)
-            row[0] = -len(once)
-            row[1:] = np.fromiter(map(known, rest), np.int64, len(rest))
-            rows.append(row)
-            per_text[i] += len(row)
+                    once.append(special)
+                    rows.append(np.array([-len(once)]))
+                    per_text[i] += 1
         for c in long:
             del numbers[c]
-        fresh = [" " + c for c in fresh]
         if not rows:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         n = len(fresh)
         plain_at = np.array([not isinstance(x, int) for x in once], bool)
         flat, sizes = self._encoded(fresh, [x for x in once if not isinstance(x, int)])
         split = int(sizes[:n].sum())
-        kept = np.concatenate([self.flat, flat[:split]])
-        kept_sizes = np.concatenate([self.sizes, sizes[:n]])
         # what is not kept stands behind what is
         once_sizes = np.ones(len(once), np.int64)
         once_sizes[plain_at] = sizes[n:]
@@ -108,25 +134,34 @@ class ChunkStore:
         is_plain = np.repeat(plain_at, once_sizes)
         once_flat[is_plain] = flat[split:]
         once_flat[~is_plain] = [x for x in once if isinstance(x, int)]
-        all_sizes = np.concatenate([kept_sizes, once_sizes])
-        all_starts = np.cumsum(all_sizes) - all_sizes
+        begin = self.flat.n
+        self.flat.n = self.flat.put(begin, flat[:split])
+        self.flat.put(self.flat.n, once_flat)
+        more = np.concatenate([sizes[:n], once_sizes])
+        self.sizes.put(kept, more)
+        self.starts.put(kept, begin + np.cumsum(more) - more)
+        self.sizes.n = self.starts.n = kept + n
         row = np.concatenate(rows)
-        here = np.where(row < 0, len(kept_sizes) - 1 - row, row)
-        ids = gather(np.concatenate([kept, once_flat]), all_starts[here], all_sizes[here])
-        total = np.concatenate([[0], np.cumsum(all_sizes[here])])
+        here = np.where(row < 0, kept + n - 1 - row, row)
+        sizes = self.sizes.all[here].astype(np.int64)
+        ids = gather(self.flat.all, self.starts.all[here], sizes)
+        total = np.concatenate([[0], np.cumsum(sizes)])
         counts = np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
-        self.flat, self.sizes, self.starts = kept, kept_sizes, all_starts[: len(kept_sizes)]
-        self.met = np.concatenate([self.met, np.zeros(n, np.int64)]) + np.bincount(row[row >= 0], minlength=len(kept_sizes))
-        if len(self.sizes) > self.KEEP:
+        self.met.n = self.met.put(kept, np.zeros(n, np.int32))
+        self.met.all[: self.met.n] += np.bincount(row[row >= 0], minlength=self.met.n).astype(np.int32)
+        if kept + n > self.KEEP:
             self._forget()
         return ids, counts
 
     def _forget(self) -> None:
-        often = np.flatnonzero(self.met > 1)
+        met, sizes = self.met.all[: self.met.n], self.sizes.all
+        often = np.flatnonzero(met > 1)
         if len(often) > self.KEEP // 2:
-            often = np.sort(often[np.argsort(self.met[often], kind="stable")[-(self.KEEP // 2) :]])
+            often = np.sort(often[np.argsort(met[often], kind="stable")[-(self.KEEP // 2) :]])
         names = list(self.numbers)
-        self.numbers = dict(zip(map(names.__getitem__, often.tolist()), range(len(often))))
-        self.flat = gather(self.flat, self.starts[often], self.sizes[often])
-        self.sizes, self.met = self.sizes[often], self.met[often] // 2
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numbers = _Numbers(list(map(names.__getitem__, often.tolist())), self.LONGEST)
+        sizes, met = sizes[often], met[often] // 2
+        flat = gather(self.flat.all, self.starts.all[often], sizes.astype(np.int64))
+        self.flat.n = self.flat.put(0, flat)
+        self.starts.n = self.starts.put(0, np.cumsum(sizes, dtype=np.int64) - sizes)
+        self.sizes.n, self.met.n = self.sizes.put(0, sizes), self.met.put(0, met)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +61,28 @@ def maybe_in(keys: DataFrame, n: int, key: Column, words: int = FILTER_WORDS) ->
     return hits[0] & hits[1]
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets the session hand Python batches of about so many bytes (a row at least), however long the texts are; Spark's own bound is
+    64 MB, which each task holds in the JVM and again in Python. A bound that the session has set itself stays."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for what runs within it."""
+    own = spark.conf.get(BATCH_BYTES, None)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_BYTES)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of consecutive rows with about so many characters at most, null as ''.
     Bounds the Python objects alive at once; a text is never cut."""

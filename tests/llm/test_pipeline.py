@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -172,3 +173,23 @@ def test_run(spark, tmp_path):
     library = Tokenizer.from_file(PATH)
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {d[0]: library.encode(d[1], add_special_tokens=False).ids for d in docs} and len(docs) > 20 and leaks
+
+
+@pytest.mark.parametrize("stage", ["simhash", "decontamination", "bpe_encoding"])
+def test_batches_of_a_stage_are_bounded(spark, tmp_path, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.createDataFrame([(1, "some words of one item")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "a b c", "en", "h", 5)], SCHEMA)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own in (None, "100000"):
+        try:
+            if own:
+                spark.conf.set(name, own)
+            dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+            long = spark.range(0, 1000, 1, 1).selectExpr("repeat('abcdefgh ', 2000) as text").mapInArrow(sizes, "n bigint")
+            assert max(r.n for r in long.collect()) < (200_000 if own else 6_000_000)
+        finally:
+            spark.conf.unset(name)

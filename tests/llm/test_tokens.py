@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -78,6 +79,23 @@ def test_forgetting(texts, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[k : k + 100]
 
 
+def test_the_store_stays_small():
+    store = chunk_store.ChunkStore(pretokens.Splitter(CLASSES), lambda words: (np.arange(2 * len(words), dtype=np.int32), np.full(len(words), 2)))
+    tracemalloc.start()
+    try:
+        for k in range(0, 390_000, 10_000):
+            ids, counts = store.encode([" ".join(["a", *(f"w{j}" for j in range(k, k + 10_000))])])
+            assert counts.sum() == len(ids) == 40_002  # a word and a number, each with a space or without
+        assert tracemalloc.get_traced_memory()[0] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_tables_of_a_worker_are_small():
+    automaton = bpe_automaton.encoder(PATH, CLASSES).automaton
+    assert sum(x.nbytes for x in vars(automaton).values() if isinstance(x, np.ndarray)) < 30e6
+
+
 def test_arcs():
     automaton, r = bpe_automaton.encoder(PATH, CLASSES).automaton, random.Random(4)
     alive = [t for t in range(50_256) if automaton.born[t] >= -1]
