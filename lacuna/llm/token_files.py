@@ -40,7 +40,7 @@ from pyspark.sql.types import DataType
 
 from lacuna.llm import pretokens
 from lacuna.llm.chunk_store import ChunkStore
-from lacuna.llm.common import BROADCAST_ROWS, new_path, ship, staged, text_slices
+from lacuna.llm.common import BROADCAST_ROWS, new_path, ship, small_batches, staged, text_slices
 from lacuna.llm.vocabulary import byte_letters
 
 MAGIC, END = b"IDBLOCK1", "END1KDI\n"
@@ -233,7 +233,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = by_range(rows, "id", parts).mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", segments_a_file).text(path)
+    with small_batches(docs.sparkSession):
+        rows.select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", segments_a_file).text(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | DataType = "bigint", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -76,3 +76,16 @@ def test_one_id_in_many_partitions(spark):
     df = spark.range(400).selectExpr("if(id < 300, 7, id) as doc_id", "cast(id as string) as text")
     parts = T.by_range(df.selectExpr("doc_id as id", "text"), "id", 4).rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
     assert [i for p in parts for i in p] == [7] * 300 + list(range(300, 400)) and max(map(len, parts)) < 200
+
+
+def test_batches_are_bounded_while_files_are_written(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    class Watched(type(spark.range(0).write)):
+        def text(self, *a, **b):
+            seen.append(spark.conf.get(name, None))
+            return super().text(*a, **b)
+
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda df: Watched(df)))
+    T.write(spark.range(5).selectExpr("id as doc_id", "'ab' as text"), PATH, T.new_path(spark, "bounded"))
+    assert seen == [str(4 << 20)] and spark.conf.get(name, None) is None
