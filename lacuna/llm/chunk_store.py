@@ -1,14 +1,18 @@
-"""Token ids of whole texts from the ids of their chunks, in numpy arrays.
+"""Token ids of whole texts from the ids of their pre-tokens, in numpy arrays.
 
-Chunks get numbers as they are met; their ids lie one after the other in one array. A text is then a list of
-numbers, and its ids are gathered from the array at once. Only chunks that were not met before are encoded.
+Texts are cut into chunks, and each distinct chunk of a batch into pre-tokens once. Pre-tokens (words) get numbers as they are met;
+their ids lie one after the other in one array. A chunk is then a list of numbers, a text a list of chunks, and ids are
+gathered from arrays at once. Only words that were not met before are encoded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lacuna.llm.pretokens import Splitter
 
@@ -22,27 +26,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[at]
 
 
-class _Numbers(dict):
-    """The number of each kept chunk; one not met before gets the next, and is fresh. Long ones are numbered below zero and stand in `once`
-    behind what else does, with the space before them: they are for the texts at hand alone."""
-
-    def __init__(self, names: list[str], longest: int):
-        super().__init__(zip(names, range(len(names))))
-        self.longest, self.next = longest, len(names)
-        self.fresh: list[str] = []
-        self.long: list[str] = []
-        self.once: list[str | int] = []
-
-    def __missing__(self, chunk: str) -> int:
-        if len(chunk) > self.longest:
-            self.once.append(" " + chunk)
-            self.long.append(chunk)
-            n = -len(self.once)
-        else:
-            self.fresh.append(" " + chunk)
-            n, self.next = self.next, self.next + 1
-        self[chunk] = n
-        return n
+def _distinct(values: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(distinct strings, which of them each is)."""
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
 
 class _Room:
@@ -63,95 +50,109 @@ class _Room:
 class ChunkStore:
     """encode_words takes distinct pre-tokens and returns their ids one after the other, and how many each has.
 
-    Beyond KEEP chunks those that were met but once, and then the rarest, are forgotten. A larger store finds few chunks more
-    and each look into it is slower, as it leaves the processor's cache."""
+    Beyond KEEP words those that were met in but one batch, and then the rarest, are forgotten. A larger store finds few words more
+    and each look into it is slower, as it leaves the processor's cache. Words of more than LONGEST characters are not kept."""
 
     KEEP, LONGEST = 150_000, 64
 
     def __init__(self, splitter: Splitter, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.splitter, self.encode_words = splitter, encode_words
-        self.numbers = _Numbers([], self.LONGEST)
+        self.numbers: dict[str, int] = {}
         self.flat, self.starts, self.sizes, self.met = _Room(np.int32), _Room(np.int64), _Room(np.int32), _Room(np.int32)
 
-    def _pieces(self, fresh: list[str], once: list[str]) -> tuple[list[str], np.ndarray]:
+    def _pieces(self, chunks: list[str], heads: list[str]) -> tuple[list[str], np.ndarray]:
         """(pieces of all, up to which each goes). Chunks with the space before them fall into the same pieces when they stand
-        one after the other, so one search goes through all that are kept."""
-        pieces = self.splitter.pieces("".join(fresh))
+        one after the other, so one search goes through all of them."""
+        pieces = self.splitter.pieces("".join([" ", " ".join(chunks)])) if chunks else []
         reach = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        ends = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
+        ends = np.searchsorted(reach, np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)) + 1
         more = []
-        for chunk in once:
-            pieces += self.splitter.pieces(chunk)
+        for head in heads:
+            pieces += self.splitter.pieces(head)
             more.append(len(pieces))
         return pieces, np.concatenate([[0], ends, more]).astype(np.int64)
 
-    def _encoded(self, fresh: list[str], once: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, sizes) of chunks."""
-        pieces, ends = self._pieces(fresh, once)
-        distinct = list(dict.fromkeys(pieces))
-        place = dict(zip(distinct, range(len(distinct))))
-        words = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-        flat, sizes = self.encode_words(distinct)
-        starts = np.cumsum(sizes) - sizes
-        total = np.concatenate([[0], np.cumsum(sizes[words])])
-        return gather(flat, starts[words], sizes[words]), np.diff(total[ends])
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """Where starts and sizes have each of the distinct words. Those that are not kept stand behind what is."""
+        number = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        unmet = np.flatnonzero(number < 0)
+        fresh = list(map(words.__getitem__, unmet.tolist()))
+        long = np.fromiter(map(len, fresh), np.int64, len(fresh)) > self.LONGEST
+        n = len(fresh) - int(long.sum())
+        if n < len(fresh):
+            unmet = np.concatenate([unmet[~long], unmet[long]])
+            fresh = list(map(words.__getitem__, unmet.tolist()))
+        flat, sizes = self.encode_words(fresh)
+        kept, begin = self.sizes.n, self.flat.n
+        number[unmet] = np.arange(kept, kept + len(fresh))
+        self.numbers.update(zip(fresh[:n], range(kept, kept + n)))
+        self.flat.put(begin, flat)
+        self.flat.n = begin + int(sizes[:n].sum())
+        self.sizes.put(kept, sizes)
+        self.starts.put(kept, begin + np.cumsum(sizes) - sizes)
+        self.sizes.n = self.starts.n = kept + n
+        self.met.n = self.met.put(kept, np.zeros(n, np.int32))
+        self.met.all[number[number < kept + n]] += 1
+        return number
+
+    def _encoded(self, chunks: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, sizes) of chunks, which have lost the space before them, and of heads, which had none."""
+        pieces, ends = self._pieces(chunks, heads)
+        words, index = _distinct(pa.array(pieces, pa.large_string()))
+        piece = self._numbered(words)[index]
+        sizes = self.sizes.all[piece].astype(np.int64)
+        ids = gather(self.flat.all, self.starts.all[piece], sizes)
+        if self.sizes.n > self.KEEP:
+            self._forget()
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends])
+
+    def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str | int], np.ndarray, pa.Array]:
+        """Of each run, a part of a text up to a special string or that string, in order: its text and how many chunks it has. Then
+        what each run begins with, without a space before it; how the runs stand in the array of all other chunks, and that array."""
+        splitter, order = self.splitter, []
+        even: list[str] = []  # cut at every space, all at once
+        odd: list[list[str]] = []
+        special: list[int] = []
+        for i, text in enumerate(texts):
+            for plain, mark in splitter.parts(text):
+                if plain and splitter.has_wide_space(plain):
+                    order.append((i, 1, len(odd)))
+                    odd.append(splitter.chunks(plain))
+                elif plain:
+                    order.append((i, 0, len(even)))
+                    even.append(plain)
+                if mark is not None:
+                    order.append((i, 2, len(special)))
+                    special.append(mark)
+        cut = pc.split_pattern(pa.array(even, pa.large_string()), " ")
+        flat, begins = cut.flatten(), cut.offsets.to_numpy()
+        first = np.zeros(len(flat), bool)
+        first[begins[:-1]] = True
+        rest = pa.concat_arrays([flat.filter(pa.array(~first)), pa.array([c for chunks in odd for c in chunks[1:]], pa.large_string())])
+        heads = flat.filter(pa.array(first)).to_pylist() + [chunks[0] for chunks in odd] + special
+        sizes = np.concatenate([np.diff(begins), list(map(len, odd)), np.ones(len(special))]).astype(np.int64)
+        text, kind, at = np.array(order, np.int64).reshape(-1, 3).T
+        return text, sizes, heads, np.array([0, len(even), len(even) + len(odd)])[kind] + at, rest
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has)."""
-        numbers, splitter = self.numbers, self.splitter
-        numbers.fresh, numbers.long, numbers.once = fresh, long, once = [], [], []
-        known = numbers.__getitem__
-        kept = self.sizes.n
-        rows: list[np.ndarray] = []
-        per_text = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            for plain, special in splitter.parts(text):
-                if plain:
-                    chunks = splitter.chunks(plain)
-                    row = np.empty(len(chunks), np.int64)
-                    rest = iter(chunks)
-                    once.append(next(rest))  # the first chunk has no space before it
-                    row[0] = -len(once)
-                    row[1:] = np.fromiter(map(known, rest), np.int64, len(chunks) - 1)
-                    rows.append(row)
-                    per_text[i] += len(row)
-                if special is not None:
-                    once.append(special)
-                    rows.append(np.array([-len(once)]))
-                    per_text[i] += 1
-        for c in long:
-            del numbers[c]
-        if not rows:
+        text, run_sizes, heads, order, rest = self._runs(texts)
+        if not heads:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        n = len(fresh)
-        plain_at = np.array([not isinstance(x, int) for x in once], bool)
-        flat, sizes = self._encoded(fresh, [x for x in once if not isinstance(x, int)])
-        split = int(sizes[:n].sum())
-        # what is not kept stands behind what is
-        once_sizes = np.ones(len(once), np.int64)
-        once_sizes[plain_at] = sizes[n:]
-        once_flat = np.zeros(int(once_sizes.sum()), np.int32)
-        is_plain = np.repeat(plain_at, once_sizes)
-        once_flat[is_plain] = flat[split:]
-        once_flat[~is_plain] = [x for x in once if isinstance(x, int)]
-        begin = self.flat.n
-        self.flat.n = self.flat.put(begin, flat[:split])
-        self.flat.put(self.flat.n, once_flat)
-        more = np.concatenate([sizes[:n], once_sizes])
-        self.sizes.put(kept, more)
-        self.starts.put(kept, begin + np.cumsum(more) - more)
-        self.sizes.n = self.starts.n = kept + n
-        row = np.concatenate(rows)
-        here = np.where(row < 0, kept + n - 1 - row, row)
-        sizes = self.sizes.all[here].astype(np.int64)
-        ids = gather(self.flat.all, self.starts.all[here], sizes)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        counts = np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
-        self.met.n = self.met.put(kept, np.zeros(n, np.int32))
-        self.met.all[: self.met.n] += np.bincount(row[row >= 0], minlength=self.met.n).astype(np.int32)
-        if kept + n > self.KEEP:
-            self._forget()
-        return ids, counts
+        distinct, index = _distinct(rest)
+        special = [x for x in heads if isinstance(x, int)]  # behind all others
+        flat, sizes = self._encoded(distinct, heads[: len(heads) - len(special)])
+        flat, sizes = np.concatenate([flat, np.array(special, flat.dtype)]), np.concatenate([sizes, np.ones(len(special), np.int64)])
+        starts = np.cumsum(sizes) - sizes
+        begins = np.cumsum(run_sizes) - run_sizes
+        chunks = np.empty(run_sizes.sum(), np.int64)
+        first = np.zeros(len(chunks), bool)
+        first[begins] = True
+        chunks[~first] = index
+        chunks[begins] = np.arange(len(distinct), len(sizes))
+        row = gather(chunks, begins[order], run_sizes[order])
+        counts = np.bincount(np.repeat(text, run_sizes[order]), sizes[row], len(texts)).astype(np.int64)
+        return gather(flat, starts[row], sizes[row]), counts
 
     def _forget(self) -> None:
         met, sizes = self.met.all[: self.met.n], self.sizes.all
@@ -159,7 +160,7 @@ class ChunkStore:
         if len(often) > self.KEEP // 2:
             often = np.sort(often[np.argsort(met[often], kind="stable")[-(self.KEEP // 2) :]])
         names = list(self.numbers)
-        self.numbers = _Numbers(list(map(names.__getitem__, often.tolist())), self.LONGEST)
+        self.numbers = dict(zip(map(names.__getitem__, often.tolist()), range(len(often))))
         sizes, met = sizes[often], met[often] // 2
         flat = gather(self.flat.all, self.starts.all[often], sizes.astype(np.int64))
         self.flat.n = self.flat.put(0, flat)

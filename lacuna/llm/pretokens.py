@@ -80,8 +80,11 @@ class Splitter:
     def chunks(self, text: str) -> list[str]:
         """The text cut at every space between two other characters; all chunks but the first have lost
         the space before them."""
-        beside = text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHERS)
-        return _BETWEEN.split(text) if beside else text.split(" ")
+        return _BETWEEN.split(text) if self.has_wide_space(text) else text.split(" ")
+
+    def has_wide_space(self, text: str) -> bool:
+        """Whether a space stands at an end of the text or beside other white space."""
+        return text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHERS)
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """(plain text, id of the special string after it or None) in order."""

@@ -160,17 +160,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
-        self.every_letter = {b: c for c, b in byte_letters().items()}
-        self.letters = self.every_letter | {0: "\0"}
+        library = Tokenizer.from_file(path)
+        self.model = library.model
+        self.sizes = np.array([len(self.model.id_to_token(i) or "") for i in range(library.get_vocab_size())], np.int64)
+        self.letters = np.zeros(256, "<u2")
+        for c, b in byte_letters().items():
+            self.letters[b] = ord(c)
+        self.parted = self.letters.copy()
+        self.parted[0] = 0
         self.encode = ChunkStore(pretokens.Splitter(known), self._words).encode
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spelt = "\0".join(words).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters).split("\0")
+        spelt = self._spelt("\0".join(words), self.parted).split("\0")
         if len(spelt) != len(words):  # some have this character themselves
-            spelt = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.every_letter) for w in words]
-        found = list(map(self.model.tokenize, spelt))
-        return np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+            spelt = [self._spelt(w, self.letters) for w in words]
+        # the library's objects go as soon as their ids are taken; where a word ends shows in the letters that its tokens have
+        ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(map(self.model.tokenize, spelt))), np.int32)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _spelt(self, text: str, letters: np.ndarray) -> str:
+        return letters[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-16-le")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -219,7 +229,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
         for batch in batches:
-            for start, texts in text_slices(batch, 1, 1_000_000):
+            for start, texts in text_slices(batch, 1):
                 ids, counts = enc.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32)
                 held.append((batch.column(0).slice(start, len(texts)), counts + 1, ids))

@@ -79,6 +79,14 @@ def test_forgetting(texts, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[k : k + 100]
 
 
+def test_a_word_is_encoded_once_whatever_stands_beside_it():
+    given = []
+    store = chunk_store.ChunkStore(pretokens.Splitter(CLASSES), lambda words: (given.extend(words), (np.arange(len(words), dtype=np.int32), np.ones(len(words), np.int64)))[1])
+    for text in ("a cat sat", "a cat, sat.", "a\ncat; <|endoftext|>\n cat  sat", "a cat"):
+        store.encode([text, text])
+    assert given.count(" cat") == given.count(" sat") == 1 and len(given) == len(set(given))
+
+
 def test_the_store_stays_small():
     store = chunk_store.ChunkStore(pretokens.Splitter(CLASSES), lambda words: (np.arange(2 * len(words), dtype=np.int32), np.full(len(words), 2)))
     tracemalloc.start()
