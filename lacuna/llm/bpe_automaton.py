@@ -249,7 +249,7 @@ class Encoder:
     """Encodes whole texts and decodes ids."""
 
     def __init__(self, path: str, known: pretokens.Classes):
-        vocab = vocabulary.load(path)
+        vocab = vocabulary.load.__wrapped__(path)  # not kept: a worker needs only the tables made of it
         self.automaton = Automaton(vocab)
         self.store = ChunkStore(pretokens.Splitter(known), lambda words: self.automaton.encode([w.encode("utf-8", "surrogatepass") for w in words]))
         self.encode = self.store.encode

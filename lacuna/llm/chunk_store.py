@@ -99,6 +99,7 @@ class ChunkStore:
         """(ids one after the other, sizes) of chunks, which have lost the space before them, and of heads, which had none."""
         pieces, ends = self._pieces(chunks, heads)
         words, index = _distinct(pa.array(pieces, pa.large_string()))
+        del pieces
         piece = self._numbered(words)[index]
         sizes = self.sizes.all[piece].astype(np.int64)
         ids = gather(self.flat.all, self.starts.all[piece], sizes)

@@ -250,17 +250,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | DataType = "bigint", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per document in the files: id_col, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Where a segment starts is a running sum over the headers: of the partitions' totals, one row each, and of the
-    segments within each partition.
+    Files are read once: what is found in their segments is staged, and the segments' sizes are sums over it. Where a
+    segment starts is a running sum: of the partitions' totals, one row each, and of the segments within each partition.
     """
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(s.part, s.number, s.n_ids) for x in batch.column(0) for s in segments(x.as_buffer())]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["part", "number", "n_ids"])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
@@ -275,7 +270,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | Dat
                         names=["part", "number", "id", "at", "n_tokens", "ids_crc32"],
                     )
 
-    index = files.mapInArrow(heads, "part bigint, number bigint, n_ids bigint")
+    found = staged(files.mapInArrow(rows, "part bigint, number bigint, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint"), "segment-rows")
+    index = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n_ids"))
     parts = index.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
@@ -283,7 +279,6 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", kind: str | Dat
     index = index.select("part", "number", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("within")).join(parts, "part")
     index = staged(index.select("part", "number", (F.col("before") + F.col("within")).alias("before")), "segment-index")
     index = F.broadcast(index) if index.limit(broadcast_rows + 1).count() <= broadcast_rows else index.hint("merge")
-    found = files.mapInArrow(rows, "part bigint, number bigint, id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(index, ["part", "number"]).select(F.col("id").cast(kind).alias(id_col), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

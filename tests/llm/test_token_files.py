@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lacuna.llm import token_files as T
+from lacuna.staging import remove
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -72,6 +73,16 @@ def test_files_are_rolled(spark):
     assert files.count() >= 30 and [r[0] for r in rows] == list(range(300)) and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
 
 
+def test_files_are_read_once(spark):
+    df = spark.range(200).selectExpr("id as doc_id", "repeat('ab cd ', cast(id as int)) as text")
+    path = T.new_path(spark, "once")
+    T.write(df, PATH, path, segment_ids=50)
+    read = T.read(spark, path)
+    remove(spark, path)
+    rows = sorted((x.doc_id, x.start, x.n_tokens) for x in read.collect())
+    assert [r[0] for r in rows] == list(range(200)) and rows[0][1] == 0 and all(a[1] + a[2] == b[1] for a, b in zip(rows, rows[1:]))
+
+
 def test_one_id_in_many_partitions(spark):
     df = spark.range(400).selectExpr("if(id < 300, 7, id) as doc_id", "cast(id as string) as text")
     parts = T.by_range(df.selectExpr("doc_id as id", "text"), "id", 4).rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
